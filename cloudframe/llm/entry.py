@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudframe.llm import langid, packing, quality, sharding, token_counts
+from cloudframe.llm import langid, near_dups, packing, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), [f"shard-{k:03d}" for k in range(64)])
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dups.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the compression bands for every document."""
     judged = quality.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_lookup_sharding": op2_lookup_sharding,
+        "op4_near_duplicates": op4_near_duplicates,
         "op6_compression_bands": op6_compression_bands,
         "op8_squares_packing": op8_squares_packing,
         "op9_token_counts": op9_token_counts,
