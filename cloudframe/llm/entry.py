@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudframe.llm import langid, line_dedup, near_dups, packing, quality, sharding, token_counts
+from cloudframe.llm import langid, line_dedup, mixing, near_dups, packing, pii, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op2_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), [f"shard-{k:03d}" for k in range(64)])
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled by rates raked to source, language and topic targets."""
+    kept = mixing.mixed_sample(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    none = F.lit("")
+    return kept.select("doc_id", F.coalesce("source", none).alias("source"), F.coalesce("lang", none).alias("lang"), "topic", "n_tokens", F.round(F.col("rate") * 1_000_000).cast("bigint").alias("rate_ppm"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dups.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
@@ -39,6 +46,13 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality_scores.*", "base_failed", "kept")
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document."""
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "found")).alias("spans"))
+
+
 def op8_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
@@ -59,8 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_lookup_sharding": op2_lookup_sharding,
+        "op3_source_mixing": op3_source_mixing,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_compression_bands": op6_compression_bands,
+        "op7_contextual_pii": op7_contextual_pii,
         "op8_squares_packing": op8_squares_packing,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
@@ -68,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": mixing.oracle()}
