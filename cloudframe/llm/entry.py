@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudframe.llm import langid, line_dedup, mixing, near_dups, packing, pii, quality, sharding, token_counts
+from cloudframe.llm import ann, langid, line_dedup, mixing, near_dups, packing, pii, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
 
 
+def op5_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id 20 divides, among all vectors."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the compression bands for every document."""
     judged = quality.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lookup_sharding": op2_lookup_sharding,
         "op3_source_mixing": op3_source_mixing,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_collision_search": op5_collision_search,
         "op6_compression_bands": op6_compression_bands,
         "op7_contextual_pii": op7_contextual_pii,
         "op8_squares_packing": op8_squares_packing,
