@@ -3,9 +3,10 @@
 1. One pass over the texts gives each row a fingerprint of its words and the band hashes of
    its ProbMinHash signature. Rows of equal fingerprint are exact copies: they share a node.
 2. Nodes that agree in a band share a bucket. Each bucket's first and last node are compared
-   with all others in it (a pair for each member, not each pair of members), and only what
-   these leave in different components is compared in full. So every two nodes that share a
-   bucket are either compared or already known to be connected.
+   with all others in it (a pair for each member, not each pair of members). What these leave
+   in different components meets block by block: tasks compare the signatures, and only pairs
+   whose estimated similarity is near the threshold or above come out. So every two nodes that
+   share a bucket are compared, or known to be connected, or too far apart by the estimate.
 3. A compared pair is a link if the Jaccard similarity of its sets of five-word shingles is
    at least the threshold. Classes are the connected components of the links.
 """
@@ -35,6 +36,10 @@ class Sketch:
     bands: int = 40
     rows: int = 9
     threshold: float = 0.8
+    #: Pairs estimated lower than the threshold by this, four standard deviations, aren't verified.
+    margin: float = 0.085
+    #: Nodes of a bucket that are held against each other in one task.
+    block: int = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,23 +117,25 @@ def normal_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
-def bands_of(words: Column, sketch: Sketch) -> Column:
-    """array<bigint> with the band hashes of each text; empty for a text without words."""
+def sketch_of(words: Column, sketch: Sketch) -> Column:
+    """struct<bands array<bigint>, bytes binary> of each text: band hashes, and a byte of each component; empty for a text without words."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<bands:array<bigint>,bytes:binary>")
     def bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = []
+            parts, kept = [], []
             texts = texts.to_pylist()
             for at in range(0, len(texts), 256):
                 sets = [shingles(t, sketch.shingle_words) for t in texts[at : at + 256]]
                 full = [k for k, (h, _) in enumerate(sets) if len(h)]
                 signed = prob_min_hash([sets[k][0] for k in full], [1 + np.log(sets[k][1]) for k in full], sketch.bands * sketch.rows)
                 rows: list = [[]] * len(sets)
-                for k, row in zip(full, band_hashes(signed, sketch), strict=True):
-                    rows[k] = row
+                small = [b""] * len(sets)
+                for k, row, low in zip(full, band_hashes(signed, sketch), signed.astype(np.uint8), strict=True):
+                    rows[k], small[k] = row, low.tobytes()
                 parts.extend(rows)
-            yield pa.array(parts, pa.list_(pa.int64()))
+                kept.extend(small)
+            yield pa.StructArray.from_arrays([pa.array(parts, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["bands", "bytes"])
 
     return bands(words)
 
@@ -162,6 +169,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
+def likely_pairs(rest: DataFrame, sketch: Sketch) -> DataFrame:
+    """(src, dst) of nodes in a bucket whose components differ and whose signatures come near the threshold.
+
+    rest has bucket, node, component and bytes, with each bucket's nodes. A bucket of more
+    than sketch.block nodes is dealt out to pairs of blocks, so no task gets it whole.
+    """
+    least = sketch.threshold - sketch.margin
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, component, own, first = (table[c].to_numpy() for c in ("node", "component", "own", "low_block"))
+        last = table["high_block"].to_numpy()
+        signature = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(len(node), -1)
+        src, dst = [], []
+        for k in np.flatnonzero(own == first):
+            other = np.flatnonzero((component != component[k]) & ((node > node[k]) if first[k] == last[k] else (own == last[k])))
+            near = other[(signature[other] == signature[k]).mean(axis=1) >= least]
+            src.append(np.minimum(node[near], node[k]))
+            dst.append(np.maximum(node[near], node[k]))
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst)]
+        return pa.table({"src": pa.array(columns[0], pa.int64()), "dst": pa.array(columns[1], pa.int64())})
+
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / sketch.block).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.withColumns({"low_block": F.least("own", "met"), "high_block": F.greatest("own", "met")}).select("bucket", "low_block", "high_block", "own", "node", "component", "bytes")
+    return keyed.groupBy("bucket", "low_block", "high_block").applyInArrow(compare, "src bigint, dst bigint").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (src, dst), those whose sets' similarity is at least the threshold."""
     x = sets.select(F.col("node").alias("src"), F.col("grams").alias("x"), F.size("grams").alias("nx"))
@@ -181,11 +215,11 @@ def near_duplicate_classes(docs: DataFrame, sketch: Sketch = Sketch(), id_col: s
     """
     bound_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words")).select("doc_id", "words", *(h.alias(n) for h, n in zip(fingerprint(F.col("words")), ("h1", "h2"), strict=True)))
-    rows = materialize(texts.select("doc_id", "h1", "h2", bands_of(F.col("words"), sketch).alias("bands")).withColumn("row", F.monotonically_increasing_id()))
+    rows = materialize(texts.select("doc_id", "h1", "h2", sketch_of(F.col("words"), sketch).alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    nodes = materialize(rows.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = materialize(rows.where(F.size("sketch.bands") > 0).groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
 
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.explode("sketch.bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = materialize(members.join(buckets, "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "h1", "h2", F.col("first.doc_id").alias("doc_id"))
@@ -207,9 +241,8 @@ def near_duplicate_classes(docs: DataFrame, sketch: Sketch = Sketch(), id_col: s
     components = connected_components(links)
     label = members.join(components, "node", "left").select("bucket", "node", "low", "high", F.coalesce("component", "node").alias("component"))
     split = label.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = materialize(label.join(split, "bucket").where("node <> low and node <> high"))
-    other = rest.select("bucket", F.col("node").alias("dst"), F.col("component").alias("other"))
-    pairs = rest.withColumnRenamed("node", "src").join(other, "bucket").where("src < dst and component <> other").select("src", "dst").distinct()
+    rest = label.join(split, "bucket").where("node <> low and node <> high").join(nodes.select("node", F.col("sketch.bytes").alias("bytes")), "node")
+    pairs = likely_pairs(materialize(rest.select("bucket", "node", "component", "bytes")), sketch)
     links = materialize(links.unionByName(verified(pairs, sets, sketch.threshold)))
     components = connected_components(links)
 
