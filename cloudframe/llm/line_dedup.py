@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from cloudframe.llm.shared import bound_arrow_batches, fingerprint, materialize
 #: Shorter lines are never dropped; from MIN_EDIT_WORDS on a line goes for a near one too.
 MIN_WORDS, MIN_EDIT_WORDS = 3, 10
 #: Up to so many rows of (doc_id, hash, line numbers) are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS, BROADCAST_LINES = 400_000, 4_000_000
+BROADCAST_ROWS, BROADCAST_LINES = 200_000, 1_000_000
 #: A number odd by construction and its inverse modulo 2^64, for each of the two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
@@ -65,7 +66,7 @@ def within_one_word(a: list[str], b: list[str]) -> bool:
 def edit_verified(a: Column, b: Column) -> Column:
     @F.arrow_udf("boolean")
     def verify(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([within_one_word(x.split(" "), y.split(" ")) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([within_one_word(line_words(x), line_words(y)) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.bool_())
 
     return verify(a, b)
 
@@ -74,7 +75,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines, found, size = [], [], 0
         for line, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.append(slot_hashes(words.split(" ")))
+            found.append(slot_hashes(line_words(words)))
             lines.append(np.full(len(found[-1]), line))
             size += len(lines[-1])
             if size >= 65_536:
@@ -89,22 +90,44 @@ def _variant_batch(lines: list[np.ndarray], found: list[np.ndarray]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lines)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], ["line", "v1", "v2"])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, f1, f2, line_no, words) of every line with at least MIN_WORDS words."""
-    placed = docs.select("doc_id", "f1", "f2", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = placed.select("doc_id", "f1", "f2", "line_no", normal_words(F.col("raw")).alias("words"))
-    return lines.where(F.size(F.split("words", " ")) >= MIN_WORDS)
+def line_words(line: str) -> list[str]:
+    """What a line is compared by: its words in lower case."""
+    return line.lower().split()
 
 
-def _halves(words: Column) -> Column:
-    """For the least of two lengths being n and n - 1: hashes of the first and the last half, with that length."""
-    n = F.size(words)
-    keys = []
-    for least in (n, n - 1):
-        half = F.floor(least / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), least, F.array_join(F.slice(words, F.lit(1), half), " ")))
-        keys.append(F.xxhash64(F.lit("last"), least, F.array_join(F.slice(words, n - half + 1, half), " ")))
-    return F.array(*keys)
+def line_hashes(words: list[str]) -> tuple:
+    """Two hashes of the words; from MIN_EDIT_WORDS on four more, of the first and last half.
+
+    The halves are those of the lesser of two lengths that differ by at most one: once with
+    this line's length as the lesser, once with one word less.
+    """
+    whole, n = " ".join(words), len(words)
+    keys = (xxhash.xxh3_64_intdigest(whole), xxhash.xxh3_64_intdigest(whole, 1))
+    if n < MIN_EDIT_WORDS:
+        return *keys, 0, 0, 0, 0
+    halves = (xxhash.xxh3_64_intdigest(" ".join(part), 2 * least + last) for least in (n, n - 1) for last, part in enumerate((words[: least // 2], words[n - least // 2 :])))
+    return *keys, *halves
+
+
+def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc_id, f1, f2, text: a row for each line of at least MIN_WORDS words."""
+    for batch in batches:
+        rows, places, lengths, hashes = [], [], [], []
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            for place, line in enumerate(text.split("\n")):
+                words = line_words(line)
+                if len(words) >= MIN_WORDS:
+                    rows.append(row)
+                    places.append(place)
+                    lengths.append(len(words))
+                    hashes.append(line_hashes(words))
+            if len(rows) >= 65_536 or row + 1 == batch.num_rows and rows:
+                keys = np.array(hashes, np.uint64).view(np.int64)
+                short = np.array(lengths) < MIN_EDIT_WORDS
+                columns = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "f1", "f2")] + [pa.array(places, pa.int32())]
+                columns += [pa.array(np.ascontiguousarray(keys[:, k]), mask=short if k > 1 else None) for k in range(6)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "line_no", "l1", "l2", "half0", "half1", "half2", "half3"])
+                rows, places, lengths, hashes = [], [], [], []
 
 
 def _bounded(df: DataFrame, lines: Column | None = None) -> DataFrame:
@@ -116,11 +139,9 @@ def _bounded(df: DataFrame, lines: Column | None = None) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, f1, f2, line_no array) of the lines to drop; docs has doc_id, text, f1, f2 (fingerprint of text)."""
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "f1", "f2", "line_no")
-    l1, l2 = fingerprint(F.col("words"))
-    lines = _lines(docs).withColumns({"l1": l1, "l2": l2})
-    words = F.split("words", " ")
-    halves = F.when(F.size(words) >= MIN_EDIT_WORDS, _halves(words))
-    keyed = lines.withColumn("halves", halves).select("l1", "l2", place.alias("place"), *(F.col("halves")[k].alias(f"half{k}") for k in range(4)))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    hashed = docs.select("doc_id", "f1", "f2", "text").mapInArrow(_hashed_lines, f"doc_id {id_type}, f1 bigint, f2 bigint, line_no int, l1 bigint, l2 bigint, half0 bigint, half1 bigint, half2 bigint, half3 bigint")
+    keyed = materialize(hashed).select("l1", "l2", place.alias("place"), *(f"half{k}" for k in range(4)))
     distinct = keyed.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(f"half{k}").alias(f"half{k}") for k in range(4)))
     distinct = materialize(distinct.withColumn("line", F.monotonically_increasing_id()))
 
@@ -130,7 +151,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     wanted = materialize(lonely.groupBy("first.doc_id", "first.f1", "first.f2").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line")).alias("wanted")))
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.f1") == F.col("w.f1")) & (F.col("d.f2") == F.col("w.f2"))
     found = docs.alias("d").join(_bounded(wanted, F.size("wanted")).alias("w"), same).select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("raw"))
-    texts = materialize(found.select("w.line", normal_words(F.col("raw")[F.col("w.line_no")]).alias("words")).dropDuplicates(["line"]))
+    texts = materialize(found.select("w.line", F.col("raw")[F.col("w.line_no")].alias("words")).dropDuplicates(["line"]))
 
     variants = texts.mapInArrow(_variants, "line bigint, v1 bigint, v2 bigint")
     groups = variants.groupBy("v1", "v2").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("v1", "v2")
