@@ -25,27 +25,30 @@ def with_palm_frame(hands: DataFrame, joints: str, prefix: str = "palm_") -> Dat
     return hands.withColumn(y, normalized(cross(F.col(z), F.col(x)), F.col(up))).drop(up)
 
 
-def abduction_and_flexion(v: Column, prefix: str = "palm_") -> tuple[Column, Column]:
-    """A base joint's two angles in the palm's frame."""
+def abduction_and_flexion(v: Column, prefix: str = "palm_") -> Column:
+    """A base joint's two angles in the palm's frame, as a struct."""
     x, y, z = (dot(F.col(f"{prefix}{name}"), v) for name in "xyz")
-    return F.atan2(x, y), F.atan2(F.abs(z), y)
+    return F.struct(F.atan2(x, y).alias("abduction"), F.atan2(F.abs(z), y).alias("flexion"))
 
 
-def hand_angles(joints: str, prefix: str = "palm_") -> Column:
-    """array of the twenty angles in radians, in the order of schemas.ANGLE_NAMES."""
-    j = [at(joints, k) for k in range(21)]
-    abduction, flexion = abduction_and_flexion(minus(j[2], j[1]), prefix)
-    angles = [flexion, abduction, bend(j[1], j[2], j[3]), bend(j[2], j[3], j[4])]
-    for root in (5, 9, 13, 17):
-        angles += abduction_and_flexion(minus(j[root + 1], j[root]), prefix)
-        angles += [bend(j[root], j[root + 1], j[root + 2]), bend(j[root + 1], j[root + 2], j[root + 3])]
-    return F.array(*angles)
+def _indices(rows: list[tuple[int, ...]]) -> Column:
+    return F.expr("array(" + ", ".join("array(" + ", ".join(map(str, row)) + ")" for row in rows) + ")")
 
 
 def with_hand_angles(hands: DataFrame, joints: str = "joints_3d_left_m") -> DataFrame:
-    """Add hand_angles_20dof_rad and hand_angles_20dof_deg."""
-    framed = with_palm_frame(hands, joints).withColumn("hand_angles_20dof_rad", hand_angles(joints))
-    return framed.withColumn("hand_angles_20dof_deg", F.transform("hand_angles_20dof_rad", F.degrees)).drop("palm_x", "palm_y", "palm_z")
+    """Add hand_angles_20dof_rad and hand_angles_20dof_deg, in the order of schemas.ANGLE_NAMES.
+
+    The same expression serves every finger: it runs over a list of joint numbers.
+    """
+    roots = (1, 5, 9, 13, 17)
+    point = lambda k: at(F.col(joints), k)
+    bases = F.transform(_indices([(k, k + 1) for k in roots]), lambda t: abduction_and_flexion(minus(point(t[1]), point(t[0]))))
+    bends = F.transform(_indices([(k + n, k + n + 1, k + n + 2) for k in roots for n in (0, 1)]), lambda t: bend(point(t[0]), point(t[1]), point(t[2])))
+    framed = with_palm_frame(hands, joints).withColumns({"_bases": bases, "_bends": bends})
+    order = [("flexion", "abduction")] + [("abduction", "flexion")] * 4
+    angles = ", ".join(f"_bases[{k}].{first}, _bases[{k}].{second}, _bends[{2 * k}], _bends[{2 * k + 1}]" for k, (first, second) in enumerate(order))
+    framed = framed.withColumn("hand_angles_20dof_rad", F.expr(f"array({angles})")).drop("_bases", "_bends", "palm_x", "palm_y", "palm_z")
+    return framed.withColumn("hand_angles_20dof_deg", F.transform("hand_angles_20dof_rad", F.degrees))
 
 
 def landmarks(low: list[Column], high: list[Column], centre: list[Column]) -> Column:
@@ -58,11 +61,11 @@ def landmarks(low: list[Column], high: list[Column], centre: list[Column]) -> Co
     ranked = F.array_sort(F.array(*(F.struct(e.alias("extent"), F.lit(k).alias("axis")) for k, e in enumerate(extent))))
     across, along = ranked[1]["axis"], ranked[2]["axis"]
 
-    def joint(fractions: tuple[float, float, float]) -> Column:
-        c, l, t = fractions  # noqa: E741
+    def joint(f: Column) -> Column:
         return F.array(*(
-            F.when(across == k, low[k] + c * extent[k]).when(along == k, low[k] + l * extent[k]).otherwise(centre[k] + t * extent[k])
+            F.when(across == k, low[k] + f[0] * extent[k]).when(along == k, low[k] + f[1] * extent[k]).otherwise(centre[k] + f[2] * extent[k])
             for k in range(3)
         ))
 
-    return F.array(*map(joint, FRACTIONS))
+    fractions = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in FRACTIONS) + ")")
+    return F.transform(fractions, joint)

@@ -34,7 +34,7 @@ def constant(x: float, y: float, z: float) -> Column:
     return vector(F.lit(float(x)), F.lit(float(y)), F.lit(float(z)))
 
 
-def at(points: Column | str, k: int) -> Column:
+def at(points: Column | str, k: Column | int) -> Column:
     """The k-th [x, y, z] of an array of arrays as a vector."""
     p = F.col(points)[k] if isinstance(points, str) else points[k]
     return vector(p[0], p[1], p[2])

@@ -26,14 +26,22 @@ from cloudframe.sources.scenes import read_metadata, read_scene, write_json, wri
 
 @dataclass
 class Reconstruction:
+    cameras: DataFrame
     fused: DataFrame
     hand: DataFrame
     other: DataFrame
     stats: DataFrame
     pose: DataFrame
     quality: DataFrame
-    hands: DataFrame
-    meta: DataFrame
+    row: dict
+
+    @property
+    def hands(self) -> DataFrame:
+        return hand_rows(self.hand, self.cameras, **self.row)
+
+    @property
+    def meta(self) -> DataFrame:
+        return hand_meta(self.cameras, self.row["is_right"])
 
 
 def reconstruct(pixels: DataFrame, cameras: DataFrame, voxel_size: float = 0.003, scene_id: str = "", is_right: bool = True, frame_index: int = 0) -> Reconstruction:
@@ -49,7 +57,7 @@ def reconstruct(pixels: DataFrame, cameras: DataFrame, voxel_size: float = 0.003
     raw = int(fused.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     poses = pose_output(hand, other, scene_id)
     report = quality(stats, fused, raw, hand, other, poses, scene_id)
-    return Reconstruction(fused, hand, other, stats, poses, report, hand_rows(hand, cameras, frame_index, is_right, scene_id=scene_id), hand_meta(cameras, is_right))
+    return Reconstruction(cameras, fused, hand, other, stats, poses, report, {"frame_index": frame_index, "is_right": is_right, "scene_id": scene_id})
 
 
 def run(spark: SparkSession, scene_dir: str, output_dir: str, voxel_size: float = 0.003, hand_side: str = "right", overwrite: bool = False) -> dict:
