@@ -65,7 +65,8 @@ def mixed_sample(docs: DataFrame, share: float = 0.7, powers: dict[str, float] =
     dimension in `explicit` the shares given there. A null source or language is a category
     of its own. Whether a row stays depends on its doc_id, the seed and its cell's rate, so
     rows of equal doc_id and cell stay or go together. Added columns replace those of their
-    names. An empty table stays empty; documents without words are kept at the rate 0.
+    names. An empty table stays empty. A document without words goes by its cell's rate; cells
+    in which no document has a word go.
     """
     names = {"source": F.coalesce(F.col("source"), F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "topic": topic_of(F.col(text_col))}
     keys = [f"_{d}" for d in names]

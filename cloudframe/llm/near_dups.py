@@ -172,18 +172,20 @@ def jaccard(a: Column, b: Column) -> Column:
 def likely_pairs(rest: DataFrame, sketch: Sketch) -> DataFrame:
     """(src, dst) of nodes in a bucket whose components differ and whose signatures come near the threshold.
 
-    rest has bucket, node, component and bytes, with each bucket's nodes. A bucket of more
-    than sketch.block nodes is dealt out to pairs of blocks, so no task gets it whole.
+    rest has bucket, node, component, bytes and size (of the node's set), with each bucket's
+    nodes; sets whose sizes alone rule the threshold out aren't paired. A bucket of more than
+    sketch.block nodes is dealt out to pairs of blocks, so no task gets it whole.
     """
     least = sketch.threshold - sketch.margin
 
     def compare(table: pa.Table) -> pa.Table:
         node, component, own, first = (table[c].to_numpy() for c in ("node", "component", "own", "low_block"))
-        last = table["high_block"].to_numpy()
+        last, size = table["high_block"].to_numpy(), table["size"].to_numpy()
         signature = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(len(node), -1)
         src, dst = [], []
         for k in np.flatnonzero(own == first):
             other = np.flatnonzero((component != component[k]) & ((node > node[k]) if first[k] == last[k] else (own == last[k])))
+            other = other[np.minimum(size[other], size[k]) >= sketch.threshold * np.maximum(size[other], size[k])]
             near = other[(signature[other] == signature[k]).mean(axis=1) >= least]
             src.append(np.minimum(node[near], node[k]))
             dst.append(np.maximum(node[near], node[k]))
@@ -192,16 +194,22 @@ def likely_pairs(rest: DataFrame, sketch: Sketch) -> DataFrame:
 
     blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / sketch.block).cast("int").alias("blocks"))
     dealt = rest.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.withColumns({"low_block": F.least("own", "met"), "high_block": F.greatest("own", "met")}).select("bucket", "low_block", "high_block", "own", "node", "component", "bytes")
+    keyed = dealt.withColumns({"low_block": F.least("own", "met"), "high_block": F.greatest("own", "met")}).select("bucket", "low_block", "high_block", "own", "node", "component", "bytes", "size")
     return keyed.groupBy("bucket", "low_block", "high_block").applyInArrow(compare, "src bigint, dst bigint").distinct()
 
 
+def fitting(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (src, dst), those whose sets' sizes allow for the threshold."""
+    for side, name in (("src", "nx"), ("dst", "ny")):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(name)), side)
+    return pairs.where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")).select("src", "dst")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (src, dst), those whose sets' similarity is at least the threshold."""
-    x = sets.select(F.col("node").alias("src"), F.col("grams").alias("x"), F.size("grams").alias("nx"))
-    y = sets.select(F.col("node").alias("dst"), F.col("grams").alias("y"), F.size("grams").alias("ny"))
-    sized = pairs.join(x.select("src", "nx"), "src").join(y.select("dst", "ny"), "dst").where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
-    met = sized.select("src", "dst").join(x.select("src", "x"), "src").join(y.select("dst", "y"), "dst")
+    x = sets.select(F.col("node").alias("src"), F.col("grams").alias("x"))
+    y = sets.select(F.col("node").alias("dst"), F.col("grams").alias("y"))
+    met = pairs.join(x, "src").join(y, "dst")
     return met.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold).select("src", "dst")
 
 
@@ -224,7 +232,7 @@ def near_duplicate_classes(docs: DataFrame, sketch: Sketch = Sketch(), id_col: s
     members = materialize(members.join(buckets, "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "h1", "h2", F.col("first.doc_id").alias("doc_id"))
     same = (F.col("t.h1") == F.col("w.h1")) & (F.col("t.h2") == F.col("w.h2")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    sets = materialize(texts.alias("t").join(wanted.alias("w"), same).select("w.node", "t.words").dropDuplicates(["node"]).select("node", shingles_of(F.col("words"), sketch).alias("grams")))
+    sets = materialize(texts.alias("t").join(wanted.alias("w"), same).select("w.node", "t.words").dropDuplicates(["node"]).select("node", shingles_of(F.col("words"), sketch).alias("grams")).withColumn("size", F.size("grams")))
 
     def known(pairs: DataFrame, components: DataFrame) -> DataFrame:
         """Pairs of nodes that aren't connected yet."""
@@ -234,15 +242,15 @@ def near_duplicate_classes(docs: DataFrame, sketch: Sketch = Sketch(), id_col: s
         return pairs.where("src_component <> dst_component").select("src", "dst")
 
     tried = members.select(F.col("low").alias("src"), F.col("node").alias("dst")).where("src <> dst").distinct()
-    links = materialize(verified(tried, sets, sketch.threshold))
+    links = materialize(verified(fitting(tried, sets, sketch.threshold), sets, sketch.threshold))
     components = connected_components(links)
     pairs = members.select(F.col("node").alias("src"), F.col("high").alias("dst")).where("src <> dst").distinct()
-    links = materialize(links.unionByName(verified(known(pairs, components), sets, sketch.threshold)))
+    links = materialize(links.unionByName(verified(fitting(known(pairs, components), sets, sketch.threshold), sets, sketch.threshold)))
     components = connected_components(links)
     label = members.join(components, "node", "left").select("bucket", "node", "low", "high", F.coalesce("component", "node").alias("component"))
     split = label.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = label.join(split, "bucket").where("node <> low and node <> high").join(nodes.select("node", F.col("sketch.bytes").alias("bytes")), "node")
-    pairs = likely_pairs(materialize(rest.select("bucket", "node", "component", "bytes")), sketch)
+    rest = label.join(split, "bucket").where("node <> low and node <> high").join(nodes.select("node", F.col("sketch.bytes").alias("bytes")), "node").join(sets.select("node", "size"), "node")
+    pairs = likely_pairs(materialize(rest.select("bucket", "node", "component", "bytes", "size")), sketch)
     links = materialize(links.unionByName(verified(pairs, sets, sketch.threshold)))
     components = connected_components(links)
 
