@@ -39,8 +39,8 @@ class Collisions:
     start: float = 0.8
     growth: float = 1.06
     rounds: int = 32
-    verify: float = 0.1
-    least: int = 256
+    verify: float = 0.2
+    least: int = 512
     seed: int = 5
 
 
