@@ -46,14 +46,20 @@ def tempered_targets(cells: DataFrame, dim: str, power: float, budget: float) ->
 def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:
     """cells (dims, base) with `weight`: base x share, raked to the targets (dim, target) and at most base.
 
-    A category without a target keeps its weight.
+    A category without a target keeps its weight. Up to BROADCAST_CELLS cells stay in one
+    partition, so the rounds don't shuffle; more are dealt out.
     """
-    weights = materialize(cells.withColumn("weight", F.col("base") * F.lit(share)))
+    few = cells.count() <= BROADCAST_CELLS
+
+    def kept(weights: DataFrame) -> DataFrame:
+        return materialize(weights.coalesce(1)).coalesce(1) if few else materialize(weights)
+
+    weights = kept(cells.withColumn("weight", F.col("base") * F.lit(share)))
     for _ in range(rounds):
         for dim in dims:
             factor = weights.groupBy(dim).agg(F.sum("weight").alias("now")).join(targets[dim], dim).select(dim, F.try_divide("target", "now").alias("factor"))
             weights = weights.join(factor, dim, "left").withColumn("weight", F.least(F.col("base").cast("double"), F.col("weight") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
-        weights = materialize(weights)
+        weights = kept(weights)
     return weights
 
 
