@@ -47,7 +47,8 @@ def op5_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the compression bands for every document."""
-    judged = quality.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge_quality(docs, quality.bands_of(spark, docs, sf_dir))
     return judged.select("doc_id", "quality_scores.*", "base_failed", "kept")
 
 

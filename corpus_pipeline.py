@@ -12,7 +12,7 @@ from cloudframe.llm.shared import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, quality.bands_of(spark, docs, sf_dir))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,3 +183,24 @@ def test_quality_verdicts(spark):
     low, high = quality.Bands(), quality.Bands(whole=((0, 0.0, 0.1),))
     assert quality.in_bands(good.encode(), low, quality.zstandard.ZstdCompressor())[3]
     assert not quality.in_bands(good.encode(), high, quality.zstandard.ZstdCompressor())[3]
+
+
+def test_learned_bands_reject_texts_unlike_the_clean_ones(spark):
+    rng = np.random.default_rng(2)
+    pool = ["".join(rng.choice(list("abcdefghijklmnopqrstuvw"), rng.integers(2, 9))) for _ in range(2000)]
+    rows = [(k, " ".join(rng.choice(pool[: 400 if k % 5 == 0 else 2000], rng.integers(100, 900)))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(0, 1500, 2)] + [(None, 1, 0), (5, 1, 0), (5, 0, 0)], "doc_id bigint, quality int, toxic int")
+    bands = quality.learned_bands(docs, labels)
+    kept = {r.doc_id for r in quality.judge_quality(docs, bands).where("kept").collect()}
+    unlike = {k for k, _ in rows if k % 5 == 0}
+    assert len(kept & unlike) < 0.1 * len(unlike) and len(kept - unlike) > 0.93 * (len(rows) - len(unlike))
+    assert all(quality.judge_quality(docs).select("kept").toPandas().kept)
+    assert quality.learned_bands(docs, labels.limit(0)).chunk == quality.Bands().chunk
+
+
+def test_the_rest_after_full_chunks_is_judged():
+    rng = np.random.default_rng(3)
+    good = "".join(rng.choice(list("abcdefghijklmnopqrst "), 4096))
+    verdict = quality.in_bands((good + "ab cd " * 650).encode(), quality.Bands(), quality.zstandard.ZstdCompressor())
+    assert 0.16 < verdict[0] < 0.75 and verdict[1:] == (2, 1, False)
