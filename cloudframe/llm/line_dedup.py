@@ -3,17 +3,23 @@
 The unit of editing is the word: two lines of at least MIN_EDIT_WORDS words are near if one
 word changed, left or joined turns one into the other. (By characters a line of n of them has
 n variants of n characters; by words a sixth as many, and one changed character is still one
-changed word.)
+changed word.) In lines of fewer than SURE_WORDS words, a word that holds more than half of
+the line's characters must agree but for one character. Lines are also near if one space
+dropped or added turns one into the other; the shorter one may have a word less.
 
 1. Equal lines are grouped by fingerprint; each distinct line knows its first place.
 2. If one word differs, the first or the last half of the words is equal. Distinct lines that
-   share no half with another of nearly their length can have no near line and go no further.
+   share no half with another of nearly their length, nor their letters without the spaces
+   with any, can have no near line and go no further.
    This loses nothing and keeps the variants to a small share of the lines.
 3. The others emit the hash of the line without word k for every slot k, and their own hash
    for every slot where a word could be put in. Lines that share (hash, slot) are near each
-   other, all of them: they differ in that slot alone.
+   other, all of them: they differ in that slot alone. A word that must nearly agree has the
+   slots of its characters instead.
 4. The earliest line of each such group is joined with the others, and the words' edit
    distance is verified.
+5. Of lines that are equal without spaces, each with one space dropped is joined with the one
+   that is so by itself; the later of the two goes.
 
 A line goes if an equal or near line stands earlier, by doc_id and then by place in the text.
 """
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 from cloudframe.llm.near_dups import mixed, normal_words, word_hashes
 from cloudframe.llm.shared import bound_arrow_batches, fingerprint, materialize
 
-#: Shorter lines are never dropped; from MIN_EDIT_WORDS on a line goes for a near one too.
-MIN_WORDS, MIN_EDIT_WORDS = 3, 10
+#: Blank lines are never dropped; from MIN_EDIT_WORDS on a line goes for a near one too, from SURE_WORDS on whatever the word's length.
+MIN_WORDS, MIN_EDIT_WORDS, SURE_WORDS = 1, 4, 10
 #: Up to so many rows of (doc_id, hash, line numbers) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS, BROADCAST_LINES = 200_000, 1_000_000
 #: A number odd by construction and its inverse modulo 2^64, for each of the two hashes.
@@ -63,19 +69,79 @@ def within_one_word(a: list[str], b: list[str]) -> bool:
     return short[at:] == long[at + 1 :] or short[at + 1 :] == long[at + 1 :]
 
 
+def is_long(words: list[str], k: int, more: int = 0) -> bool:
+    """Whether word k, with `more` characters more, holds over half the characters of a line of few words."""
+    return len(words) < SURE_WORDS and 2 * (len(words[k]) + more) > sum(map(len, words)) + len(words) - 1 + more
+
+
+def one_space_apart(a: list[str], b: list[str]) -> bool:
+    """Whether joining two neighbours in one of the lists gives the other."""
+    short, long = sorted((a, b), key=len)
+    if len(long) != len(short) + 1:
+        return False
+    at = next((k for k, word in enumerate(short) if word != long[k]), len(short))
+    return at < len(short) and short[at] == long[at] + long[at + 1] and short[at + 1 :] == long[at + 2 :]
+
+
+def near_lines(a: list[str], b: list[str]) -> bool:
+    """Whether of two lists of words, one goes for the other."""
+    short, long = sorted((a, b), key=len)
+    if len(short) >= MIN_EDIT_WORDS and within_one_word(a, b):
+        at = next((k for k, word in enumerate(short) if word != long[k]), len(short))
+        if at == len(long) or len(long) > len(short) and not is_long(long, at):
+            return True
+        if len(long) == len(short) and (not (is_long(a, at) or is_long(b, at)) or within_one_word(list(a[at]), list(b[at]))):
+            return True
+    return len(short) >= MIN_EDIT_WORDS - 1 and one_space_apart(a, b)
+
+
 def edit_verified(a: Column, b: Column) -> Column:
     @F.arrow_udf("boolean")
     def verify(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([within_one_word(line_words(x), line_words(y)) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([near_lines(line_words(x), line_words(y)) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.bool_())
 
     return verify(a, b)
 
 
+def variant_hashes(words: list[str]) -> np.ndarray:
+    """slot_hashes() of a line; a word that must nearly agree has the slots of its characters."""
+    if not MIN_EDIT_WORDS <= len(words):
+        return np.zeros((0, 2), np.int64)
+    keys = slot_hashes(words)
+    if len(words) >= SURE_WORDS:
+        return keys
+    parts = [np.delete(keys, [k for k in range(len(words)) if is_long(words, k)], axis=0)]
+    for k in range(len(words)):
+        if is_long(words, k, 1):
+            parts.append(mixed(mixed(slot_hashes(list(words[k])).view(np.uint64)) + keys[k].view(np.uint64)).view(np.int64))
+    return np.concatenate(parts)
+
+
+def space_hashes(words: list[str]) -> np.ndarray:
+    """n x 2 hashes of a line's letters and places of spaces: all of them, then all but space k."""
+    letters, ends = "".join(words), np.cumsum([len(w) for w in words[:-1]]).astype(np.uint64)
+    columns = []
+    for seed, base in enumerate(BASES):
+        places = mixed((ends + np.uint64(1)) * np.uint64(base))
+        total = places.sum(dtype=np.uint64) + np.full(1, xxhash.xxh3_64_intdigest(letters, seed), np.uint64)
+        columns.append(np.concatenate([total, total - places]))
+    return np.stack(columns, axis=1).view(np.int64)
+
+
+def _spacings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From line, words: line, s1, s2, own; own is true for the hash with all spaces."""
+    for batch in batches:
+        for line, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = space_hashes(line_words(text))
+            columns = [np.full(len(keys), line), keys[:, 0].copy(), keys[:, 1].copy(), np.arange(len(keys)) == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["line", "s1", "s2", "own"])
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines, found, size = [], [], 0
         for line, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.append(slot_hashes(line_words(words)))
+            found.append(variant_hashes(line_words(words)))
             lines.append(np.full(len(found[-1]), line))
             size += len(lines[-1])
             if size >= 65_536:
@@ -96,16 +162,16 @@ def line_words(line: str) -> list[str]:
 
 
 def line_hashes(words: list[str]) -> tuple:
-    """Two hashes of the words; from MIN_EDIT_WORDS on four more, of the first and last half.
+    """Two hashes of the words and one of their letters; from MIN_EDIT_WORDS on four more, of the first and last half.
 
     The halves are those of the lesser of two lengths that differ by at most one: once with
-    this line's length as the lesser, once with one word less.
+    this line's length as the lesser, once with one word less (if that is enough words).
     """
     whole, n = " ".join(words), len(words)
-    keys = (xxhash.xxh3_64_intdigest(whole), xxhash.xxh3_64_intdigest(whole, 1))
+    keys = (xxhash.xxh3_64_intdigest(whole), xxhash.xxh3_64_intdigest(whole, 1), xxhash.xxh3_64_intdigest("".join(words), 2))
     if n < MIN_EDIT_WORDS:
         return *keys, 0, 0, 0, 0
-    halves = (xxhash.xxh3_64_intdigest(" ".join(part), 2 * least + last) for least in (n, n - 1) for last, part in enumerate((words[: least // 2], words[n - least // 2 :])))
+    halves = (xxhash.xxh3_64_intdigest(" ".join(part), 2 * least + last) for least in (n, max(n - 1, MIN_EDIT_WORDS)) for last, part in enumerate((words[: least // 2], words[n - least // 2 :])))
     return *keys, *halves
 
 
@@ -123,10 +189,10 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     hashes.append(line_hashes(words))
             if len(rows) >= 65_536 or row + 1 == batch.num_rows and rows:
                 keys = np.array(hashes, np.uint64).view(np.int64)
-                short = np.array(lengths) < MIN_EDIT_WORDS
+                short, few = (np.array(lengths) < least for least in (MIN_EDIT_WORDS, MIN_EDIT_WORDS - 1))
                 columns = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "f1", "f2")] + [pa.array(places, pa.int32())]
-                columns += [pa.array(np.ascontiguousarray(keys[:, k]), mask=short if k > 1 else None) for k in range(6)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "line_no", "l1", "l2", "half0", "half1", "half2", "half3"])
+                columns += [pa.array(np.ascontiguousarray(keys[:, k]), mask=short if k > 2 else few if k == 2 else None) for k in range(7)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "line_no", "l1", "l2", "glued", "half0", "half1", "half2", "half3"])
                 rows, places, lengths, hashes = [], [], [], []
 
 
@@ -140,12 +206,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, f1, f2, line_no array) of the lines to drop; docs has doc_id, text, f1, f2 (fingerprint of text)."""
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "f1", "f2", "line_no")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    hashed = docs.select("doc_id", "f1", "f2", "text").mapInArrow(_hashed_lines, f"doc_id {id_type}, f1 bigint, f2 bigint, line_no int, l1 bigint, l2 bigint, half0 bigint, half1 bigint, half2 bigint, half3 bigint")
-    keyed = materialize(hashed).select("l1", "l2", place.alias("place"), *(f"half{k}" for k in range(4)))
-    distinct = keyed.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(f"half{k}").alias(f"half{k}") for k in range(4)))
+    hashed = docs.select("doc_id", "f1", "f2", "text").mapInArrow(_hashed_lines, f"doc_id {id_type}, f1 bigint, f2 bigint, line_no int, l1 bigint, l2 bigint, glued bigint, half0 bigint, half1 bigint, half2 bigint, half3 bigint")
+    keys = ["glued", *(f"half{k}" for k in range(4))]
+    keyed = materialize(hashed).select("l1", "l2", place.alias("place"), *keys)
+    distinct = keyed.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in keys))
     distinct = materialize(distinct.withColumn("line", F.monotonically_increasing_id()))
 
-    halves = distinct.where("half0 is not null").select("line", F.explode(F.array(*(f"half{k}" for k in range(4)))).alias("half"))
+    halves = distinct.select("line", F.explode(F.array_compact(F.array(*keys))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("half")
     lonely = distinct.join(halves.join(shared, "half").select("line").distinct(), "line").select("line", "first")
     wanted = materialize(lonely.groupBy("first.doc_id", "first.f1", "first.f2").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line")).alias("wanted")))
@@ -158,6 +225,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     members = materialize(variants.join(groups, ["v1", "v2"]).join(distinct.select("line", "first"), "line"))
     earliest = members.groupBy("v1", "v2").agg(F.min(F.struct("first", F.col("line").alias("head"))).alias("e")).select("v1", "v2", "e.head")
     pairs = members.join(earliest, ["v1", "v2"]).where("line <> head").select("line", "head").distinct()
+    glued = distinct.where("glued is not null").groupBy("glued").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("glued")
+    alike = materialize(distinct.join(glued, "glued").select("line", "first").join(texts, "line"))
+    spacings = alike.select("line", "words").mapInArrow(_spacings, "line bigint, s1 bigint, s2 bigint, own boolean").join(alike.select("line", "first"), "line")
+    own = spacings.where("own").select("s1", "s2", F.struct("first", "line").alias("x"))
+    spaced = own.join(spacings.where("not own").select("s1", "s2", F.struct("first", "line").alias("y")), ["s1", "s2"])
+    pairs = pairs.unionByName(spaced.select(F.greatest("x", "y").getField("line").alias("line"), F.least("x", "y").getField("line").alias("head")).distinct())
     heads = texts.select(F.col("line").alias("head"), F.col("words").alias("head_words"))
     near = pairs.join(texts, "line").join(heads, "head").where(edit_verified(F.col("words"), F.col("head_words"))).select("line").distinct()
 
@@ -170,8 +243,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Drop lines that an equal or near line precedes; every row of docs stays.
 
     The text has the remaining lines between newlines; null stays null. Added columns:
-    n_lines, n_dropped (long; columns of these names are replaced). Lines of fewer than
-    three words always stay. Rows of null doc_id come last in the order. Rows equal in
+    n_lines, n_dropped (long; columns of these names are replaced). Blank lines always
+    stay. Rows of null doc_id come last in the order. Rows equal in
     doc_id and text count as one document and come out alike.
     """
     bound_arrow_batches(docs.sparkSession)

@@ -176,6 +176,34 @@ def test_lines_against_brute_force(spark):
         assert got[doc].n_lines == len(text.split("\n")) and got[doc].n_dropped == len(text.split("\n")) - (len(want.split("\n")) if want or got[doc].n_dropped < got[doc].n_lines else 0)
 
 
+def test_short_lines_and_spaces(spark):
+    rows = [
+        (1, "the committee met again on the first tuesday of march\nyes\nfour words make one\nsee https://example.org/a/long/path for details"),
+        (2, "the committee met again on the frist tuesday of march\nYES\nfour words make two"),
+        (3, "see https://example.org/some/other for details\nsee https://example.org/a/long/pathx for details\nsee https://example.org/a/long/psth for details"),
+        (4, "alpha betagamma delta epsilon\nalpha beta gamma delta epsilon\nalpha beta gamma deltaepsilon"),
+        (5, "one two three four five six seven eight nine ten elev en\none two three four five six seven eight nine ten eleven"),
+        (6, "uno dos trescuatro\nuno dos tres cuatro\nunodos tres cuatro\ntwo of\ntwoof"),
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got[1] == rows[0][1] and got[2] == ""
+    assert got[3] == "see https://example.org/some/other for details"
+    assert got[4] == "alpha betagamma delta epsilon" and got[5] == rows[4][1].split("\n")[0]
+    assert got[6] == "uno dos trescuatro\ntwo of\ntwoof"
+
+
+def test_short_lines_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    pool = ["a", "bc", "def", "ab", "c", "abcdefghijklmnop", "abcdefghijklmnoq", "abcdefghijklmno", "d"]
+    lines = [" ".join(rng.choice(pool, rng.integers(1, 6), p=[0.3, 0.2, 0.05, 0.1, 0.1, 0.08, 0.06, 0.06, 0.05])) for _ in range(700)]
+    want, split = [], [x.split() for x in lines]
+    for k, w in enumerate(split):
+        want.append("" if any(w == e or line_dedup.near_lines(w, e) for e in split[:k]) else lines[k])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[k] for k in range(len(lines))] == want and len([x for x in want if x]) > 20
+
+
 def test_line_edge_cases(spark):
     long = " ".join(f"v{k}" for k in range(20_000))
     rows = [(1, None, 5), (2, "", 5), (3, "a b c\na b c\n\n\nx", 5), (4, "A  b c", 5), (None, "a b c\nq r s", 5), (6, long, 5), (7, long + " end", 5), (8, "k l m", 5), (8, "k l m", 5)]
