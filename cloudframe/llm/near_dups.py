@@ -30,7 +30,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Sketch:
-    """bands x rows components. At similarity 0.8 a pair meets in a band with probability 0.997, at 0.85 with 0.99999."""
+    """bands x rows components, every distinct shingle of weight 1, as a link is by the sets. At similarity 0.8 a pair meets in a band with probability 0.997, at 0.85 with 0.99999."""
 
     shingle_words: int = 5
     bands: int = 40
@@ -128,7 +128,7 @@ def sketch_of(words: Column, sketch: Sketch) -> Column:
             for at in range(0, len(texts), 256):
                 sets = [shingles(t, sketch.shingle_words) for t in texts[at : at + 256]]
                 full = [k for k, (h, _) in enumerate(sets) if len(h)]
-                signed = prob_min_hash([sets[k][0] for k in full], [1 + np.log(sets[k][1]) for k in full], sketch.bands * sketch.rows)
+                signed = prob_min_hash([sets[k][0] for k in full], [np.ones(len(sets[k][0])) for k in full], sketch.bands * sketch.rows)
                 rows: list = [[]] * len(sets)
                 small = [b""] * len(sets)
                 for k, row, low in zip(full, band_hashes(signed, sketch), signed.astype(np.uint8), strict=True):

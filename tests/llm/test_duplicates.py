@@ -102,6 +102,20 @@ def test_groups_of_copies_and_odd_rows(spark):
     assert near_dups.near_duplicate_classes(docs.limit(0)).count() == 0 and near_dups.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_pairs_of_unequal_repeats(spark):
+    """A repeated passage changes counts, not the set, so it mustn't keep a pair from meeting."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(16):
+        passage, rest = words(rng, 110, 10**6), words(rng, 90, 10**6)
+        changed = [*rest[:45], "changed", *rest[46:]]
+        texts += [" ".join(passage + rest), " ".join(passage * 100 + changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(docs).collect()}
+    want = classes(texts)
+    assert want == [k - k % 2 for k in range(32)] and [got[k] for k in range(32)] == want
+
+
 def test_drifting_group_loses_no_link(spark):
     """Copies of copies: few are like the first, and blocks are smaller than the buckets."""
     rng = np.random.default_rng(3)
