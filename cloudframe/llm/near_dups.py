@@ -1,14 +1,20 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
+The similarity is one throughout: the probability Jaccard of the five-word shingles, each of
+weight 1, which is the Jaccard similarity of their sets. Weights by a shingle's count would
+part a text from its copy that repeats a passage.
+
 1. One pass over the texts gives each row a fingerprint of its words and the band hashes of
    its ProbMinHash signature. Rows of equal fingerprint are exact copies: they share a node.
 2. Nodes that agree in a band share a bucket. Each bucket's first and last node are compared
-   with all others in it (a pair for each member, not each pair of members). What these leave
-   in different components meets block by block: tasks compare the signatures, and only pairs
-   whose estimated similarity is near the threshold or above come out. So every two nodes that
-   share a bucket are compared, or known to be connected, or too far apart by the estimate.
-3. A compared pair is a link if the Jaccard similarity of its sets of five-word shingles is
-   at least the threshold. Classes are the connected components of the links.
+   with all others in it (a pair for each member, not each pair of members).
+3. What these leave in different components of a bucket meets block by block: a task gets the
+   shingles of two blocks, of bounded bytes, works out all their similarities, and returns
+   links that span its components, fewer than it has nodes. So every two nodes that share a
+   bucket are compared, or known to be connected, and no link between components is lost.
+
+Two nodes are linked if their similarity is at least the threshold. Classes are the connected
+components of the links.
 """
 
 from __future__ import annotations
@@ -23,23 +29,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.llm.components import connected_components
-from cloudframe.llm.shared import bound_arrow_batches, fingerprint, materialize
+from cloudframe.llm.shared import bound_arrow_batches, discard, fingerprint, materialize, own_columns, unused
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """bands x rows components, every distinct shingle of weight 1, as a link is by the sets. At similarity 0.8 a pair meets in a band with probability 0.997, at 0.85 with 0.99999."""
+    """bands x rows components. At similarity 0.8 a pair meets in a band with probability 0.997, at 0.85 with 0.99999."""
 
     shingle_words: int = 5
     bands: int = 40
     rows: int = 9
     threshold: float = 0.8
-    #: Pairs estimated lower than the threshold by this, four standard deviations, aren't verified.
-    margin: float = 0.085
-    #: Nodes of a bucket that are held against each other in one task.
-    block: int = 512
+    #: Nodes, and bytes of their shingles, that a block of a bucket holds.
+    block: int = 256
+    block_bytes: int = 16 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,8 +58,8 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def shingles(text: str, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the n-word shingles of a text of words between single spaces, and their counts.
+def shingles(text: str, n_words: int) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles of a text of words between single spaces.
 
     A text of fewer words is one shingle; an empty text has none.
     """
@@ -64,7 +69,7 @@ def shingles(text: str, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.full(size, np.uint64(len(words) if len(words) < n_words else n_words))
     for k in range(min(n_words, len(h))):
         total = mixed(total + GOLDEN) + h[k : k + size]
-    return np.unique(mixed(total), return_counts=True)
+    return np.unique(mixed(total))
 
 
 def prob_min_hash(hashes: list[np.ndarray], weights: list[np.ndarray], m: int) -> np.ndarray:
@@ -117,25 +122,21 @@ def normal_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
-def sketch_of(words: Column, sketch: Sketch) -> Column:
-    """struct<bands array<bigint>, bytes binary> of each text: band hashes, and a byte of each component; empty for a text without words."""
+def bands_of(words: Column, sketch: Sketch) -> Column:
+    """array<bigint> with the band hashes of each text's signature; empty for a text without words."""
 
-    @F.arrow_udf("struct<bands:array<bigint>,bytes:binary>")
+    @F.arrow_udf("array<bigint>")
     def bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts, kept = [], []
+            parts = []
             texts = texts.to_pylist()
             for at in range(0, len(texts), 256):
                 sets = [shingles(t, sketch.shingle_words) for t in texts[at : at + 256]]
-                full = [k for k, (h, _) in enumerate(sets) if len(h)]
-                signed = prob_min_hash([sets[k][0] for k in full], [np.ones(len(sets[k][0])) for k in full], sketch.bands * sketch.rows)
-                rows: list = [[]] * len(sets)
-                small = [b""] * len(sets)
-                for k, row, low in zip(full, band_hashes(signed, sketch), signed.astype(np.uint8), strict=True):
-                    rows[k], small[k] = row, low.tobytes()
-                parts.extend(rows)
-                kept.extend(small)
-            yield pa.StructArray.from_arrays([pa.array(parts, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["bands", "bytes"])
+                full = [h for h in sets if len(h)]
+                signed = band_hashes(prob_min_hash(full, [np.ones(len(h)) for h in full], sketch.bands * sketch.rows), sketch)
+                found = iter(signed)
+                parts.extend(next(found) if len(h) else [] for h in sets)
+            yield pa.array(parts, pa.list_(pa.int64()))
 
     return bands(words)
 
@@ -146,7 +147,7 @@ def shingles_of(words: Column, sketch: Sketch) -> Column:
     @F.arrow_udf("array<bigint>")
     def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([shingles(t, sketch.shingle_words)[0].view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([shingles(t, sketch.shingle_words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     return hashes(words)
 
@@ -169,32 +170,58 @@ def jaccard(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
-def likely_pairs(rest: DataFrame, sketch: Sketch) -> DataFrame:
-    """(src, dst) of nodes in a bucket whose components differ and whose signatures come near the threshold.
+def spanning_links(node: np.ndarray, component: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what the links of nodes in `first` with nodes in `second` connect, given the components so far.
 
-    rest has bucket, node, component, bytes and size (of the node's set), with each bucket's
-    nodes; sets whose sizes alone rule the threshold out aren't paired. A bucket of more than
-    sketch.block nodes is dealt out to pairs of blocks, so no task gets it whole.
+    first and second are masks. The sets' common elements are counted for all pairs at once,
+    as products of bounded slices of the incidence matrix.
+    """
+    size = np.array([len(x) for x in sets])
+    elements, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    met = np.bincount(column, minlength=len(elements)) > 1  # others are in no intersection
+    column = (np.cumsum(met) - 1)[column[(shared := met[column])]]
+    row = row[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = 8192
+    for low in range(0, int(met.sum()), width):
+        i, j = np.searchsorted(column, (low, low + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        common += part @ part.T
+    linked = common >= threshold * (size[:, None] + size - common)
+    linked &= (first[:, None] & second) | (second[:, None] & first)
+    label, out = component.copy(), []
+    for k in range(len(sets)):
+        near = np.flatnonzero(linked[k] & (label != label[k]))
+        while len(near):
+            out.append((int(min(node[k], node[near[0]])), int(max(node[k], node[near[0]]))))
+            label[label == label[near[0]]] = label[k]
+            near = near[label[near] != label[k]]
+    return out
+
+
+def block_links(rest: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
+    """Links (src, dst) between components among nodes of a bucket; rest has bucket, node and component, sets node, grams and size.
+
+    A bucket of more than one block is dealt out to pairs of blocks, so no task gets it whole.
     """
-    least = sketch.threshold - sketch.margin
 
     def compare(table: pa.Table) -> pa.Table:
-        node, component, own, first = (table[c].to_numpy() for c in ("node", "component", "own", "low_block"))
-        last, size = table["high_block"].to_numpy(), table["size"].to_numpy()
-        signature = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(len(node), -1)
-        src, dst = [], []
-        for k in np.flatnonzero(own == first):
-            other = np.flatnonzero((component != component[k]) & ((node > node[k]) if first[k] == last[k] else (own == last[k])))
-            other = other[np.minimum(size[other], size[k]) >= sketch.threshold * np.maximum(size[other], size[k])]
-            near = other[(signature[other] == signature[k]).mean(axis=1) >= least]
-            src.append(np.minimum(node[near], node[k]))
-            dst.append(np.maximum(node[near], node[k]))
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst)]
+        node, component, own, first, last = (table[c].to_numpy() for c in ("node", "component", "own", "low_block", "high_block"))
+        sets = [x.values.to_numpy() for x in table["grams"]]
+        links = spanning_links(node, component, own == first, own == last, sets, sketch.threshold)
+        columns = list(zip(*links, strict=True)) or [[], []]
         return pa.table({"src": pa.array(columns[0], pa.int64()), "dst": pa.array(columns[1], pa.int64())})
 
-    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / sketch.block).cast("int").alias("blocks"))
+    sized = rest.join(sets.select("node", "size"), "node")
+    need = F.greatest(F.count("*") / sketch.block, F.sum("size") * 8 / sketch.block_bytes)
+    blocks = sized.groupBy("bucket").agg(F.ceil(need).cast("int").alias("blocks"))
     dealt = rest.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.withColumns({"low_block": F.least("own", "met"), "high_block": F.greatest("own", "met")}).select("bucket", "low_block", "high_block", "own", "node", "component", "bytes", "size")
+    keyed = dealt.withColumns({"low_block": F.least("own", "met"), "high_block": F.greatest("own", "met")}).join(sets.select("node", "grams"), "node")
+    keyed = keyed.select("bucket", "low_block", "high_block", "own", "node", "component", "grams")
     return keyed.groupBy("bucket", "low_block", "high_block").applyInArrow(compare, "src bigint, dst bigint").distinct()
 
 
@@ -223,11 +250,11 @@ def near_duplicate_classes(docs: DataFrame, sketch: Sketch = Sketch(), id_col: s
     """
     bound_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words")).select("doc_id", "words", *(h.alias(n) for h, n in zip(fingerprint(F.col("words")), ("h1", "h2"), strict=True)))
-    rows = materialize(texts.select("doc_id", "h1", "h2", sketch_of(F.col("words"), sketch).alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
+    rows = materialize(texts.select("doc_id", "h1", "h2", bands_of(F.col("words"), sketch).alias("bands")).withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    nodes = materialize(rows.where(F.size("sketch.bands") > 0).groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = materialize(rows.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 
-    members = nodes.select("node", F.explode("sketch.bands").alias("bucket"))
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = materialize(members.join(buckets, "bucket"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "h1", "h2", F.col("first.doc_id").alias("doc_id"))
@@ -242,17 +269,18 @@ def near_duplicate_classes(docs: DataFrame, sketch: Sketch = Sketch(), id_col: s
         return pairs.where("src_component <> dst_component").select("src", "dst")
 
     tried = members.select(F.col("low").alias("src"), F.col("node").alias("dst")).where("src <> dst").distinct()
-    links = materialize(verified(fitting(tried, sets, sketch.threshold), sets, sketch.threshold))
-    components = connected_components(links)
+    to_low = materialize(verified(fitting(tried, sets, sketch.threshold), sets, sketch.threshold))
+    by_low = connected_components(to_low)
     pairs = members.select(F.col("node").alias("src"), F.col("high").alias("dst")).where("src <> dst").distinct()
-    links = materialize(links.unionByName(verified(fitting(known(pairs, components), sets, sketch.threshold), sets, sketch.threshold)))
-    components = connected_components(links)
-    label = members.join(components, "node", "left").select("bucket", "node", "low", "high", F.coalesce("component", "node").alias("component"))
-    split = label.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = label.join(split, "bucket").where("node <> low and node <> high").join(nodes.select("node", F.col("sketch.bytes").alias("bytes")), "node").join(sets.select("node", "size"), "node")
-    pairs = likely_pairs(materialize(rest.select("bucket", "node", "component", "bytes", "size")), sketch)
-    links = materialize(links.unionByName(verified(pairs, sets, sketch.threshold)))
+    to_ends = materialize(to_low.unionByName(verified(fitting(known(pairs, by_low), sets, sketch.threshold), sets, sketch.threshold)))
+    by_ends = connected_components(to_ends)
+    discard(to_low, by_low)
+    inner = members.where("node <> low and node <> high").join(by_ends, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    split = inner.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    rest = materialize(inner.join(split, "bucket"))
+    links = materialize(to_ends.unionByName(block_links(rest, sets, sketch)))
     components = connected_components(links)
+    discard(members, sets, to_ends, by_ends, rest, links)
 
     labelled = nodes.join(components, "node", "left").select("h1", "h2", "first", "copies", F.coalesce("component", "node").alias("component"))
     classes = labelled.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("class_rows"))
@@ -273,11 +301,12 @@ def keep_one_of_each(docs: DataFrame, sketch: Sketch = Sketch(), id_col: str = "
     Rows without words stay as they are. Rows that share doc_id and words count as one.
     """
     classes = materialize(near_duplicate_classes(docs, sketch, id_col, text_col))
-    kept = classes.where("is_kept").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    x1, x2, i, k1, k2 = unused(docs.columns, "x1", "x2", "kept_id", "h1", "h2")
+    kept = classes.where("is_kept").select(F.col("doc_id").alias(i), F.col("h1").alias(k1), F.col("h2").alias(k2)).distinct()
     words = normal_words(F.col(text_col))
     h1, h2 = fingerprint(words)
-    same = (F.col("_x1") == F.col("_h1")) & (F.col("_x2") == F.col("_h2")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    one = docs.where(words != "").withColumns({"_x1": h1, "_x2": h2}).join(kept, same, "left_semi")
+    same = (F.col(x1) == F.col(k1)) & (F.col(x2) == F.col(k2)) & F.col(id_col).eqNullSafe(F.col(i))
+    one = docs.where(words != "").withColumns({x1: h1, x2: h2}).join(kept, same, "left_semi")
     if not classes.where("class_rows > 1").groupBy("doc_id", "h1", "h2").count().where("count > 1").isEmpty():
-        one = one.dropDuplicates([id_col, "_x1", "_x2"])
-    return one.select(*docs.columns).unionByName(docs.where(words == ""))
+        one = one.dropDuplicates([id_col, x1, x2])
+    return one.select(*own_columns(docs)).unionByName(docs.where(words == ""))

@@ -37,13 +37,42 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return it as read from there.
 
     This cuts the lineage, survives lost executors, and lets Spark know the size of what
-    it joins next. The table goes when the driver's Python ends.
+    it joins next. discard() deletes the table; else it goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop_path, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for table in tables:
+        drop_path(table.sparkSession, table._shared_path)
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of `taken` has it (in any case of letters)."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df, without those of the names `but`; names may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast df if its counted rows are at most so many; else the join shuffles it."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

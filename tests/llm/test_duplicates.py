@@ -31,7 +31,7 @@ def classes(texts, threshold=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+            if min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j]), 1) and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(k) for k in range(len(texts))]
 
@@ -69,8 +69,8 @@ def test_signatures_estimate_probability_jaccard():
 
 
 def test_query_gives_the_brute_force_classes(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(700).collect()
-    rows = near_dups.near_duplicate_classes(spark.createDataFrame(docs)).collect()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    rows = entry.op4_near_duplicates(spark, DATA).collect()
     ids = [d.doc_id for d in docs]
     want = dict(zip(ids, (ids[k] for k in classes([d.text for d in docs])), strict=True))
     assert {r.doc_id: r.class_id for r in rows} == want
@@ -125,8 +125,48 @@ def test_drifting_group_loses_no_link(spark):
         current[int(rng.integers(0, 150))] = f"y{k}"
         texts.append(" ".join(current))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(docs, near_dups.Sketch(block=16)).collect()}
-    assert [got[k] for k in range(160)] == classes(texts)
+    for sketch in (near_dups.Sketch(block=16), near_dups.Sketch(block_bytes=20_000)):
+        got = {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(docs, sketch).collect()}
+        assert [got[k] for k in range(160)] == classes(texts)
+
+
+def test_spanning_links_are_those_of_all_pairs():
+    """Fewer links than nodes, and the same components as all links between the two blocks."""
+    rng = np.random.default_rng(9)
+    for trial in range(30):
+        n, base = 40, rng.choice(10**6, 60, replace=False)
+        sets = [np.unique(np.r_[base[rng.random(60) < 0.93], rng.integers(0, 9, int(rng.integers(1, 6)))]) for _ in range(n)]
+        node, first = rng.permutation(1000)[:n], rng.random(n) < 0.5
+        second = first if trial % 3 == 0 else ~first
+        component = np.where(rng.random(n) < 0.2, node.min(), node)
+        got = near_dups.spanning_links(node, component, first, second, sets, 0.8)
+        parent = {int(x): int(x) for x in node}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def joined(pairs):
+            parent.update((x, x) for x in parent)
+            for a, b in pairs:
+                parent[find(int(a))] = find(int(b))
+            return len({find(x) for x in parent})
+
+        known = [(a, b) for a, b in zip(node, component, strict=True) if a != b]
+        every = [(node[i], node[j]) for i in range(n) for j in range(i) if ((first[i] and second[j]) or (first[j] and second[i])) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert set(got) <= {(min(a, b), max(a, b)) for a, b in every}
+        assert joined(known) - len(got) == joined(known + got) == joined(known + every)
+
+
+def test_near_dups_beside_clashing_names(spark):
+    rng = np.random.default_rng(10)
+    text = " ".join(words(rng, 60))
+    names = ["_id", "_h1", "_h2", "_x1", "x1", "h1", "h2", "KEPT_ID", "words", "node", "bands", "a.b", "row", "component"]
+    docs = spark.createDataFrame([(1, text, *names), (2, text + " end", *names), (3, None, *names)], ["doc_id", "text", *names])
+    assert {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    kept = near_dups.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, text, *names), (3, None, *names)]
 
 
 def dedup(rows):
