@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.llm.shared import materialize
+from cloudframe.llm.shared import broadcast_if_small, discard, materialize
 
 #: The contract's expressions, written so that Java takes time and stack in proportion to the
 #: text: a run that cannot match is not tried again from each of its characters (a match that
@@ -32,6 +32,8 @@ CONTEXT = 64
 ROUNDS = 3
 #: A pattern counts from this confidence on, and from so many identifiers in it.
 CONFIDENCE, SUPPORT = 0.7, 3
+#: Up to so many patterns, each a word and two numbers, are broadcast; beyond, the join shuffles.
+BROADCAST_PATTERNS = 100_000
 
 
 def _digits(value: Column) -> Column:
@@ -61,27 +63,41 @@ def _is_phone(value: Column) -> Column:
 CHECKS: dict[str, Callable[[Column], Column]] = {"email": lambda value: F.lit(True), "ip": _is_ip, "card": _is_card, "phone": _is_phone}
 
 
-def matches(text: Column, expression: str, check: Callable[[Column], Column]) -> Column:
-    """array<struct<start, end, value, before, after>> of the leftmost non-overlapping matches that pass the check.
+def matches(text: Column, expression: str, check: Callable[[Column], Column], kind: int) -> Column:
+    """array<struct<kind, at, gap, size, value, before, after>> of the leftmost non-overlapping matches, in order.
 
-    start and end count code points, end exclusive; before and after are up to 64 characters
-    beside the match. The text between matches gives the places: it is split by the same
-    expression, and one pass over the parts adds up their lengths.
+    gap and size count code points: from the match before, and of the match itself. before and
+    after are up to 64 characters beside it. value, before and after are null where the check
+    fails. Work and memory are in proportion to the text.
     """
     parts = F.split(text, expression, -1)
     found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    after = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    zipped = F.zip_with(F.zip_with(parts, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), after, lambda x, a: F.struct(F.length(x["p"]).alias("gap"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), x["m"].alias("value"), F.left(a, F.lit(CONTEXT)).alias("after")))
-    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.when(x["value"].isNull(), state).otherwise(F.struct(end.alias("at"), F.when(check(x["value"]), F.array_append(state["out"], one)).otherwise(state["out"]).alias("out")))
-
-    return F.aggregate(zipped, begin, step, lambda state: state["out"])
+    beside = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), F.slice(parts, F.lit(2), F.size(found)), lambda p, a: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("before"), F.left(a, F.lit(CONTEXT)).alias("after")))
+    checked = F.zip_with(beside, found, lambda x, m: F.struct(x.alias("x"), m.alias("m"), check(m).alias("ok")))
+    own = {"before": lambda y: y["x"]["before"], "after": lambda y: y["x"]["after"]}
+    return F.transform(
+        checked,
+        lambda y, at: F.struct(
+            F.lit(kind).alias("kind"), at.alias("at"), y["x"]["gap"].alias("gap"), F.length(y["m"]).alias("size"),
+            F.when(y["ok"], y["m"]).alias("value"), *(F.when(y["ok"], f(y)).alias(n) for n, f in own.items()),
+        ),
+    )
+
+
+def placed_matches(rows: DataFrame) -> DataFrame:
+    """row, kind, start, end, value, before, after of the matches that pass their check; rows has row and seen, from matches().
+
+    Places are running sums of gaps and sizes. Tokens (the last kind) that overlap a match of
+    another kind are left out: among the matches that start before a token's end, in order of
+    place, one ends latest, and that one overlaps it if any does.
+    """
+    each = rows.select("row", F.inline("seen")).repartition("row")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("at"))
+    places = each.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("size")).where("value is not null")
+    seed = F.col("kind") < len(KINDS)
+    order = Window.partitionBy("row").orderBy(F.when(seed, F.col("start")).otherwise(F.col("end")), seed).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(seed, F.col("end"))).over(order)
+    return places.withColumn("reach", reach).where(seed | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).select("row", "kind", "start", "end", "value", "before", "after")
 
 
 def _words(context: Column, side: str) -> Column:
@@ -91,10 +107,6 @@ def _words(context: Column, side: str) -> Column:
     return F.when(word != "", F.concat(F.lit(f"{side}:"), word))
 
 
-def _spans(kind: str) -> Column:
-    return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-
-
 def count_kind(spans: Column, kind: str) -> Column:
     """Number of spans of a kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
@@ -108,13 +120,17 @@ def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) ->
     """
     edges = materialize(edges.distinct())
     seeds = materialize(seeds.distinct().withColumn("seed", F.lit(1.0)))
-    scores = seeds
+    scores, old = seeds, []
     for n in range(rounds):
         scored = edges.join(scores.select("instance", F.col("seed").alias("score")), "instance", "left")
         patterns = materialize(scored.groupBy("pattern").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("confidence"), F.count("*").alias("support")))
+        discard(*old)
         if n + 1 < rounds:
-            reached = edges.join(patterns.where("confidence > 0"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-0.9 * F.col("confidence"))))).alias("reached"))
+            known = broadcast_if_small(patterns.where("confidence > 0"), BROADCAST_PATTERNS)
+            reached = edges.join(known, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-0.9 * F.col("confidence"))))).alias("reached"))
             scores = materialize(reached.join(seeds, "instance", "left").select("instance", F.coalesce("seed", "reached").alias("seed")))
+            old = [scores, patterns]
+    discard(edges, seeds)
     return patterns
 
 
@@ -128,25 +144,28 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     guards = {"email": F.instr("text", "@") > 0, "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike("[0-9]"), "phone": F.col("text").rlike(r"\+[0-9]")}
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
-    columns = {k: F.when(guards[k], matches(F.col("text"), rule, CHECKS[k])).otherwise(none) for k, rule in KINDS.items()}
-    columns["token"] = F.when(guards["card"], matches(F.col("text"), TOKEN, lambda value: F.lit(True))).otherwise(none)
-    rows = materialize(texts.withColumns(columns).drop("text").withColumn("row", F.monotonically_increasing_id()))
-
-    every = F.concat(*KINDS)
-    tokens = F.filter("token", lambda t: ~F.exists(F.col("every"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    rows = rows.withColumn("every", every).withColumn("token", tokens)
-    sides = lambda m: F.array_compact(F.array(_words(m["before"], "L"), _words(m["after"], "R")))
-    seen = rows.select(F.explode(F.concat("every", "token")).alias("m")).select(F.lower("m.value").alias("instance"), sides(F.col("m")).alias("patterns"))
-    seeds = rows.select(F.explode("every").alias("m")).select(F.lower("m.value").alias("instance"))
-    patterns = score_patterns(seen.select("instance", F.explode("patterns").alias("pattern")), seeds)
-    sure = patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern")
-
-    placed = rows.select("row", F.explode("token").alias("m")).select("row", "m.start", "m.end", F.explode(sides(F.col("m"))).alias("pattern"))
-    found = placed.join(sure, "pattern").select("row", "start", "end").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
-    base = F.concat(*map(_spans, KINDS))
+    none = F.array().cast("array<struct<kind:int,at:int,gap:int,size:int,value:string,before:string,after:string>>")
+    rules = [*((guards[k], rule, CHECKS[k]) for k, rule in KINDS.items()), (guards["card"], TOKEN, lambda value: F.lit(True))]
+    seen = F.concat(*(F.when(guard, matches(F.col("text"), rule, check, k)).otherwise(none) for k, (guard, rule, check) in enumerate(rules)))
+    rows = materialize(texts.select("doc_id", seen.alias("seen")).withColumn("row", F.monotonically_increasing_id()))
+
+    sides = F.array_compact(F.array(_words(F.col("before"), "L"), _words(F.col("after"), "R")))
+    placed = materialize(placed_matches(rows).select("row", "kind", "start", "end", F.lower("value").alias("instance"), sides.alias("patterns")))
+    seed = F.col("kind") < len(KINDS)
+    patterns = score_patterns(placed.select("instance", F.explode("patterns").alias("pattern")), placed.where(seed).select("instance"))
+    sure = broadcast_if_small(patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern"), BROADCAST_PATTERNS)
+
+    found = placed.where(~seed).select("row", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern").select("row", "kind", "start", "end").distinct()
+    names = F.array(*map(F.lit, (*KINDS, "id")))
+    spans = placed.where(seed).select("row", "kind", "start", "end").unionByName(found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
+
+    def of(inside: Callable[[Column], Column]) -> Column:
+        some = F.filter("spans", lambda s: inside(s["kind"] < len(KINDS)))
+        return F.transform(some, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return rows.select("row", "doc_id", base.alias("base")).join(found, "row", "left").select("doc_id", "base", F.coalesce("found", empty).alias("found"))
+    both = {"base": of(lambda base: base), "found": of(lambda base: ~base)}
+    return rows.select("row", "doc_id").join(spans, "row", "left").select("doc_id", *(F.coalesce(c, empty).alias(n) for n, c in both.items()))
 
 
 def written(spans: Column) -> Column:

@@ -66,8 +66,9 @@ def unused(taken: list[str], *names: str) -> list[str]:
 
 
 def own_columns(df: DataFrame, *but: str) -> list[Column]:
-    """The columns of df, without those of the names `but`; names may hold dots."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
+    """The columns of df, without those of the names `but` in any case of letters; names may hold dots."""
+    lower = {c.lower() for c in but}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in lower]
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
