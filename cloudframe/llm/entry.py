@@ -61,7 +61,7 @@ def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.oracle()}
+    return {"op2_lookup_sharding": sharding.oracle([f"shard-{k:03d}" for k in range(64)]), "op3_source_mixing": mixing.oracle()}

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudframe.llm.shared import own_columns, unused
+
 #: The table's size bounds what is broadcast: at most this many rows of (int, int).
 MAX_TABLE_SIZE = 1_048_573
 TABLE_SIZE = 65_537
@@ -64,7 +66,19 @@ def assign_shards(df: DataFrame, shards: list[str], key_col: str = "doc_id", tab
     """
     spark = df.sparkSession
     table = lookup_table(shards, table_size)
-    lookup = spark.createDataFrame(pd.DataFrame({"slot": np.arange(table_size, dtype=np.int32), "shard": [shards[k] for k in table]}), "slot int, shard string")
+    at, name = unused(df.columns, "slot", "shard")
+    lookup = spark.createDataFrame(pd.DataFrame({at: np.arange(table_size, dtype=np.int32), name: [shards[k] for k in table]}), f"{at} int, {name} string")
     key = F.coalesce(F.concat(F.lit("k"), F.col(key_col).cast("string")), F.lit("null key"))
     slot = (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint") % table_size).cast("int")
-    return df.drop("shard").withColumn("slot", slot).join(F.broadcast(lookup), "slot").select(*[F.col(c) for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    placed = df.withColumn(at, slot).join(F.broadcast(lookup), at)
+    return placed.select(*own_columns(df, "slot", "shard"), F.col(at).alias("slot"), F.col(name).alias("shard"))
+
+
+def oracle(shards: list[str]) -> str:
+    """The query over `documents` in DuckDB's SQL: the table as a list, a slot by the key's hash."""
+    table = ",".join(map(str, lookup_table(shards)))
+    names = ",".join(f"'{s}'" for s in shards)
+    key = "coalesce('k' || doc_id::VARCHAR, 'null key')"
+    return f"""WITH placed AS (SELECT doc_id, (('0x' || substr(md5({key}), 1, 15))::BIGINT % {TABLE_SIZE})::INT AS slot FROM documents),
+lookup AS (SELECT [{table}] AS owner, [{names}] AS name)
+SELECT doc_id, slot, name[owner[slot + 1] + 1] AS shard FROM placed, lookup"""

@@ -49,17 +49,43 @@ def safe_pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
         yield text[start:]
 
 
+def spaced_pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
+    """Cut a long text at single spaces between other characters, and drop those spaces.
+
+    sentencepiece writes the start of a text as it writes a space, and its pieces begin at
+    spaces, so the parts have the tokens of the whole. splits_at_spaces() looks whether a
+    model does so. A stretch without such a space stays whole.
+    """
+    start, n = 0, len(text)
+    while n - start > limit:
+        cut = start + limit
+        while cut < n and not (text[cut] == " " and not text[cut - 1].isspace() and cut + 1 < n and not text[cut + 1].isspace()):
+            cut += 1
+        yield text[start:cut]
+        start = cut + 1
+    if start < n:
+        yield text[start:]
+
+
+@functools.lru_cache(maxsize=4)
+def splits_at_spaces(path: str) -> bool:
+    """Whether the sentencepiece model at `path` encodes words alone as it does between spaces."""
+    encode = load_tokenizer(path).encode
+    return all(encode(f"{a} {b}") == encode(a) + encode(b) for a, b in (("a", "b"), ("the", "end"), ("1,", "Zürich"), ("</s>", "\n")))
+
+
 def token_lengths(texts: list[str | None], path: str, split_chars: int = SPLIT_CHARS, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     """Number of tokens of each text; null and empty texts have none."""
     tokenizer, out = load_tokenizer(path), np.zeros(len(texts), dtype=np.int64)
-    splits = path.endswith(".json")
+    is_json = path.endswith(".json")
+    pieces = safe_pieces if is_json else spaced_pieces if splits_at_spaces(path) else lambda text, limit: (text,)
     rows: list[int] = []
     batch: list[str] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
-        if splits:
+        if is_json:
             lengths = [len(e) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
         else:
             lengths = [len(ids) for ids in tokenizer.encode(batch, num_threads=1)]
@@ -70,10 +96,10 @@ def token_lengths(texts: list[str | None], path: str, split_chars: int = SPLIT_C
 
     for row, text in enumerate(texts):
         if text:
-            for piece in safe_pieces(text, split_chars) if splits else (text,):
+            for piece in pieces(text, split_chars):
                 rows.append(row)
                 batch.append(piece)
-                size += len(piece)
+                size += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
                 if size >= batch_bytes:
                     flush()
     if batch:
