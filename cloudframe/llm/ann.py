@@ -7,13 +7,13 @@ projection in each array; a vector collides where it lies within. The windows gr
 (virtual rehashing: nothing is hashed anew), until enough vectors collide in at least a share
 of the arrays. Those are verified by exact inner products on the original vectors.
 
-Vectors stay in their partitions, a block at a time; queries are broadcast in chunks of a
-bounded size, and a block returns its best k for each query.
+Vectors and queries are dealt out to groups of bounded bytes. Every group of vectors meets
+every group of queries by an equi-join on the two groups' numbers, in a task that indexes its
+vectors a block at a time and returns the best k for each query. Nothing passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from cloudframe.llm.shared import bound_arrow_batches
 
-#: Vectors indexed together, and bytes of the queries broadcast at once.
-BLOCK, QUERY_BYTES = 16_384, 32 << 20
+#: Vectors indexed together, and bytes of the vectors, or of the queries, that one task gets.
+BLOCK, GROUP_BYTES = 8_192, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -105,15 +105,21 @@ class Block:
         self.round = at
         return found
 
-    def best(self, query_id: int, query: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and inner products of the k best of the candidates found, ties to the smaller id."""
-        found = found[self.ids[found] != query_id]
-        scores = self.vectors[found] @ query
-        if len(scores) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            found, scores = found[near], scores[near]
-        order = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found[order]], scores[order]
+
+def best(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, found: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """ids and inner products of the k best of the candidates found, ties to the smaller id.
+
+    A fast product finds those near the cut, whatever its rounding; their scores are summed
+    in one order, so equal vectors have equal scores.
+    """
+    found = found[ids[found] != query_id]
+    scores = vectors[found] @ query
+    if len(scores) > k:
+        error = 1e-12 * longest * np.sqrt(query @ query)
+        found = found[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - error]
+    scores = (vectors[found] * query).sum(axis=1)
+    order = np.lexsort((ids[found], -scores))[:k]
+    return ids[found[order]], scores[order]
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -128,61 +134,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Collisi
     Queries are the rows for which is_query holds, candidates all rows but those of the
     query's id; score is the inner product in double precision, ties go to the smaller id.
     Rows of a null id, and vectors that are null, zero, of another length than most or with
-    null or non-finite components, take no part. Of repeated query ids any one row asks.
+    null or non-finite components, take no part. Of repeated query ids the least vector asks.
     """
-    spark = vectors.sparkSession
-    bound_arrow_batches(spark)
+    bound_arrow_batches(vectors.sparkSession)
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = sizes["dim"] if sizes else 0
     rows = rows.where(usable(F.col("v"), dim))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, n_queries, longest = rows.agg(F.count("*"), F.coalesce(F.count_if("asks"), F.lit(0)), F.coalesce(F.sqrt(F.max(square)), F.lit(0.0))).first()
-    lines = directions(dim, settings)
-    placed = rows.select("id", "v").repartition(max(1, -(-n // BLOCK)))
-    chunks = max(1, -(-n_queries * 8 * max(1, dim) // QUERY_BYTES))
-    parts = []
-    for chunk in range(chunks):
-        asking = rows.where(F.col("asks") & (F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk)).select("id", "v").toPandas().drop_duplicates("id")
-        if not len(asking):
-            continue
-        queries = np.stack(asking["v"].to_numpy())
-        sent = spark.sparkContext.broadcast((asking["id"].to_numpy(), queries, queries @ lines[:-1]))
-        parts.append(placed.mapInArrow(_search(sent, lines, longest, settings, dim, k), "query_id bigint, vec_id bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search(sent, lines: np.ndarray, longest: float, settings: Collisions, dim: int, k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, at = sent.value
-        ids, vectors, size = [], [], 0
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            block = Block(np.concatenate(ids), np.concatenate(vectors), longest, lines, settings)
-            for start in range(0, len(query_ids), 128):
-                out = []
-                begin, end = block.windows(at[start : start + 128])
-                for row in range(start, min(start + 128, len(query_ids))):
-                    found = block.candidates(begin[row - start], end[row - start])
-                    near, scores = block.best(query_ids[row], queries[row], found, k)
+    most = max(BLOCK, GROUP_BYTES // (8 * max(1, dim)))
+    each = min(most, max(BLOCK, n // (2 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    groups, query_groups = (F.sequence(F.lit(0), F.lit(max(1, -(-count // size)) - 1)) for count, size in ((n, each), (n_queries, most)))
+    placed = rows.select("id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.size(groups)).cast("int").alias("vector_group"), F.explode(query_groups).alias("query_group"))
+    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    asking = asking.select("id", "v", F.explode(groups).alias("vector_group"), F.pmod(F.xxhash64("id"), F.size(query_groups)).cast("int").alias("query_group"))
+    keys = ("vector_group", "query_group")
+    found = placed.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_search(directions(dim, settings), longest, settings, dim, k), "query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(lines: np.ndarray, longest: float, settings: Collisions, dim: int, k: int):
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table["id"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+
+    def search(placed: pa.Table, asking: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if placed.num_rows and asking.num_rows:
+            (ids, vectors), (query_ids, queries) = arrays(placed), arrays(asking)
+            at = queries @ lines[:-1]
+            starts = range(0, len(ids), BLOCK)
+            blocks = [Block(ids[s : s + BLOCK], vectors[s : s + BLOCK], longest, lines, settings) for s in starts]
+            for low in range(0, len(query_ids), 128):
+                windows = [block.windows(at[low : low + 128]) for block in blocks]
+                for row in range(low, min(low + 128, len(query_ids))):
+                    found = np.concatenate([s + block.candidates(begin[row - low], end[row - low]) for s, block, (begin, end) in zip(starts, blocks, windows, strict=True)])
+                    near, scores = best(ids, vectors, query_ids[row], queries[row], found, k, longest)
                     out.append((np.full(len(near), query_ids[row]), near, scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            if batch.num_rows:
-                ids.append(batch.column(0).to_numpy())
-                vectors.append(batch.column(1).flatten().to_numpy().reshape(-1, dim))
-                size += batch.num_rows
-                if size >= BLOCK:
-                    yield from answer()
-                    ids, vectors, size = [], [], 0
-        if size:
-            yield from answer()
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return search
