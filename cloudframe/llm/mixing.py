@@ -3,18 +3,21 @@
 Token weights of the cells source x language x topic are raked: scaled in turn so that their
 sums by source, by language and by topic meet the targets, with no cell above the tokens it
 has. A document is then kept with the probability weight / tokens of its cell. All of it is
-DataFrame operations; the cells' table, not the documents, goes through the rounds.
+DataFrame operations; the cells' table, not the documents, goes through the rounds, which are
+window sums of one plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.llm.shared import materialize, unit_hash
+from cloudframe.llm.shared import broadcast_if_small, materialize, own_columns, unit_hash, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Rules for a topic, the first that matches; without a match it is "prose".
+#: Rules for a topic where the caller gives none, the first that matches; without a match it is "prose".
 TOPICS = {"legal": "(?i)licen[sc]e|copyright", "credentials": "(token|password|secret|key) ?=", "contact": r"@[A-Za-z0-9-]+\.|\+[0-9]"}
 ROUNDS = 10
 #: Up to so many cells are broadcast, each of three names and a number; beyond, the join shuffles.
@@ -43,62 +46,107 @@ def tempered_targets(cells: DataFrame, dim: str, power: float, budget: float) ->
     return sums.crossJoin(F.broadcast(total)).select(dim, (budget * F.col("raised") / F.col("total")).alias("target"))
 
 
-def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:
-    """cells (dims, base) with `weight`: base x share, raked to the targets (dim, target) and at most base.
+def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """cells (dims, base, weight, target_<dim>) with `weight` raked to the targets, at most base.
 
-    A category without a target keeps its weight. Up to BROADCAST_CELLS cells stay in one
-    partition, so the rounds don't shuffle; more are dealt out.
+    A category without a target keeps its weight. Cells of one partition are not shuffled;
+    of more, each step deals them out by its dimension.
     """
-    few = cells.count() <= BROADCAST_CELLS
-
-    def kept(weights: DataFrame) -> DataFrame:
-        return materialize(weights.coalesce(1)).coalesce(1) if few else materialize(weights)
-
-    weights = kept(cells.withColumn("weight", F.col("base") * F.lit(share)))
     for _ in range(rounds):
         for dim in dims:
-            factor = weights.groupBy(dim).agg(F.sum("weight").alias("now")).join(targets[dim], dim).select(dim, F.try_divide("target", "now").alias("factor"))
-            weights = weights.join(factor, dim, "left").withColumn("weight", F.least(F.col("base").cast("double"), F.col("weight") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
-        weights = kept(weights)
-    return weights
+            now = F.sum("weight").over(Window.partitionBy(dim))
+            factor = F.coalesce(F.try_divide(f"target_{dim}", now), F.lit(1.0))
+            cells = cells.withColumn("weight", F.least(F.col("base").cast("double"), F.col("weight") * factor))
+    return cells
 
 
-def mixed_sample(docs: DataFrame, share: float = 0.7, powers: dict[str, float] = POWERS, seed: int = 11, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", explicit: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The rows kept, with topic, n_tokens and rate (the probability of being kept) added.
+def marginals(weights: DataFrame, dims: list[str]) -> DataFrame:
+    """dim, category, target, reached, residual of raked cells: how far the sums of weights are from their targets.
 
-    share is the share of all tokens to keep. The targets of source, lang and topic are
-    their shares of the tokens to a power (1 keeps proportions, 0 makes all equal), or for a
-    dimension in `explicit` the shares given there. A null source or language is a category
-    of its own. Whether a row stays depends on its doc_id, the seed and its cell's rate, so
-    rows of equal doc_id and cell stay or go together. Added columns replace those of their
-    names. An empty table stays empty. A document without words goes by its cell's rate; cells
-    in which no document has a word go.
+    residual is the distance as a share of all weights. It stays above 0 where a target asks
+    for more tokens than there are.
     """
-    names = {"source": F.coalesce(F.col("source"), F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "topic": topic_of(F.col(text_col))}
-    keys = [f"_{d}" for d in names]
-    marked = docs.withColumns({f"_{d}": c for d, c in names.items()} | {"_tokens": token_weight(F.col(text_col))})
-    cells = materialize(marked.groupBy(*keys).agg(F.sum("_tokens").alias("base")).where("base > 0"))
-    budget = share * (cells.agg(F.sum("base")).first()[0] or 0)
-    targets = {}
-    for dim, key in zip(names, keys, strict=True):
-        if explicit and dim in explicit:
-            rows = [(name, budget * part / sum(explicit[dim].values())) for name, part in explicit[dim].items()]
-            targets[key] = docs.sparkSession.createDataFrame(rows, f"{key} string, target double")
+    total = weights.agg(F.sum("weight").alias("total"))
+    sums = None
+    for dim in dims:
+        one = weights.groupBy(F.col(dim).alias("category")).agg(F.max(f"target_{dim}").alias("target"), F.sum("weight").alias("reached")).select(F.lit(dim).alias("dim"), "*")
+        sums = one if sums is None else sums.unionByName(one)
+    off = F.try_divide(F.abs(F.col("reached") - F.col("target")), F.col("total"))
+    return sums.crossJoin(F.broadcast(total)).select("dim", "category", "target", "reached", off.alias("residual"))
+
+
+@dataclass(frozen=True)
+class Mix:
+    """What a sample is to be like.
+
+    share: of all tokens, to keep. powers: the targets of source, lang and topic are their
+    shares of the tokens to a power (1 keeps proportions, 0 makes all equal), or for a
+    dimension in `explicit` the shares given there. topic: a column of strings that the caller
+    derives from the rows (by default rules on the text, topic_of()).
+    """
+
+    share: float = 0.7
+    powers: dict[str, float] = field(default_factory=lambda: dict(POWERS))
+    explicit: dict[str, dict[str, float]] = field(default_factory=dict)
+    topic: Column | None = None
+    seed: int = 11
+    rounds: int = ROUNDS
+
+
+def _categories(mix: Mix, text_col: str) -> dict[str, Column]:
+    """A row's category in each dimension; null is a category of its own, written as the empty string."""
+    topic = topic_of(F.col(text_col)) if mix.topic is None else mix.topic
+    return {name: F.coalesce(c.cast("string"), F.lit("")) for name, c in (("source", F.col("source")), ("lang", F.col("lang")), ("topic", topic))}
+
+
+def raked_cells(docs: DataFrame, mix: Mix = Mix(), text_col: str = "text") -> DataFrame:
+    """source, lang, topic, base (tokens), weight and target_<dim> of every cell that has a word; a table of the shared folder."""
+    categories = _categories(mix, text_col)
+    marked = docs.select(*(c.alias(n) for n, c in categories.items()), token_weight(F.col(text_col)).alias("base"))
+    cells = materialize(marked.groupBy(*categories).agg(F.sum("base").alias("base")).where("base > 0"))
+    n, tokens = cells.agg(F.count("*"), F.sum("base")).first()
+    budget = mix.share * (tokens or 0)
+    aimed = cells.withColumn("weight", F.col("base") * F.lit(mix.share))
+    for dim in categories:
+        given = mix.explicit.get(dim)
+        if given:
+            rows = [(name, budget * part / sum(given.values())) for name, part in given.items()]
+            targets = docs.sparkSession.createDataFrame(rows, f"{dim} string, target double")
         else:
-            targets[key] = materialize(tempered_targets(cells, key, powers[dim], budget))
-    weights = rake(cells, keys, targets, share, rounds)
-    rates = weights.select(*keys, F.round(F.col("weight") / F.col("base"), 9).alias("_rate"))
-    if weights.count() <= BROADCAST_CELLS:
-        rates = F.broadcast(rates)
-    kept = marked.join(rates, keys).where(unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed) < F.col("_rate"))
-    own = [c for c in docs.columns if c not in ("topic", "n_tokens", "rate")]
-    return kept.select(*own, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"))
+            targets = tempered_targets(cells, dim, mix.powers[dim], budget)
+        aimed = aimed.join(targets.withColumnRenamed("target", f"target_{dim}"), dim, "left")
+    aimed = materialize(aimed)
+    return materialize(rake(aimed.coalesce(1) if n <= BROADCAST_CELLS else aimed, list(categories), mix.rounds))
+
+
+def _kept(docs: DataFrame, mix: Mix, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """The rows kept, and the names of the columns added: source, lang, topic, n_tokens, rate."""
+    names = unused(docs.columns, "cell_source", "cell_lang", "cell_topic", "n_tokens", "rate")
+    rate = F.round(F.col("weight") / F.col("base"), 9)
+    rates = raked_cells(docs, mix, text_col).select(*(F.col(d).alias(n) for d, n in zip(POWERS, names[:3], strict=True)), rate.alias(names[4]))
+    categories = dict(zip(names, _categories(mix, text_col).values(), strict=False))
+    marked = docs.withColumns(categories | {names[3]: token_weight(F.col(text_col))})
+    drawn = unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), mix.seed)
+    return marked.join(broadcast_if_small(rates, BROADCAST_CELLS), names[:3]).where(drawn < F.col(names[4])), names
+
+
+def mixed_sample(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows kept, with topic, n_tokens and rate (the probability of being kept) added.
+
+    docs has source and lang. Whether a row stays depends on its doc_id, the seed and its
+    cell's rate, so rows of equal doc_id and cell stay or go together. Added columns replace
+    those of their names. An empty table stays empty. A document without words goes by its
+    cell's rate; cells in which no document has a word go. raked_cells() and marginals() say
+    how near the targets the weights come.
+    """
+    kept, names = _kept(docs, mix, id_col, text_col)
+    added = ("topic", "n_tokens", "rate")
+    return kept.select(*own_columns(docs, *added), *(F.col(n).alias(a) for n, a in zip(names[2:], added, strict=True)))
 
 
-def sample_mix(docs: DataFrame, **options) -> DataFrame:
+def sample_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As mixed_sample(), with the columns of docs only."""
-    names = {c: f"_own_{c}" for c in docs.columns if c in ("topic", "n_tokens", "rate")}
-    return mixed_sample(docs.withColumnsRenamed(names), **options).drop("topic", "n_tokens", "rate").withColumnsRenamed({v: k for k, v in names.items()})
+    return _kept(docs, mix, id_col, text_col)[0].select(*own_columns(docs))
 
 
 def oracle(share: float = 0.7, seed: int = 11, rounds: int = ROUNDS) -> str:
