@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudframe.llm.shared import bound_arrow_batches
+from cloudframe.llm.shared import bound_arrow_batches, own_columns, unused
 
 #: 2^BITS buckets for all orders together.
 BITS = 15
 ORDERS = (1, 2, 3)
 #: The matrix that goes to every executor may have so many bytes; more languages are an error.
 MAX_MODEL_BYTES = 64 << 20
-#: Characters that are handled at once; a longer text is read as slices that n-grams don't span.
+#: Characters that are handled at once; a longer text is read as slices, each with the end of the one before.
 SLICE = 262_144
 UNKNOWN = "und"
 
@@ -34,26 +34,40 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Row numbers and texts of about SLICE characters together."""
-    rows, parts, size = [], [], 0
+def tail(part: str) -> str:
+    """The last characters of a part that n-grams may share with the next, runs of other characters than letters as one space."""
+    out, at = "", len(part)
+    while at and len(out) < max(ORDERS) - 1:
+        at -= 1
+        char = part[at] if part[at].isalpha() else " "
+        if not (char == " " and out[:1] == " "):
+            out = char + out
+    return out
+
+
+def slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Row numbers, texts of about SLICE characters together, and how many characters of each are of the slice before."""
+    rows, parts, carried, size = [], [], [], 0
     for row, text in enumerate(texts):
-        for at in range(0, len(text or ""), SLICE):
-            parts.append(text[at : at + SLICE].lower())
+        text, before = (text or "").lower(), ""
+        for at in range(0, len(text), SLICE):
+            carried.append(len(before))
+            parts.append(before + text[at : at + SLICE])
             rows.append(row)
+            before = tail(parts[-1])
             size += len(parts[-1])
             if size >= SLICE:
-                yield rows, parts
-                rows, parts, size = [], [], 0
+                yield rows, parts, carried
+                rows, parts, carried, size = [], [], [], 0
     if rows:
-        yield rows, parts
+        yield rows, parts, carried
 
 
-def hashed_ngrams(parts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def hashed_ngrams(parts: list[str], carried: list[int], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(part number, bucket) of every n-gram, parts ascending within each order.
 
     Runs of other characters than letters count as one space; an n-gram of a space alone
-    isn't counted.
+    isn't counted, nor one within the first `carried` characters of a part.
     """
     code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     part = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
@@ -61,6 +75,7 @@ def hashed_ngrams(parts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.nd
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (part[1:] != part[:-1])
     code, part = code[keep], part[keep]
+    new = np.arange(len(code)) >= (np.searchsorted(part, np.arange(len(parts))) + carried)[part]
     found_parts, found = [], []
     rolled = np.zeros(len(code), np.uint32)
     for n in range(1, max(ORDERS) + 1):
@@ -72,7 +87,7 @@ def hashed_ngrams(parts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.nd
             mixed = rolled * np.uint32(0x9E3779B1)
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x85EBCA6B)
-            ok = part[:end] == part[n - 1 :]
+            ok = (part[:end] == part[n - 1 :]) & new[n - 1 :]
             if n == 1:
                 ok = ok & (code != 32)
             found.append((mixed >> np.uint32(32 - bits))[ok].astype(np.int32))
@@ -93,8 +108,8 @@ class LanguageModel:
         out = np.tile(self.priors, (len(texts), 1))
         lettered = np.zeros(len(texts), bool)
         bits = int(self.weights.shape[0]).bit_length() - 1
-        for rows, parts in slices(texts):
-            part, bucket = hashed_ngrams(parts, bits)
+        for rows, parts, carried in slices(texts):
+            part, bucket = hashed_ngrams(parts, carried, bits)
             rows = np.array(rows)
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
             if len(part):
@@ -109,7 +124,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
 
     Rows with null in either are left out; no rows at all give a model without languages,
     which answers "und" for everything. What is collected has one number for each language
-    and bucket, within MAX_MODEL_BYTES.
+    and bucket, within MAX_MODEL_BYTES: 512 languages at 2^15 buckets, beyond which it is a
+    ValueError and fewer bits are needed.
     """
     bound_arrow_batches(train.sparkSession)
     train = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -122,8 +138,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
         counts = np.zeros((len(index), 1 << bits), np.int64)
         for batch in batches:
             langs = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
-            for rows, parts in slices(batch.column(0).to_pylist()):
-                part, bucket = hashed_ngrams(parts, bits)
+            for rows, parts, carried in slices(batch.column(0).to_pylist()):
+                part, bucket = hashed_ngrams(parts, carried, bits)
                 key = (langs[np.array(rows)][part] << bits) + bucket
                 counts += np.bincount(key, minlength=counts.size).reshape(counts.shape)
         lang, bucket = np.nonzero(counts)
@@ -166,5 +182,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     first language in order of name. Only text_col is looked at.
     """
     bound_arrow_batches(docs.sparkSession)
-    guessed = docs.drop("lang_pred", "score").withColumn("_guess", predict(F.col(text_col), model, docs.sparkSession))
-    return guessed.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_guess.lang_pred", "_guess.score")
+    (guess,) = unused(docs.columns, "guess")
+    guessed = docs.withColumn(guess, predict(F.col(text_col), model, docs.sparkSession))
+    return guessed.select(*own_columns(docs, "lang_pred", "score"), f"{guess}.lang_pred", f"{guess}.score")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.llm.near_dups import mixed, normal_words, word_hashes
-from cloudframe.llm.shared import bound_arrow_batches, fingerprint, materialize
+from cloudframe.llm.shared import bound_arrow_batches, discard, fingerprint, materialize, own_columns, unused
 
 #: Blank lines are never dropped; from MIN_EDIT_WORDS on a line goes for a near one too, from SURE_WORDS on whatever the word's length.
 MIN_WORDS, MIN_EDIT_WORDS, SURE_WORDS = 1, 4, 10
@@ -203,12 +203,16 @@ def _bounded(df: DataFrame, lines: Column | None = None) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, f1, f2, line_no array) of the lines to drop; docs has doc_id, text, f1, f2 (fingerprint of text)."""
+    """(doc_id, f1, f2, gone: array of line numbers) of the lines to drop, a table of the shared folder.
+
+    docs has doc_id, text, f1, f2 (fingerprint of text).
+    """
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "f1", "f2", "line_no")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", "f1", "f2", "text").mapInArrow(_hashed_lines, f"doc_id {id_type}, f1 bigint, f2 bigint, line_no int, l1 bigint, l2 bigint, glued bigint, half0 bigint, half1 bigint, half2 bigint, half3 bigint")
     keys = ["glued", *(f"half{k}" for k in range(4))]
-    keyed = materialize(hashed).select("l1", "l2", place.alias("place"), *keys)
+    lines = materialize(hashed)
+    keyed = lines.select("l1", "l2", place.alias("place"), *keys)
     distinct = keyed.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in keys))
     distinct = materialize(distinct.withColumn("line", F.monotonically_increasing_id()))
 
@@ -234,9 +238,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     heads = texts.select(F.col("line").alias("head"), F.col("words").alias("head_words"))
     near = pairs.join(texts, "line").join(heads, "head").where(edit_verified(F.col("words"), F.col("head_words"))).select("line").distinct()
 
-    marked = distinct.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 or near").select("l1", "l2", "first", "near")
-    gone = keyed.select("l1", "l2", "place").join(materialize(marked), ["l1", "l2"]).where("near or place <> first")
-    return gone.groupBy("place.doc_id", "place.f1", "place.f2").agg(F.collect_set("place.line_no").alias("gone"))
+    marked = materialize(distinct.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 or near").select("l1", "l2", "first", "near"))
+    discard(distinct, wanted, texts, members, alike)
+    gone = keyed.select("l1", "l2", "place").join(marked, ["l1", "l2"]).where("near or place <> first")
+    found = materialize(gone.groupBy("place.doc_id", "place.f1", "place.f2").agg(F.collect_set("place.line_no").alias("gone")))
+    discard(lines, marked)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,21 +254,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay. Rows of null doc_id come last in the order. Rows equal in
     doc_id and text count as one document and come out alike.
     """
+    done, counts = _deduped(docs, id_col, text_col)
+    return done.select(*own_columns(docs, *COUNTS), *(F.col(c).alias(n) for c, n in zip(counts, COUNTS, strict=True)))
+
+
+COUNTS = ("n_lines", "n_dropped")
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with the lines that stay and two more columns, and their names, that none of its own has."""
     bound_arrow_batches(docs.sparkSession)
     f1, f2 = fingerprint(F.col(text_col))
     keys = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), f1.alias("f1"), f2.alias("f2"))
-    gone = materialize(dropped_lines(keys)).select(F.col("doc_id").alias("_id"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.col("gone").alias("_gone"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (f1 == F.col("_f1")) & (f2 == F.col("_f2"))
-    met = docs.drop("n_lines", "n_dropped").join(_bounded(gone, F.size("_gone")), same, "left").withColumn("_lines", F.split(text_col, "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda k: F.col("_lines")[k])
-    counted = met.withColumns({"n_lines": F.greatest(F.size("_lines"), F.lit(0)).cast("bigint"), "n_dropped": F.greatest(F.size("_gone"), F.lit(0)).cast("bigint")})
-    texts = counted.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    return texts.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    n_lines, n_dropped, i, g1, g2, gone, lines = unused(docs.columns, *COUNTS, "gone_id", "f1", "f2", "gone", "lines")
+    table = dropped_lines(keys).select(F.col("doc_id").alias(i), F.col("f1").alias(g1), F.col("f2").alias(g2), F.col("gone").alias(gone))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (f1 == F.col(g1)) & (f2 == F.col(g2))
+    met = docs.join(_bounded(table, F.size(gone)), same, "left").withColumn(lines, F.split(text_col, "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda k: F.col(lines)[k])
+    counted = met.withColumns({n: F.greatest(F.size(c), F.lit(0)).cast("bigint") for n, c in ((n_lines, lines), (n_dropped, gone))})
+    return counted.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))), [n_lines, n_dropped]
 
 
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that stay, its own columns only; documents of which no word is left go."""
-    names = {c: f"_{c}" for c in docs.columns if c in ("n_lines", "n_dropped")}
-    done = dedup_lines(docs.withColumnsRenamed(names), id_col, text_col)
-    left = done.where((F.col("n_dropped") == 0) | (normal_words(F.col(text_col)) != "")).drop("n_lines", "n_dropped")
-    return left.withColumnsRenamed({v: k for k, v in names.items()})
+    done, (_, n_dropped) = _deduped(docs, id_col, text_col)
+    return done.where((F.col(n_dropped) == 0) | (normal_words(F.col(text_col)) != "")).select(*own_columns(docs))

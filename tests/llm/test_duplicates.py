@@ -269,10 +269,63 @@ def test_line_edge_cases(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def dedup_all(rows):
+    """As dedup(), by the operator's own rule for near lines, for a whole table.
+
+    near_lines() holds only for lines that share the first or the last half of the shorter
+    one's words, or all letters, so the slow way looks among those alone.
+    """
+    seen, by_part, out = set(), {}, []
+    for _, text in rows:
+        left = []
+        for line in text.split("\n"):
+            w = line.lower().split()
+            if not w:
+                left.append(line)
+                continue
+            parts = [("letters", "".join(w))]
+            for n in {len(w) - 1, len(w), len(w) + 1}:
+                parts += [(n, "first", tuple(w[: min(n, len(w)) // 2])), (n, "last", tuple(w[len(w) - min(n, len(w)) // 2 :]))]
+            gone = tuple(w) in seen or any(line_dedup.near_lines(w, e) for part in parts for e in by_part.get(part, ()))
+            if tuple(w) not in seen:
+                seen.add(tuple(w))
+                mine = [("letters", "".join(w))]
+                for n in {len(w) - 1, len(w), len(w) + 1}:
+                    low = min(n, len(w))
+                    mine += [(len(w), "first", tuple(w[: low // 2])), (len(w), "last", tuple(w[len(w) - low // 2 :]))]
+                for part in set(mine):
+                    by_part.setdefault(part, []).append(w)
+            if not gone:
+                left.append(line)
+        out.append("\n".join(left))
+    return out
+
+
 def test_line_query_whole_table(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").select("doc_id", "text").limit(150).collect()
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs)).collect()}
-    assert [got[d.doc_id] for d in docs] == dedup([(d.doc_id, d.text) for d in docs])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").orderBy("doc_id").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in entry.op10_line_dedup(spark, DATA).collect()}
+    want = dedup_all([(d.doc_id, d.text) for d in docs])
+    assert [got[d.doc_id].text for d in docs] == want and sum(r.n_dropped for r in got.values()) > 1000
+
+
+def test_lines_beyond_the_broadcast_bounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(words(rng, int(n), 30)) for n in rng.integers(3, 12, 40)]
+    rows = [(k, "\n".join(rng.choice(pool, 5))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == want
+
+
+def test_lines_beside_clashing_names(spark):
+    names = ["_id", "_f1", "f1", "_f2", "_gone", "GONE", "_lines", "lines", "n_lines", "n_dropped", "gone_id", "a.b"]
+    docs = spark.createDataFrame([(1, "a b c d\na b c d", *names), (2, "a b c d", *names)], ["doc_id", "text", *names])
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *(n for n in names if n not in ("n_lines", "n_dropped")), "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.text, r._gone, r.n_dropped) for r in got.collect()) == [(1, "a b c d", "_gone", 1), (2, "", "_gone", 1)]
+    kept = line_dedup.keep_new_lines(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d", *names)]
 
 
 def test_pipeline_stages(spark, tmp_path):

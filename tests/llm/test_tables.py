@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloudframe.llm import ann, entry, mixing, pii, sharding
 
-DATA = "/root/testdata/sf0.01"
+DATA, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_lookup_table_is_the_permutations():
@@ -67,21 +68,42 @@ def test_raking_meets_explicit_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(int(k), "w " * int(rng.integers(5, 50)), rng.choice(["a", "b", "b", "b"]).item(), rng.choice(["x", "y"]).item(), 1) for k in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, rate int")
-    kept = mixing.mixed_sample(docs, share=0.3, explicit={"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}}, powers=mixing.POWERS).toPandas()
+    mix = mixing.Mix(share=0.3, explicit={"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}}, topic=F.when(F.col("doc_id") % 2 == 0, "even"))
+    kept = mixing.mixed_sample(docs, mix).toPandas()
     tokens = kept.groupby("source").n_tokens.sum() / kept.n_tokens.sum()
     langs = kept.groupby("lang").n_tokens.sum() / kept.n_tokens.sum()
-    assert abs(tokens["a"] - 0.5) < 0.05 and abs(langs["x"] - 0.75) < 0.05
+    assert abs(tokens["a"] - 0.5) < 0.05 and abs(langs["x"] - 0.75) < 0.05 and set(kept.topic) == {"even", ""}
     assert kept.rate.between(0, 1).all() and abs(kept.n_tokens.sum() / sum(len(t.split()) for _, t, *_ in rows) - 0.3) < 0.03
     assert mixing.sample_mix(docs).columns == docs.columns
+    sums = mixing.marginals(mixing.raked_cells(docs, mix), ["source", "lang", "topic"]).toPandas()
+    assert sums.residual.max() < 1e-3 and len(sums) == 6
+    more = mixing.Mix(share=0.9, explicit={"source": {"a": 9, "b": 1}})  # more of a than there is
+    off = mixing.marginals(mixing.raked_cells(docs, more), ["source"]).toPandas().set_index("category")
+    assert off.reached["a"] == pytest.approx(sum(len(t.split()) for _, t, s, *_ in rows if s == "a")) and off.residual["a"] > 0.3
+
+
+def test_raking_beyond_the_bound_is_the_same(spark, monkeypatch):
+    """More cells than are kept in one partition or broadcast."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), "w " * int(rng.integers(1, 9)), f"s{rng.integers(0, 20)}", f"l{rng.integers(0, 5)}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    few = sorted(map(tuple, mixing.mixed_sample(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 7)
+    assert sorted(map(tuple, mixing.mixed_sample(docs).collect())) == few and len(few) > 1000
 
 
 def test_mixing_edge_cases(spark):
     rows = [(None, "a b", None, None), (1, None, "s", "l"), (2, "", "s", "l"), (3, "a b c", "s", "l"), (3, "a b c", "s", "l")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
-    kept = mixing.mixed_sample(docs, share=1.0).collect()
+    kept = mixing.mixed_sample(docs, mixing.Mix(share=1.0)).collect()
     assert sorted(r.n_tokens for r in kept) == [0, 0, 2, 3, 3]
     assert mixing.mixed_sample(docs.where('doc_id < 3')).count() == 0  # no cell has a word
     assert mixing.mixed_sample(docs.limit(0)).count() == 0
+    names = ["_source", "_tokens", "_rate", "cell_source", "CELL_TOPIC", "n_tokens", "rate", "weight", "a.b", "_own_topic", "topic"]
+    wide = docs.select("*", *(F.lit("mine").alias(n) for n in names))
+    for row in mixing.sample_mix(wide, mixing.Mix(share=1.0)).collect():
+        assert list(row)[4:] == ["mine"] * len(names)
+    assert mixing.mixed_sample(wide, mixing.Mix(share=1.0)).select("_source", "`a.b`", "_own_topic").distinct().collect() == [("mine", "mine", "mine")]
 
 
 def luhn(digits):
@@ -145,6 +167,41 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found[8] == ["user_99887766"] and found[9] == [] and all(not found[k] for k in (*range(8), 10))
 
 
+def test_many_matches_take_time_in_proportion(spark):
+    """Beside the runs of a usual size, one text of 100,000 addresses and as many identifiers."""
+    def seconds(n):
+        text = " ".join(f"write to u{k}@m{k}.org or to user_{k:08d} now" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        begin = time.monotonic()
+        row = pii.find_personal_data(docs).select(F.size("base").alias("base"), F.size("found").alias("found"), F.element_at("base", -1).alias("last")).first()
+        assert (row.base, row.found) == (n, n)
+        m = list(re.finditer(r"u[0-9]+@\S+", text))[-1]
+        assert (row["last"].start, row["last"].end) == (m.start(), m.end())
+        return time.monotonic() - begin
+
+    seconds(1000)
+    assert seconds(100_000) < 10 * max(seconds(20_000), 1)
+
+
+def test_identifiers_of_a_table_are_found_by_context(spark):
+    """Handles take the place of a third of the planted addresses: nearly all are found, and hardly anything else."""
+    rng = np.random.default_rng(12)
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").orderBy("doc_id").collect()]
+    rows, planted = [], {}
+    for k, text in enumerate(texts):
+        text = re.sub(r"[0-9@]", "x", text)
+        before, after = [("mailto", "pending"), ("reach", "directly"), ("account", "verified")][k % 3]
+        value = f"handle_{int(rng.integers(10**8, 10**9))}" if k % 9 == 4 else f"u{k}@mail{k % 7}.example.org"
+        noise = f" invoice 2024{k:06d}x total"
+        rows.append((k, f"{text} {before} {value} {after}{noise}"))
+        if "@" not in value:
+            planted[k] = value
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r.doc_id: {rows[r.doc_id][1][s.start : s.end] for s in r.found} for r in pii.find_personal_data(docs).collect()}
+    right = sum(found[k] == {v} for k, v in planted.items())
+    assert right >= 0.95 * len(planted) > 50 and sum(map(len, found.values())) <= right / 0.95
+
+
 def test_pattern_scores_are_those_of_the_formula(spark):
     edges = [("p", "s1"), ("p", "s2"), ("p", "u"), ("q", "u"), ("q", "v"), ("p", "s1")]
     got = {r.pattern: (r.confidence, r.support) for r in pii.score_patterns(spark.createDataFrame(edges, "pattern string, instance string"), spark.createDataFrame([("s1",), ("s2",)], "instance string"), 2).collect()}
@@ -153,16 +210,22 @@ def test_pattern_scores_are_those_of_the_formula(spark):
 
 
 def exact(ids, x, query, k):
-    scores = x @ x[query]
+    scores = (x * x[query]).sum(axis=1)
     order = [i for i in np.lexsort((ids, -scores)) if ids[i] != ids[query]]
     return [(int(ids[i]), float(scores[i])) for i in order[:k]]
 
 
 def test_recall_of_the_search(spark):
-    table = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    """All queries of a table that is larger than what is verified."""
+    table = spark.read.parquet(f"{LARGER}/embeddings.parquet").toPandas()
+    table = table.sort_values("vec_id")
     ids, x = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)
-    got = {}
-    for r in entry.op5_collision_search(spark, DATA).collect():
+    settings, got = ann.Collisions(), {}
+    lines, longest = ann.directions(x.shape[1], settings), float(np.sqrt((x**2).sum(axis=1)).max())
+    block = ann.Block(ids, x, longest, lines, settings)
+    begin, end = block.windows(x[::20] @ lines[:-1])
+    assert np.mean([len(block.candidates(*w)) for w in zip(begin, end, strict=True)]) < 0.4 * len(ids)
+    for r in entry.op5_collision_search(spark, LARGER).collect():
         got.setdefault(r.query_id, []).append(r)
     queries = [k for k in range(len(ids)) if ids[k] % 20 == 0]
     assert sorted(got) == sorted(int(ids[k]) for k in queries)
@@ -172,7 +235,7 @@ def test_recall_of_the_search(spark):
         assert [r.rank for r in rows] == list(range(1, 21))
         want = dict(exact(ids, x, k, 20))
         hits += sum(r.vec_id in want for r in rows)
-        assert all(r.score == pytest.approx(x[k] @ x[np.flatnonzero(ids == r.vec_id)[0]], abs=1e-12) for r in rows)
+        assert all(r.score == pytest.approx(x[k] @ x[np.searchsorted(ids, r.vec_id)], abs=1e-12) for r in rows)
         assert all(a.score > b.score or a.score == b.score and a.vec_id < b.vec_id for a, b in zip(rows, rows[1:]))
     assert hits / (20 * len(queries)) >= 0.95
 
@@ -189,12 +252,35 @@ def test_recall_over_several_blocks(spark):
         found = []
         for b in blocks:
             begin, end = b.windows((x[q] @ lines[:-1])[None])
-            found += list(zip(*b.best(q, x[q], b.candidates(begin[0], end[0]), 20), strict=True))
+            found += list(zip(*ann.best(b.ids, b.vectors, q, x[q], b.candidates(begin[0], end[0]), 20, longest), strict=True))
         top = [i for i, _ in sorted(found, key=lambda p: (-p[1], p[0]))[:20]]
         hits += len(set(top) & {i for i, _ in exact(ids, x, q, 20)})
     assert hits / (20 * 30) >= 0.9
 
 
+def test_equal_vectors_have_equal_scores():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        x = rng.standard_normal((64, 64))[rng.integers(0, 8, int(rng.integers(30, 300)))]
+        ids, query = rng.permutation(len(x)), rng.standard_normal(64)
+        found, scores = ann.best(ids, x, -1, query, np.arange(len(x)), 20, 20.0)
+        want = sorted(((float((v * query).sum()), -int(i)) for v, i in zip(x, ids, strict=True)), reverse=True)[:20]
+        assert [(s, -int(i)) for s, i in zip(scores, found, strict=True)] == want
+
+
+def test_search_in_groups(spark, monkeypatch):
+    """Vectors and queries in several groups and blocks, with everything verified: the exact answer."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "GROUP_BYTES", 8 * 8 * 100)
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.standard_normal((150, 8)), 2, axis=0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[0].tolist())], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 2 == 0, 5, ann.Collisions(least=10**6)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {k: [i for i, _ in exact(np.r_[np.arange(300), 0], np.vstack([x, x[:1]]), k, 5)] for k in range(0, 300, 2)}
+
+
 def test_search_edge_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0]), (20, [-1.0, 0.0])]
