@@ -32,7 +32,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: one row for each piece of a document, with its token ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
