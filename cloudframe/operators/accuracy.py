@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.vectors import array_distance
+from cloudframe.operators.order import summary, with_previous
 from cloudframe.schemas import BONES, HAND_SIZES, META_SIZES, REQUIRED_FIELDS
 
 #: What a row that lacks a field counts as, for the metrics.
@@ -38,76 +39,114 @@ def match_rows(prediction: DataFrame, reference: DataFrame) -> DataFrame:
     return p.join(last, (F.col("p.frame_index") == F.col("frame_index")) & (F.col("p.hand_side") == F.col("hand_side"))).select("p", "r")
 
 
+def _mask(matched: DataFrame, side: str) -> Column:
+    """Which joints of a side are valid; a missing mask counts as all valid."""
+    names = matched.schema[side].dataType.names
+    return F.col(f"{side}.valid_joint_mask") if "valid_joint_mask" in names else F.expr("array_repeat(true, 21)")
+
+
+def _joints(matched: DataFrame) -> Column:
+    """array<struct<a, b, m, n>>: both sides' places and masks, joint by joint."""
+    return F.arrays_zip(F.col("p.joints_3d_left_m").alias("a"), F.col("r.joints_3d_left_m").alias("b"), _mask(matched, "p").alias("m"), _mask(matched, "r").alias("n"))
+
+
 def joint_errors(matched: DataFrame) -> DataFrame:
-    """frame_index, hand_side, joint, error of the joints valid on both sides; a missing mask counts as all valid."""
-    def mask(side: str) -> Column:
-        names = matched.schema[side].dataType.names
-        return F.col(f"{side}.valid_joint_mask") if "valid_joint_mask" in names else F.expr("array_repeat(true, 21)")
+    """row_id, frame_index, hand_side, joint, error of the joints valid on both sides."""
+    names = [k for k in ("row_id", "frame_index", "hand_side") if k in matched.schema["p"].dataType.names]
+    rows = matched.select(*(F.col(f"p.{k}").alias(k) for k in names), F.posexplode(_joints(matched)).alias("joint", "j"))
+    return rows.where("j.m and j.n").select(*names, "joint", array_distance(F.col("j.a"), F.col("j.b")).alias("error"))
 
-    zipped = F.arrays_zip(F.col("p.joints_3d_left_m").alias("a"), F.col("r.joints_3d_left_m").alias("b"), mask("p").alias("m"), mask("r").alias("n"))
-    names = matched.schema["p"].dataType.names
-    keys = [F.col(f"p.{k}").alias(k) for k in ("row_id", "frame_index", "hand_side") if k in names]
-    rows = matched.select(*keys, F.posexplode(zipped).alias("joint", "j"))
-    return rows.where("j.m and j.n").select(*(c for c in ("row_id", "frame_index", "hand_side") if c in names), "joint", array_distance(F.col("j.a"), F.col("j.b")).alias("error"))
+
+def reference_metrics(prediction: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row of all metrics against the reference, in one pass over the matches; without a match only matched_rows is not null.
+
+    Joint errors count joints valid on both sides; roots and angles count all matched rows.
+    """
+    found = _metrics(match_rows(prediction, reference))
+    return found.select("matched_rows", *(F.when(F.col("matched_rows") > 0, F.col(c)).alias(c) for c in found.columns if c != "matched_rows"))
+
+
+def _metrics(matched: DataFrame) -> DataFrame:
+    angles = all("hand_angles_20dof_deg" in matched.schema[side].dataType.names for side in "pr")
+    root = array_distance(F.col("p.root_translation_m"), F.col("r.root_translation_m"))
+    off = F.zip_with("p.hand_angles_20dof_deg", "r.hand_angles_20dof_deg", lambda a, b: F.abs(a - b)) if angles else F.array().cast("array<double>")
+    errors = F.transform(F.filter(_joints(matched), lambda j: j["m"] & j["n"]), lambda j: array_distance(j["a"], j["b"]))
+    rows = matched.select(root.alias("root"), off.alias("off"), F.posexplode_outer(errors).alias("at", "error"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0  # one of a match's rows speaks for the match
+    offs = F.aggregate("off", F.lit(0.0), lambda total, x: total + x)
+    mean = or_zero(F.avg("error"))
+    aggregates = [F.count_if(first).alias("matched_rows"), or_zero(F.sqrt(F.avg(F.when(first, F.col("root") * F.col("root"))))).alias("root_translation_rmse_m"), mean.alias("mpjpe_m"), (mean * 1000.0).alias("mpjpe_mm")]
+    if angles:
+        aggregates.append(or_zero(F.try_divide(F.sum(F.when(first, offs)), F.sum(F.when(first, F.size("off"))))).alias("hand_angle_mae_deg"))
+    found = summary(rows, aggregates, {"joint_error_p95_m": ("error", 0.95)})
+    names = ["matched_rows", "root_translation_rmse_m", "mpjpe_m", "mpjpe_mm", "joint_error_p95_m"] + ["hand_angle_mae_deg"] * angles
+    return found.select(*(or_zero(F.col(c)).alias(c) if c.endswith("p95_m") else F.col(c) for c in names))
 
 
 def joint_report(matched: DataFrame) -> DataFrame:
     """mpjpe_m, mpjpe_mm and joint_error_p95_m over the joints valid on both sides."""
-    mean = or_zero(F.avg("error"))
-    return joint_errors(matched).agg(mean.alias("mpjpe_m"), (mean * 1000.0).alias("mpjpe_mm"), or_zero(F.percentile("error", 0.95)).alias("joint_error_p95_m"))
+    return _metrics(matched).select("mpjpe_m", "mpjpe_mm", "joint_error_p95_m")
 
 
 def root_rmse(matched: DataFrame) -> DataFrame:
     """matched_rows and root_translation_rmse_m over all matched rows."""
-    d = array_distance(F.col("p.root_translation_m"), F.col("r.root_translation_m"))
-    return matched.agg(F.count("*").alias("matched_rows"), or_zero(F.sqrt(F.avg(d * d))).alias("root_translation_rmse_m"))
+    return _metrics(matched).select("matched_rows", "root_translation_rmse_m")
 
 
 def angle_mae(matched: DataFrame) -> DataFrame:
     """hand_angle_mae_deg over all angles of all matched rows."""
-    off = F.zip_with("p.hand_angles_20dof_deg", "r.hand_angles_20dof_deg", lambda a, b: F.abs(a - b))
-    return matched.select(F.explode(off).alias("off")).agg(or_zero(F.avg("off")).alias("hand_angle_mae_deg"))
+    return _metrics(matched).select("hand_angle_mae_deg")
 
 
-def reference_metrics(prediction: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row of all metrics against the reference; without a match only matched_rows is not null."""
-    matched = match_rows(prediction, reference)
-    out = root_rmse(matched).crossJoin(joint_report(matched))
-    if all("hand_angles_20dof_deg" in side.columns for side in (prediction, reference)):
-        out = out.crossJoin(angle_mae(matched))
-    return out.select("matched_rows", *(F.when(F.col("matched_rows") > 0, F.col(c)).alias(c) for c in out.columns if c != "matched_rows"))
+def _bones() -> Column:
+    """The lengths of the twenty bones of a row's joints."""
+    joint = F.col("joints_3d_left_m")
+    return F.array(*(array_distance(F.get(joint, F.lit(b)), F.get(joint, F.lit(a))) for a, b in BONES))
 
 
 def bone_lengths(hands: DataFrame) -> DataFrame:
     """row_id, bone, length of the twenty bones of every row, valid or not."""
-    bones = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in BONES))
-    rows = hands.select("row_id", "joints_3d_left_m", F.posexplode(bones).alias("bone", "ends"))
-    return rows.select("row_id", "bone", array_distance(F.col("joints_3d_left_m")[F.col("ends.b")], F.col("joints_3d_left_m")[F.col("ends.a")]).alias("length"))
+    return hands.select("row_id", F.posexplode(_bones()).alias("bone", "length"))
+
+
+def with_root_step(hands: DataFrame) -> DataFrame:
+    """Add `step`: how far the root moved since the side's row before, null for a side's first row."""
+    moved = with_previous(hands, "root_translation_m", "before", "hand_side", "frame_index", "row_id")
+    return moved.withColumn("step", array_distance(F.col("root_translation_m"), F.col("before"))).drop("before")
 
 
 def root_steps(hands: DataFrame) -> DataFrame:
     """hand_side, frame_index, step: how far the root moved since the side's row before."""
-    order = Window.partitionBy("hand_side").orderBy("frame_index", "row_id")
-    rows = hands.withColumn("before", F.lag("root_translation_m").over(order)).where("before is not null")
-    return rows.select("hand_side", "frame_index", array_distance(F.col("root_translation_m"), F.col("before")).alias("step"))
+    return with_root_step(hands).where("step is not null").select("hand_side", "frame_index", "step")
+
+
+STEPS = {"root_step_median_m": ("step", 0.5), "root_step_p95_m": ("step", 0.95)}
 
 
 def root_step_metrics(hands: DataFrame) -> DataFrame:
     """Median and 95th percentile of the steps of both sides together."""
-    return root_steps(hands).agg(or_zero(F.percentile("step", 0.5)).alias("root_step_median_m"), or_zero(F.percentile("step", 0.95)).alias("root_step_p95_m"))
+    found = summary(root_steps(hands), [F.count("*").alias("n")], STEPS)
+    return found.select(*(or_zero(F.col(c)).alias(c) for c in STEPS))
 
 
 def self_consistency(hands: DataFrame) -> DataFrame:
-    """One row of the nine metrics that need no reference; absent fields count as ABSENT."""
-    hands = with_defaults(hands)
+    """One row of the nine metrics that need no reference, in one pass over the rows; absent fields count as ABSENT."""
+    hands = with_defaults(hands, ABSENT | {"frame_index": "row_id"})
+    rows = with_root_step(hands.select("row_id", "frame_index", *ABSENT))
+    rows = rows.select("frame_status", "valid_joint_mask", "frame_confidence", "step", F.posexplode(_bones()).alias("bone", "length"))
+    first = F.col("bone") == 0  # one of a hand's rows speaks for the hand
     valid = F.aggregate("valid_joint_mask", F.lit(0), lambda n, x: n + x.cast("int"))
-    rows = hands.agg(
-        F.count("*").alias("row_count"), or_zero(F.avg((F.col("frame_status") == "ok").cast("double"))).alias("ok_frame_ratio"),
-        or_zero(F.try_divide(F.sum(valid), F.sum(F.size("valid_joint_mask")))).alias("valid_joint_ratio"),
-        or_zero(F.avg("frame_confidence")).alias("frame_confidence_mean"), or_zero(F.min("frame_confidence")).alias("frame_confidence_min"),
-    )
-    bones = bone_lengths(hands).agg(or_zero(F.avg("length")).alias("bone_length_mean_m"), or_zero(F.percentile("length", 0.95)).alias("bone_length_p95_m"))
-    return rows.crossJoin(bones).crossJoin(root_step_metrics(hands))
+    once = lambda c: F.when(first, c)
+    aggregates = [
+        F.count_if(first).alias("row_count"), or_zero(F.avg(once((F.col("frame_status") == "ok").cast("double")))).alias("ok_frame_ratio"),
+        or_zero(F.try_divide(F.sum(once(valid)), F.sum(once(F.size("valid_joint_mask"))))).alias("valid_joint_ratio"),
+        or_zero(F.avg(once(F.col("frame_confidence")))).alias("frame_confidence_mean"), or_zero(F.min(once(F.col("frame_confidence")))).alias("frame_confidence_min"),
+        or_zero(F.avg("length")).alias("bone_length_mean_m"),
+    ]
+    steps = rows.withColumn("step", once(F.col("step")))
+    found = summary(steps, aggregates, {"bone_length_p95_m": ("length", 0.95)} | STEPS)
+    names = ["row_count", "ok_frame_ratio", "valid_joint_ratio", "frame_confidence_mean", "frame_confidence_min", "bone_length_mean_m", "bone_length_p95_m", *STEPS]
+    return found.select(*(or_zero(F.col(c)).alias(c) if c in ("bone_length_p95_m", *STEPS) else F.col(c) for c in names))
 
 
 def missing_fields(hands: DataFrame, meta: DataFrame | None) -> list[str]:

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 #: A target of so many points at most (24 bytes each) is sent whole to the tasks.
 BROADCAST_TARGET = 200_000
+#: Source points at most that are sent to the tasks of a larger target.
+FEW = 5_000
+#: Distances that a task works out at once.
+PAIRS = 1 << 20
 
 
 def squared_distance() -> Column:
@@ -40,10 +44,50 @@ def nearest_within(source: DataFrame, target: DataFrame, threshold: float, keys:
 
 
 def nearest_any(source: DataFrame, target: DataFrame, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
-    """The nearest target point whatever its distance, every pair looked at; for targets of checked size."""
-    if target.limit(BROADCAST_TARGET + 1).count() > BROADCAST_TARGET:
-        raise ValueError(f"more than {BROADCAST_TARGET} target points; give a threshold or thin them out")
-    return _best(source.crossJoin(F.broadcast(_named(target))).withColumn("distance", F.sqrt(squared_distance())), source, keys)
+    """For each source point its nearest target point whatever the distance; both of any size.
+
+    A target of at most BROADCAST_TARGET points goes to the tasks whole. A larger one is looked
+    into on grids that grow: each asks only for the points that the one before left without
+    an answer. What few are left after that, far from all targets, go to the target's tasks.
+    """
+    sent = send_target(target)
+    if sent is not None:
+        return nearest_by_kernel(source, sent)
+    low, high = ([F.min(c) for c in "xyz"], [F.max(c) for c in "xyz"])
+    n, *box = target.agg(F.count("*"), *low, *high).first()
+    sides = [max(b - a, 1e-9) for a, b in zip(box[:3], box[3:], strict=True)]
+    width = float(np.prod(sides) / n) ** (1 / 3) * 2
+    left, found = source.persist(), None
+    while left.limit(FEW + 1).count() > FEW:
+        near = nearest_within(left, target, width, keys).persist()
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near.select(*keys), list(keys), "left_anti").select(*source.columns).persist()
+        width *= 4
+    far = _nearest_from_targets(left, target, keys)
+    return far if found is None else found.unionByName(far)
+
+
+def _nearest_from_targets(points: DataFrame, target: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Nearest targets of at most FEW points: each task of the target gives its best for each of them."""
+    spark, rows = points.sparkSession, points.select(*keys, "x", "y", "z").toPandas()
+    sent = spark.sparkContext.broadcast(rows[["x", "y", "z"]].to_numpy())
+
+    def search(batches):
+        asked = sent.value
+        for batch in batches:
+            if batch.num_rows and len(asked):
+                ids, places = batch.column(0).to_numpy(), np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)], axis=1)
+                order = np.argsort(ids, kind="stable")
+                ids, places = ids[order], places[order]
+                found = nearest_index(asked, places)
+                square = ((asked - places[found]) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.arange(len(asked)), ids[found], *np.ascontiguousarray(places[found].T), np.sqrt(square))], ["asked", "target_id", "tx", "ty", "tz", "distance"])
+
+    best = target.select("point_id", "x", "y", "z").mapInArrow(search, "asked bigint, target_id bigint, tx double, ty double, tz double, distance double")
+    best = best.groupBy("asked").agg(F.min(F.struct("distance", "target_id", "tx", "ty", "tz")).alias("best"))
+    index = spark.createDataFrame(rows[list(keys)].assign(asked=np.arange(len(rows))), T.StructType([*(points.schema[k] for k in keys), T.StructField("asked", T.LongType())]))
+    names = ("target_id", "tx", "ty", "tz", "distance")
+    return points.join(F.broadcast(index), list(keys)).join(best, "asked").select(*points.columns, *(f"best.{n}" for n in names))
 
 
 def _best(pairs: DataFrame, source: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -53,29 +97,32 @@ def _best(pairs: DataFrame, source: DataFrame, keys: tuple[str, ...]) -> DataFra
 
 
 def send_target(target: DataFrame):
-    """Broadcast a target's ids and places, if it has no more than BROADCAST_TARGET points."""
+    """Broadcast a target's ids and places in order of cell; None if it has more than BROADCAST_TARGET points."""
     if target.limit(BROADCAST_TARGET + 1).count() > BROADCAST_TARGET:
-        raise ValueError(f"more than {BROADCAST_TARGET} target points; give a threshold or thin them out")
+        return None
     points = target.select("point_id", "x", "y", "z").toPandas().sort_values("point_id")
-    return target.sparkSession.sparkContext.broadcast((points["point_id"].to_numpy(), points[["x", "y", "z"]].to_numpy()))
+    return target.sparkSession.sparkContext.broadcast((points["point_id"].to_numpy(), np.ascontiguousarray(points[["x", "y", "z"]].to_numpy())))
 
 
-def nearest_by_kernel(source: DataFrame, sent) -> DataFrame:
+def nearest_by_kernel(source: DataFrame, sent, threshold: float | None = None) -> DataFrame:
     """As nearest_any() against a target of send_target(), by an Arrow kernel; no pair ever becomes a row.
 
-    This is the plan for registration's working clouds, tens of thousands of points within
-    a few cells of each other, where the grid would pair most points with most.
+    With a threshold, points without a target so near are left out.
     """
     schema = T.StructType([*source.schema.fields, T.StructField("target_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("tx", "ty", "tz", "distance"))])
     names = source.columns
 
     def search(batches):
         ids, places = sent.value
+        grids = grids_of(places, threshold) if len(ids) else []
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             p = np.stack([batch.column(names.index(c)).to_numpy() for c in "xyz"], axis=1)
-            best = nearest_index(p, places)
+            best = nearest_by_grids(p, places, grids, threshold)
+            if (best < 0).any():
+                batch = batch.filter(pa.array(best >= 0))
+                p, best = p[best >= 0], best[best >= 0]
             found = places[best]
             extra = [ids[best], *found.T, np.sqrt(((p - found) ** 2).sum(axis=1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(x)) for x in extra)], schema.names)
@@ -83,6 +130,83 @@ def nearest_by_kernel(source: DataFrame, sent) -> DataFrame:
     return source.mapInArrow(search, schema)
 
 
+def grids_of(targets: np.ndarray, threshold: float | None) -> list[Grid]:
+    """Grids of some targets, the finest first: from a few targets a cell on, each twice as wide, up to the threshold.
+
+    Without a threshold they end where a cell holds too many to look into.
+    """
+    width = threshold or max(float(np.ptp(targets, axis=0).max()), 1e-9)
+    grids = [Grid(targets, width)]
+    while grids[0].crowd > 3 and len(grids) < 16:
+        grids.insert(0, Grid(targets, grids[0].threshold / 2))
+    return [g for g in grids if threshold or g.crowd <= 64]
+
+
+def nearest_by_grids(points: np.ndarray, targets: np.ndarray, grids: list[Grid], threshold: float | None) -> np.ndarray:
+    """Row of each point's nearest target, ties to the first; -1 if none is within the threshold.
+
+    A grid's answer is exact for the points that have one; the others ask the next.
+    """
+    best = np.full(len(points), -1, np.int64)
+    for grid in grids:
+        left = np.flatnonzero(best < 0)
+        best[left] = grid.nearest(points[left])
+    if threshold is None:
+        left = np.flatnonzero(best < 0)
+        best[left] = nearest_index(points[left], targets)
+    return best
+
+
+class Grid:
+    """Targets in order of their cells of a grid as wide as the threshold."""
+
+    def __init__(self, targets: np.ndarray, threshold: float) -> None:
+        self.targets, self.threshold, self.width = targets, threshold, threshold * (1 + 1e-9)
+        cells = np.floor(targets / self.width).astype(np.int64)
+        self.low, self.size = cells.min(axis=0) - 1, np.ptp(cells, axis=0) + 3
+        code = self.code(cells)
+        self.order = np.argsort(code, kind="stable")
+        self.codes = code[self.order]
+        #: Targets in the cell of a target, on average.
+        self.crowd = float((np.searchsorted(self.codes, code, "right") - np.searchsorted(self.codes, code)).mean())
+
+    def code(self, cells: np.ndarray) -> np.ndarray:
+        x, y, z = (cells - self.low).T
+        return (x * self.size[1] + y) * self.size[2] + z
+
+    def nearest(self, points: np.ndarray) -> np.ndarray:
+        """Row of the nearest target of each point, ties to the first; -1 where none is within the threshold.
+
+        Cells that follow each other in z are one run, so a point looks into nine runs.
+        """
+        cells = np.floor(points / self.width).astype(np.int64)
+        inside = ((cells >= self.low) & (cells < self.low + self.size)).all(axis=1)
+        least, best = np.full(len(points), np.inf), np.full(len(points), -1, np.int64)
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                near = cells + (dx, dy, 0)
+                rows = np.flatnonzero(inside & (near[:, :2] >= self.low[:2]).all(axis=1) & (near[:, :2] < (self.low + self.size)[:2]).all(axis=1))
+                code = self.code(near[rows])
+                z = near[rows, 2] - self.low[2]
+                begin = np.searchsorted(self.codes, code - (z > 0))
+                count = np.searchsorted(self.codes, code + (z < self.size[2] - 1), "right") - begin
+                rows, begin, count = rows[count > 0], begin[count > 0], count[count > 0]
+                cuts = [*np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), PAIRS)), len(rows)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if i == j:
+                        continue
+                    n, at = count[i:j], np.concatenate([[0], np.cumsum(count[i:j])[:-1]])
+                    met = self.order[np.arange(n.sum()) - np.repeat(at - begin[i:j], n)]
+                    square = ((np.repeat(points[rows[i:j]], n, axis=0) - self.targets[met]) ** 2).sum(axis=1)
+                    low = np.minimum.reduceat(square, at)
+                    first = np.minimum.reduceat(np.where(square == np.repeat(low, n), met, len(self.targets)), at)
+                    r = rows[i:j]
+                    better = (low < least[r]) | ((low == least[r]) & (first < best[r]))
+                    least[r[better]], best[r[better]] = low[better], first[better]
+        best[np.sqrt(least) > self.threshold] = -1
+        return best
+
+
 def nearest_index(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Row of the nearest target of each point, ties to the first, by direct differences in blocks."""
     out = np.empty(len(points), np.int64)

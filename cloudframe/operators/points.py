@@ -91,10 +91,16 @@ def sample_points(points: DataFrame, k: int, seed: int = 20260702, by: tuple[str
 
 
 def working_points(points: DataFrame, size: float | None, k: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Voxel means, numbered in the order of their keys within a cloud, then at most k of them."""
+    """Voxel means, then at most k of them; point_id is the voxel's place on the grid.
+
+    The three keys go into one number side by side, 21 bits each, so ids are distinct for
+    clouds of up to two million voxels a side.
+    """
     if size is not None and size > 0:
         points = voxel_downsample(points, size, by)
-        points = points.withColumn("point_id", F.xxhash64("kx", "ky", "kz"))
+        part = (1 << 21) - 1
+        places = [F.col(k).bitwiseAND(F.lit(part)) for k in ("kx", "ky", "kz")]
+        points = points.withColumn("point_id", F.shiftleft(places[0], 42) + F.shiftleft(places[1], 21) + places[2])
     return sample_points(points, k, seed, by)
 
 

