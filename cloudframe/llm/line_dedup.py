@@ -1,23 +1,24 @@
 """Line dedup by a join of deletion neighbourhoods.
 
-The unit of editing is the word: two lines of at least MIN_EDIT_WORDS words are near if one
-word changed, left or joined turns one into the other. (By characters a line of n of them has
-n variants of n characters; by words a sixth as many, and one changed character is still one
-changed word.) In lines of fewer than SURE_WORDS words, a word that holds more than half of
-the line's characters must agree but for one character. Lines are also near if one space
-dropped or added turns one into the other; the shorter one may have a word less.
+The edit bound is one: two lines are near if one unit changed, left or joined turns one into
+the other. The unit of a line of MIN_EDIT_WORDS words and more is the word: a deleted word's
+key covers every change of characters within it, so no character's variant is lost, and a
+line has a sixth as many keys. In lines of fewer than SURE_WORDS words, a word that holds more
+than half of the line's characters must agree but for one character. The unit of lines of
+fewer words, from MIN_EDIT_CHARS characters on, is the character. Lines are also near if one
+space dropped or added turns one into the other; the shorter one may have a word less.
 
 1. Equal lines are grouped by fingerprint; each distinct line knows its first place.
-2. If one word differs, the first or the last half of the words is equal. Distinct lines that
+2. If one unit differs, the first or the last half of the units is equal. Distinct lines that
    share no half with another of nearly their length, nor their letters without the spaces
    with any, can have no near line and go no further.
    This loses nothing and keeps the variants to a small share of the lines.
-3. The others emit the hash of the line without word k for every slot k, and their own hash
-   for every slot where a word could be put in. Lines that share (hash, slot) are near each
+3. The others emit the hash of the line without unit k for every slot k, and their own hash
+   for every slot where a unit could be put in. Lines that share (hash, slot) are near each
    other, all of them: they differ in that slot alone. A word that must nearly agree has the
    slots of its characters instead.
-4. The earliest line of each such group is joined with the others, and the words' edit
-   distance is verified.
+4. The earliest line of each such group is joined with the others, and the edit distance is
+   verified.
 5. Of lines that are equal without spaces, each with one space dropped is joined with the one
    that is so by itself; the later of the two goes.
 
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from cloudframe.llm.near_dups import mixed, normal_words, word_hashes
 from cloudframe.llm.shared import bound_arrow_batches, discard, fingerprint, materialize, own_columns, unused
 
-#: Blank lines are never dropped; from MIN_EDIT_WORDS on a line goes for a near one too, from SURE_WORDS on whatever the word's length.
-MIN_WORDS, MIN_EDIT_WORDS, SURE_WORDS = 1, 4, 10
+#: Blank lines are never dropped; from MIN_EDIT_WORDS on a line goes for one a word apart too, from SURE_WORDS on whatever
+#: the word's length; shorter lines of MIN_EDIT_CHARS go for one a character apart.
+MIN_WORDS, MIN_EDIT_WORDS, SURE_WORDS, MIN_EDIT_CHARS = 1, 4, 10, 12
 #: Up to so many rows of (doc_id, hash, line numbers) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS, BROADCAST_LINES = 200_000, 1_000_000
 #: A number odd by construction and its inverse modulo 2^64, for each of the two hashes.
@@ -47,7 +49,7 @@ INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
 
 def slot_hashes(words: list[str]) -> np.ndarray:
-    """(2n + 1) x 2 hashes: of the line without word k, k < n; then of the whole line with slot k, k <= n."""
+    """(2n + 1) x 2 hashes: of the line without unit k, k < n; then of the whole line with slot k, k <= n."""
     h, n = mixed(word_hashes(words)), len(words)
     columns = []
     for base, inverse in zip(BASES, INVERSES, strict=True):
@@ -61,7 +63,7 @@ def slot_hashes(words: list[str]) -> np.ndarray:
 
 
 def within_one_word(a: list[str], b: list[str]) -> bool:
-    """Whether the edit distance of two lists of words is at most one."""
+    """Whether the edit distance of two lists of words, or of characters, is at most one."""
     if abs(len(a) - len(b)) > 1:
         return False
     short, long = sorted((a, b), key=len)
@@ -83,8 +85,17 @@ def one_space_apart(a: list[str], b: list[str]) -> bool:
     return at < len(short) and short[at] == long[at] + long[at + 1] and short[at + 1 :] == long[at + 2 :]
 
 
+def by_characters(words: list[str]) -> list[str] | None:
+    """The characters of a line of few words that is long enough to be compared by them."""
+    line = " ".join(words)
+    return list(line) if len(words) < MIN_EDIT_WORDS and len(line) >= MIN_EDIT_CHARS else None
+
+
 def near_lines(a: list[str], b: list[str]) -> bool:
     """Whether of two lists of words, one goes for the other."""
+    x, y = by_characters(a), by_characters(b)
+    if x and y and within_one_word(x, y):
+        return True
     short, long = sorted((a, b), key=len)
     if len(short) >= MIN_EDIT_WORDS and within_one_word(a, b):
         at = next((k for k, word in enumerate(short) if word != long[k]), len(short))
@@ -104,9 +115,10 @@ def edit_verified(a: Column, b: Column) -> Column:
 
 
 def variant_hashes(words: list[str]) -> np.ndarray:
-    """slot_hashes() of a line; a word that must nearly agree has the slots of its characters."""
-    if not MIN_EDIT_WORDS <= len(words):
-        return np.zeros((0, 2), np.int64)
+    """slot_hashes() of a line's units; a word that must nearly agree has the slots of its characters."""
+    if len(words) < MIN_EDIT_WORDS:
+        characters = by_characters(words)
+        return slot_hashes(characters) if characters else np.zeros((0, 2), np.int64)
     keys = slot_hashes(words)
     if len(words) >= SURE_WORDS:
         return keys
@@ -162,38 +174,39 @@ def line_words(line: str) -> list[str]:
 
 
 def line_hashes(words: list[str]) -> tuple:
-    """Two hashes of the words and one of their letters; from MIN_EDIT_WORDS on four more, of the first and last half.
+    """Two hashes of the words, one of their letters, and four of the first and last half of the units; None where a line has none.
 
     The halves are those of the lesser of two lengths that differ by at most one: once with
-    this line's length as the lesser, once with one word less (if that is enough words).
+    this line's length as the lesser, once with one unit less (if that is enough units).
     """
-    whole, n = " ".join(words), len(words)
-    keys = (xxhash.xxh3_64_intdigest(whole), xxhash.xxh3_64_intdigest(whole, 1), xxhash.xxh3_64_intdigest("".join(words), 2))
-    if n < MIN_EDIT_WORDS:
-        return *keys, 0, 0, 0, 0
-    halves = (xxhash.xxh3_64_intdigest(" ".join(part), 2 * least + last) for least in (n, max(n - 1, MIN_EDIT_WORDS)) for last, part in enumerate((words[: least // 2], words[n - least // 2 :])))
+    whole, units, enough, joint = " ".join(words), words, MIN_EDIT_WORDS, " "
+    letters = xxhash.xxh3_64_intdigest("".join(words), 2) if len(words) >= MIN_EDIT_WORDS - 1 else None
+    if len(words) < MIN_EDIT_WORDS:
+        units, enough, joint = by_characters(words), MIN_EDIT_CHARS, ""
+    keys = (xxhash.xxh3_64_intdigest(whole), xxhash.xxh3_64_intdigest(whole, 1), letters)
+    if units is None:
+        return *keys, None, None, None, None
+    n, kind = len(units), len(joint)
+    halves = (xxhash.xxh3_64_intdigest(joint.join(part), 4 * least + 2 * last + kind) for least in (n, max(n - 1, enough)) for last, part in enumerate((units[: least // 2], units[n - least // 2 :])))
     return *keys, *halves
 
 
 def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From doc_id, f1, f2, text: a row for each line of at least MIN_WORDS words."""
     for batch in batches:
-        rows, places, lengths, hashes = [], [], [], []
+        rows, places, hashes = [], [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
             for place, line in enumerate(text.split("\n")):
                 words = line_words(line)
                 if len(words) >= MIN_WORDS:
                     rows.append(row)
                     places.append(place)
-                    lengths.append(len(words))
                     hashes.append(line_hashes(words))
             if len(rows) >= 65_536 or row + 1 == batch.num_rows and rows:
-                keys = np.array(hashes, np.uint64).view(np.int64)
-                short, few = (np.array(lengths) < least for least in (MIN_EDIT_WORDS, MIN_EDIT_WORDS - 1))
                 columns = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "f1", "f2")] + [pa.array(places, pa.int32())]
-                columns += [pa.array(np.ascontiguousarray(keys[:, k]), mask=short if k > 2 else few if k == 2 else None) for k in range(7)]
+                columns += [pa.array(k, pa.uint64()).view(pa.int64()) for k in zip(*hashes, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "line_no", "l1", "l2", "glued", "half0", "half1", "half2", "half3"])
-                rows, places, lengths, hashes = [], [], [], []
+                rows, places, hashes = [], [], []
 
 
 def _bounded(df: DataFrame, lines: Column | None = None) -> DataFrame:
