@@ -135,19 +135,26 @@ def ply_lines(points: DataFrame, order: tuple[str, ...] = ("point_id",)) -> Data
 
 
 def write_ply(points: DataFrame, path: str, order: tuple[str, ...] = ("point_id",)) -> int:
-    """Write one ascii PLY file on the driver, row by row; returns the number of points.
+    """Write one ascii PLY file; returns the number of points.
 
-    For clouds too large for one file, Parquet is the format to keep.
+    Tasks make the text, in sorted ranges; the driver appends it a partition at a time. For
+    clouds too large for one file, write ply_lines() or the points themselves in parts.
     """
     points = points.where("x is not null").persist()
     try:
         n, colored = points.count(), {"r", "g", "b"} <= set(points.columns)
         head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property float {c}" for c in "xyz")]
         head += [f"property uchar {c}" for c in ("red", "green", "blue")] * colored
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(["\n".join(batch.column(0).to_pylist())])], ["text"])
+
         with open(path, "w", encoding="ascii") as f:
             f.write("\n".join([*head, "end_header"]) + "\n")
-            for row in ply_lines(points, order).toLocalIterator():
-                f.write(row["value"] + "\n")
+            for row in ply_lines(points, order).mapInArrow(texts, "text string").toLocalIterator():
+                f.write(row["text"] + "\n")
         return n
     finally:
         points.unpersist()

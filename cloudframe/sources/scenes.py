@@ -62,23 +62,48 @@ def read_scene(spark: SparkSession, scene_dir: str) -> tuple[DataFrame, DataFram
     return pixels, cameras
 
 
+def view_files(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
+    """path (within the scene's folder) and content of the npy files of every view, made in tasks from one pass over the pixels.
+
+    A view is one image, which bounds what a task holds.
+    """
+    sized = cameras.select("view_idx", "camera_id", "width", "height")
+    rows = sized.join(pixels.select("view_idx", "v", "u", "depth", "label", "r", "g", "b"), "view_idx", "left")
+
+    def files(table: pa.Table) -> pa.Table:
+        camera, width, height = (table[c][0].as_py() for c in ("camera_id", "width", "height"))
+        table = table.filter(table["v"].is_valid())
+        at = table["v"].to_numpy(), table["u"].to_numpy()
+        depth, mask, rgb = np.zeros((height, width), np.float32), np.zeros((height, width), np.uint8), np.zeros((height, width, 3), np.uint8)
+        depth[at], mask[at] = table["depth"].to_numpy(), table["label"].to_numpy()
+        rgb[at] = np.stack([table[c].to_numpy() for c in "rgb"], axis=1)
+        out = []
+        for plane in (depth, mask, rgb):
+            buffer = io.BytesIO()
+            np.save(buffer, plane)
+            out.append(buffer.getvalue())
+        return pa.table({"path": [f"frames/{camera}/{name}.npy" for name in ("depth", "mask", "rgb")], "content": pa.array(out, pa.binary())})
+
+    return rows.groupBy("view_idx").applyInArrow(files, "path string, content binary")
+
+
 def write_scene(pixels: DataFrame, cameras: DataFrame, scene_dir: str, overwrite: bool = False) -> None:
-    """Write a scene's files on the driver, a view at a time; a scene that is there stays unless overwrite."""
+    """Write a scene's files; a scene that is there stays unless overwrite.
+
+    The files' bytes come from view_files(), a partition at a time; the driver only stores them.
+    """
     target = os.path.join(scene_dir, "cameras.json")
     if os.path.exists(target) and not overwrite:
         return
+    for row in view_files(pixels, cameras).toLocalIterator():
+        path = os.path.join(scene_dir, row["path"])
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(row["content"])
     views = []
     rows = cameras.select(*CAMERAS.fieldNames()).orderBy("view_idx").collect()
     for cam in rows:
         folder = f"frames/{cam['camera_id']}"
-        os.makedirs(os.path.join(scene_dir, folder), exist_ok=True)
-        shape = (cam["height"], cam["width"])
-        frame = pixels.where(F.col("view_idx") == cam["view_idx"]).select("v", "u", "depth", "label", "r", "g", "b").toPandas()
-        depth, mask, rgb = np.zeros(shape, np.float32), np.zeros(shape, np.uint8), np.zeros((*shape, 3), np.uint8)
-        at = frame["v"].to_numpy(), frame["u"].to_numpy()
-        depth[at], mask[at], rgb[at] = frame["depth"], frame["label"], frame[["r", "g", "b"]]
-        for name, plane in (("depth", depth), ("mask", mask), ("rgb", rgb)):
-            np.save(os.path.join(scene_dir, folder, f"{name}.npy"), plane)
         matrix = [[cam[f"r{i}{j}"] for j in range(3)] + [cam[t]] for i, t in enumerate(("tx", "ty", "tz"))] + [[0.0, 0.0, 0.0, 1.0]]
         views.append({
             "camera_id": cam["camera_id"], "width": cam["width"], "height": cam["height"], "timestamp": cam["timestamp"], "intrinsics": {k: cam[k] for k in ("fx", "fy", "cx", "cy")},
