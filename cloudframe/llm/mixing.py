@@ -22,7 +22,7 @@ TOPICS = {"legal": "(?i)licen[sc]e|copyright", "credentials": "(token|password|s
 ROUNDS = 10
 #: Up to so many cells are broadcast, each of three names and a number; beyond, the join shuffles.
 BROADCAST_CELLS = 50_000
-#: The share of a category among the targets goes as its share of the tokens to this power.
+#: The share of a category among the targets goes as its share of the tokens to this power, as far as it has tokens.
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.5}
 
 
@@ -40,10 +40,20 @@ def topic_of(text: Column) -> Column:
 
 
 def tempered_targets(cells: DataFrame, dim: str, power: float, budget: float) -> DataFrame:
-    """(dim, target): budget tokens shared out by the categories' tokens to the given power."""
-    sums = cells.groupBy(dim).agg(F.pow(F.sum("base").cast("double"), F.lit(power)).alias("raised"))
-    total = sums.agg(F.sum("raised").alias("total"))
-    return sums.crossJoin(F.broadcast(total)).select(dim, (budget * F.col("raised") / F.col("total")).alias("target"))
+    """(dim, target): budget tokens shared out by the categories' tokens to the given power, to none more than it has.
+
+    Categories with the fewest tokens for their share fill up first; what they cannot take is
+    shared out among the others. In that order, a category's level is what the rest of the
+    budget gives for each unit of the shares from it on; the greatest level that a category
+    can take is that of all who aren't full.
+    """
+    sums = cells.groupBy(dim).agg(F.sum("base").cast("double").alias("tokens")).withColumn("raised", F.pow("tokens", F.lit(power)))
+    order = Window.orderBy(F.col("tokens") / F.col("raised"), dim)
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    level = (F.lit(budget) - before) / F.sum("raised").over(order.rowsBetween(0, Window.unboundedFollowing))
+    levels = sums.withColumn("level", level)
+    top = F.coalesce(F.max(F.when(F.col("level") * F.col("raised") <= F.col("tokens"), F.col("level"))), F.lit(float("inf")))
+    return levels.crossJoin(F.broadcast(levels.agg(top.alias("top")))).select(dim, F.least("tokens", F.col("top") * F.col("raised")).alias("target"))
 
 
 def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS) -> DataFrame:
@@ -63,8 +73,8 @@ def rake(cells: DataFrame, dims: list[str], rounds: int = ROUNDS) -> DataFrame:
 def marginals(weights: DataFrame, dims: list[str]) -> DataFrame:
     """dim, category, target, reached, residual of raked cells: how far the sums of weights are from their targets.
 
-    residual is the distance as a share of all weights. It stays above 0 where a target asks
-    for more tokens than there are.
+    residual is the distance as a share of all weights. It stays above 0 where targets ask
+    for more tokens than there are in the cells they meet in.
     """
     total = weights.agg(F.sum("weight").alias("total"))
     sums = None
@@ -80,8 +90,8 @@ class Mix:
     """What a sample is to be like.
 
     share: of all tokens, to keep. powers: the targets of source, lang and topic are their
-    shares of the tokens to a power (1 keeps proportions, 0 makes all equal), or for a
-    dimension in `explicit` the shares given there. topic: a column of strings that the caller
+    shares of the tokens to a power (1 keeps proportions, 0 makes all equal), but no more than
+    the tokens there are, or for a dimension in `explicit` the shares given there. topic: a column of strings that the caller
     derives from the rows (by default rules on the text, topic_of()).
     """
 
@@ -157,8 +167,10 @@ def oracle(share: float = 0.7, seed: int = 11, rounds: int = ROUNDS) -> str:
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS base FROM m GROUP BY ALL HAVING sum(n_tokens) > 0),
 w0 AS MATERIALIZED (SELECT *, base * {share}::DOUBLE AS weight FROM cells)"""]
     for dim, power in POWERS.items():
-        steps.append(f"""t_{dim} AS MATERIALIZED (SELECT {dim}, {share}::DOUBLE * (SELECT sum(base) FROM cells)::DOUBLE * raised / sum(raised) OVER () AS target
-  FROM (SELECT {dim}, pow(sum(base)::DOUBLE, {power}) AS raised FROM cells GROUP BY {dim}))""")
+        steps.append(f"""s_{dim} AS MATERIALIZED (SELECT {dim}, sum(base)::DOUBLE AS tokens, pow(sum(base)::DOUBLE, {power}) AS raised FROM cells GROUP BY {dim}),
+l_{dim} AS MATERIALIZED (SELECT *, ({share}::DOUBLE * (SELECT sum(base) FROM cells)::DOUBLE - coalesce(sum(tokens) OVER (ORDER BY tokens / raised, {dim} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(raised) OVER (ORDER BY tokens / raised, {dim} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s_{dim}),
+t_{dim} AS MATERIALIZED (SELECT {dim}, least(tokens, (SELECT coalesce(max(level) FILTER (WHERE level * raised <= tokens), 'inf'::DOUBLE) FROM l_{dim}) * raised) AS target FROM l_{dim})""")
     n = 0
     for _ in range(rounds):
         for dim in POWERS:

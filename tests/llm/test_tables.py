@@ -82,6 +82,19 @@ def test_raking_meets_explicit_targets(spark):
     assert off.reached["a"] == pytest.approx(sum(len(t.split()) for _, t, s, *_ in rows if s == "a")) and off.residual["a"] > 0.3
 
 
+def test_targets_ask_for_no_more_than_there_is(spark):
+    rng = np.random.default_rng(6)
+    for share, power in ((0.7, 0.5), (0.95, 0.0), (1.0, 0.5), (0.2, 1.0)):
+        base = rng.integers(1, 5000, 9).astype(float)
+        cells = spark.createDataFrame([(f"c{k}", int(b)) for k, b in enumerate(base)], "source string, base bigint")
+        got = np.array([r.target for r in mixing.tempered_targets(cells, "source", power, share * base.sum()).orderBy("source").collect()])
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level by bisection
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.minimum(base, middle * base**power).sum() < share * base.sum() else (low, middle)
+        assert np.allclose(got, np.minimum(base, high * base**power), rtol=1e-9) and got.sum() == pytest.approx(share * base.sum())
+
+
 def test_raking_beyond_the_bound_is_the_same(spark, monkeypatch):
     """More cells than are kept in one partition or broadcast."""
     rng = np.random.default_rng(5)
