@@ -380,6 +380,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows at all; then nulls, repeated rows, and columns named as the stages' own."""
+    empty = spark.createDataFrame([], SCHEMA)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rng = np.random.default_rng(16)
+    texts = [" ".join(words(rng, 120, 5000)) for _ in range(12)]
+    names = ["kept", "topic", "n_lines", "h1", "rate", "token_ids", "start", "_id", "part"]
+    rows = [(k, t, "en", "s", 1, *names) for k, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1, *names), (None, texts[3] + " more", None, None, None, *names), (50, None, None, "s", 0, *names)]
+    wide = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in names))
+    wide.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    docs = wide
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, f"{tmp_path}/wide").write.parquet(f"{tmp_path}/wide/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/wide/{k}")
+        assert docs.columns == wide.columns and all(tuple(r)[5:] == tuple(names) for r in docs.collect())
+    assert 0 < docs.count() <= 12 and len({r.doc_id for r in docs.collect()}) == docs.count()
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/wide").collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_every_query_is_registered():
     names = list(entry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
