@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,32 +105,50 @@ def send_target(target: DataFrame):
     return target.sparkSession.sparkContext.broadcast((points["point_id"].to_numpy(), np.ascontiguousarray(points[["x", "y", "z"]].to_numpy())))
 
 
-def nearest_by_kernel(source: DataFrame, sent, threshold: float | None = None) -> DataFrame:
+def nearest_by_kernel(source: DataFrame, sent, threshold: float | None = None, transforms: dict[object, np.ndarray] | None = None) -> DataFrame:
     """As nearest_any() against a target of send_target(), by an Arrow kernel; no pair ever becomes a row.
 
-    With a threshold, points without a target so near are left out.
+    With a threshold, points without a target so near are left out. With transforms (4x4, by
+    source_id) the points are moved first, and come out moved.
     """
     schema = T.StructType([*source.schema.fields, T.StructField("target_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("tx", "ty", "tz", "distance"))])
     names = source.columns
+    sources = pa.array(list(transforms)) if transforms else None
+    matrices = np.stack(list(transforms.values())) if transforms else None
 
     def search(batches):
         ids, places = sent.value
-        grids = grids_of(places, threshold) if len(ids) else []
+        grids = cached_grids(places, threshold) if len(ids) else []
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            p = np.stack([batch.column(names.index(c)).to_numpy() for c in "xyz"], axis=1)
+            columns = dict(zip(names, batch.columns, strict=True))
+            p = np.stack([columns[c].to_numpy() for c in "xyz"], axis=1)
+            if transforms:
+                m = matrices[pc.index_in(columns["source_id"], sources).to_numpy()]
+                p = np.einsum("nij,nj->ni", m[:, :3, :3], p) + m[:, :3, 3]
+                columns |= {c: pa.array(p[:, k].copy()) for k, c in enumerate("xyz")}
             best = nearest_by_grids(p, places, grids, threshold)
-            if (best < 0).any():
-                batch = batch.filter(pa.array(best >= 0))
-                p, best = p[best >= 0], best[best >= 0]
+            near = best >= 0
+            p, best = p[near], best[near]
             found = places[best]
             extra = [ids[best], *found.T, np.sqrt(((p - found) ** 2).sum(axis=1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(x)) for x in extra)], schema.names)
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(near)) for c in columns.values()), *(pa.array(np.ascontiguousarray(x)) for x in extra)], schema.names)
 
     return source.mapInArrow(search, schema)
 
 
+#: The last target of a Python worker, its threshold and grids: a registration asks the same ones in every round.
+_last: tuple = (None, None, [])
+
+
+def cached_grids(targets: np.ndarray, threshold: float | None) -> list[Grid]:
+    global _last
+    if _last[0] is not targets or _last[1] != threshold:
+        _last = (targets, threshold, grids_of(targets, threshold))
+    return _last[2]
+
+
 def grids_of(targets: np.ndarray, threshold: float | None) -> list[Grid]:
     """Grids of some targets, the finest first: from a few targets a cell on, each twice as wide, up to the threshold.
 

@@ -20,6 +20,8 @@ def keep_near(pairs: DataFrame, threshold: float | None) -> DataFrame:
     return pairs if threshold is None or threshold <= 0 else pairs.where(F.col("distance") <= threshold)
 
 
+#: Sources at most whose transforms, 128 bytes each, go to the tasks with the kernel; those of more are joined.
+FEW_SOURCES = 10_000
 #: Steps of the logarithm of a distance in which pairs are counted before the cutoff's step is sorted.
 STEPS = 1024
 
@@ -50,10 +52,11 @@ def trim_few_pairs(pairs: DataFrame, trim: float, min_pairs: int, by: tuple[str,
     _check(trim)
     if trim == 1:
         return pairs
-    all_rows = Window.partitionBy(*by)
-    ranked = pairs.withColumns({"_rank": F.row_number().over(all_rows.orderBy("distance")), "_k": _rank(F.count("*").over(all_rows), trim, min_pairs)})
-    cutoff = F.max(F.when(F.col("_rank") == F.col("_k"), F.col("distance"))).over(all_rows)
-    return ranked.withColumn("_cutoff", cutoff).where(F.col("distance") <= F.col("_cutoff")).drop("_rank", "_k", "_cutoff")
+    source = "PARTITION BY " + ", ".join(by)
+    k = f"least(count(*) OVER ({source}), greatest({min_pairs}L, ceil(count(*) OVER ({source}) * {float(trim)!r}D)))"
+    ranked = pairs.selectExpr("*", f"row_number() OVER ({source} ORDER BY distance) AS _rank", f"{k} AS _k")
+    cut = ranked.selectExpr("*", f"max(CASE WHEN _rank = _k THEN distance END) OVER ({source}) AS _cutoff")
+    return cut.where("distance <= _cutoff").drop("_rank", "_k", "_cutoff")
 
 
 def _check(trim: float) -> None:
@@ -75,12 +78,11 @@ def pair_moments(pairs: DataFrame, origin: tuple[float, float, float], by: tuple
 
     About a far origin the products' sums would drown the covariance in rounding.
     """
-    p = {c: F.col(c) - F.lit(o) for c, o in zip("xyz", origin, strict=True)}
-    q = {c: F.col(f"t{c}") - F.lit(o) for c, o in zip("xyz", origin, strict=True)}
-    sums = [F.sum(v).alias(f"p{c}") for c, v in p.items()] + [F.sum(v).alias(f"q{c}") for c, v in q.items()]
-    products = [F.sum(p[a] * q[b]).alias(f"s{a}{b}") for a in "xyz" for b in "xyz"]
-    square = F.col("distance") * F.col("distance")
-    return pairs.groupBy(*by).agg(F.count("*").alias("pair_count"), F.avg("distance").alias("mean_error"), F.sqrt(F.avg(square)).alias("rmse"), *sums, *products)
+    p, q = ({c: f"({side}{c} - ({float(o)!r}D))" for c, o in zip("xyz", origin, strict=True)} for side in ("", "t"))
+    sums = [f"sum({v}) AS {side}{c}" for side, place in (("p", p), ("q", q)) for c, v in place.items()]
+    products = [f"sum({p[a]} * {q[b]}) AS s{a}{b}" for a in "xyz" for b in "xyz"]
+    errors = ["count(*) AS pair_count", "avg(distance) AS mean_error", "sqrt(avg(distance * distance)) AS rmse"]
+    return pairs.groupBy(*by).agg(*map(F.expr, [*errors, *sums, *products]))
 
 
 def cross_covariance(pairs: DataFrame, by: tuple[str, ...] = ("source_id",)) -> DataFrame:
@@ -161,15 +163,18 @@ def register(sources: DataFrame, target: DataFrame, init: dict[object, np.ndarra
         out = {k: Registered(k, np.array((init or {}).get(k, np.eye(4)), float)) for k in totals}
         few = max(totals.values()) <= TASK_ROWS
 
-        def neighbours(moved: DataFrame) -> DataFrame:
+        def neighbours(some: DataFrame, transforms: dict) -> DataFrame:
             keys = ("source_id", "point_id")
+            if sent is not None and len(transforms) <= FEW_SOURCES:
+                return nearest_by_kernel(some, sent, near, transforms)
+            moved = with_transforms(some, transforms)
             if sent is not None:
                 return nearest_by_kernel(moved, sent, near)
             return nearest_within(moved, target, near, keys) if near else nearest_any(moved, target, keys)
 
         def rows(ids: list, moments: bool) -> dict:
             some = sources if len(ids) == len(out) else sources.where(F.col("source_id").isin(ids))
-            pairs = keep_near(neighbours(with_transforms(some, {k: out[k].transform for k in ids})), near)
+            pairs = keep_near(neighbours(some, {k: out[k].transform for k in ids}), near)
             trimmed = trim_few_pairs(pairs, trim, min_pairs) if few else trim_pairs(pairs.persist(), trim, min_pairs)
             found = {r["source_id"]: r for r in (pair_moments(trimmed, tuple(origin)) if moments else pair_statistics(trimmed)).collect()}
             if not few:
