@@ -5,6 +5,10 @@ The tables hold no clouds, so vectors give points and hands, and order lines giv
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,18 @@ VIEWS = 7
 WIDTH, HEIGHT = 128, 96
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads: in spark.checkpoint.dir, or without that setting, as in tests, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    place = re.sub("^file:/+", "/", shared) or tempfile.gettempdir()
+    if not place.startswith("/"):
+        raise ValueError("files are written to a mounted folder; spark.checkpoint.dir names another store")
+    os.makedirs(place, exist_ok=True)
+    return tempfile.mkdtemp(prefix="files-", dir=place)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,6 +16,8 @@ from cloudframe.operators import accuracy, depth, files, hands, neighbours, poin
 from cloudframe.plans import fixtures as fx
 from cloudframe.plans.reconstruct import reconstruct
 from cloudframe.plans.registration import register_clouds, selftest
+from cloudframe.sources import clouds, scenes
+from cloudframe.sources.hands import read_hands, write_hands
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,6 +308,14 @@ def match_rows(spark, sf_dir):
     return m.select("p.row_id", "p.frame_index", "p.hand_side", percent.alias("percent"))
 
 
+@query("SELECT p.row_id, round(q.scale * 100)::BIGINT AS percent FROM hands p JOIN twice q USING (row_id)")
+def match_rows_by_position(spark, sf_dir):
+    """Rows matched by their place, where a side lacks a key."""
+    m = accuracy.match_rows(fx.hands(spark, sf_dir), fx.reference_hands(spark, sf_dir).drop("frame_index"))
+    percent = F.round(F.try_divide(F.col("r.joints_3d_left_m")[0][0], F.col("p.joints_3d_left_m")[0][0]) * 100).cast("bigint")
+    return m.select("p.row_id", percent.alias("percent"))
+
+
 ERRORS = """errors AS (SELECT row_id, j, sqrt((e[3 * j + 1]::DOUBLE * (1 - scale)) ** 2 + (e[3 * j + 2]::DOUBLE * (1 - scale)) ** 2 + (e[3 * j + 3]::DOUBLE * (1 - scale)) ** 2) AS error
   FROM matched, range(21) AS t(j) WHERE abs(e[3 * j + 1]::DOUBLE) < 0.3)"""
 
@@ -456,22 +466,60 @@ def landmarks_21(spark, sf_dir):
     return rows.select(F.col("label").cast("bigint").alias("label"), F.col("joint").cast("bigint").alias("joint"), *(rounded(F.col("p")[k]).alias(c) for k, c in enumerate("xyz")))
 
 
-@query(
-    "SELECT j::BIGINT AS joint, 'ok' AS frame_status, 1::BIGINT AS hand_side, true AS valid, "
-    + ", ".join(f"{r(f'r0{k} * (x - tx) + r1{k} * (y - ty) + r2{k} * (z - tz)', 7)} AS {c}" for k, c in enumerate("xyz"))
-    + f", {r('(SELECT sqrt((b.tx - a.tx) ** 2 + (b.ty - a.ty) ** 2 + (b.tz - a.tz) ** 2) FROM cameras a, cameras b WHERE a.view_idx = 0 AND b.view_idx = 1)')} AS baseline_m FROM placed, cameras WHERE view_idx = 0",
-    f"""v AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT *, {KEYS.format(s=GRID)} FROM world WHERE label = 1) GROUP BY kx, ky, kz),
+PLACED = f"""v AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT *, {KEYS.format(s=GRID)} FROM world WHERE label = 1) GROUP BY kx, ky, kz),
 boxes AS (SELECT {BOXES} FROM v),
 {RANKED},
 {LANDMARKS},
-placed AS (SELECT j, {', '.join(f'{_landmark(c)} AS {c}' for c in 'xyz')} FROM ranked, fractions)""",
-)
+placed AS (SELECT j, {', '.join(f'{_landmark(c)} AS {c}' for c in 'xyz')} FROM ranked, fractions)"""
+IN_VIEW = ", ".join(f"{r(f'r0{k} * (x - tx) + r1{k} * (y - ty) + r2{k} * (z - tz)', 7)} AS {c}" for k, c in enumerate("xyz"))
+BETWEEN = r("(SELECT sqrt((b.tx - a.tx) ** 2 + (b.ty - a.ty) ** 2 + (b.tz - a.tz) ** 2) FROM cameras a, cameras b WHERE a.view_idx = 0 AND b.view_idx = 1)")
+PAYLOAD = f"SELECT j::BIGINT AS joint, 'ok' AS frame_status, 1::BIGINT AS hand_side, true AS valid, {IN_VIEW}, {BETWEEN} AS baseline_m FROM placed, cameras WHERE view_idx = 0"
+
+
+def _joint_rows(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    rows = rows.crossJoin(meta.select("baseline_m")).select("frame_status", "hand_side", "baseline_m", F.posexplode(F.arrays_zip("joints_3d_left_m", "valid_joint_mask")).alias("joint", "j"))
+    places = [rounded(F.col("j.joints_3d_left_m")[k], 7).alias(c) for k, c in enumerate("xyz")]
+    return rows.select(F.col("joint").cast("bigint").alias("joint"), "frame_status", "hand_side", F.col("j.valid_joint_mask").alias("valid"), *places, rounded("baseline_m").alias("baseline_m"))
+
+
+@query(PAYLOAD, PLACED)
 def hand_payload(spark, sf_dir):
     """The normalized hand row and its file-level part, of the label 1 voxels, joint by joint."""
     out = reconstruct(fx.pixels(spark, sf_dir), fx.cameras(spark), GRID)
-    rows = out.hands.crossJoin(out.meta).select("frame_status", "hand_side", "baseline_m", F.posexplode(F.arrays_zip("joints_3d_left_m", "valid_joint_mask")).alias("joint", "j"))
-    places = [rounded(F.col("j.joints_3d_left_m")[k], 7).alias(c) for k, c in enumerate("xyz")]
-    return rows.select(F.col("joint").cast("bigint").alias("joint"), "frame_status", "hand_side", F.col("j.valid_joint_mask").alias("valid"), *places, rounded("baseline_m").alias("baseline_m"))
+    return _joint_rows(out.hands, out.meta)
+
+
+@query(PAYLOAD, PLACED)
+def hand_file(spark, sf_dir):
+    """The same row written as an NPZ file and read again."""
+    out, path = reconstruct(fx.pixels(spark, sf_dir), fx.cameras(spark), GRID), f"{fx.scratch(spark)}/hands.npz"
+    write_hands(out.hands, out.meta, path)
+    out.release()
+    return _joint_rows(*read_hands(spark, path))
+
+
+@query(
+    f"SELECT f AS cloud_id, row_number() OVER (PARTITION BY f ORDER BY kx, ky, kz) - 1 AS point_id, {xyz()}, CASE WHEN f <> 'grid_npy' THEN r END AS r FROM v, (SELECT unnest(['grid_ply', 'grid_npz', 'grid_npy']) AS f)",
+    f"v AS (SELECT kx, ky, kz, avg(x) AS x, avg(y) AS y, avg(z) AS z, trunc(avg(r))::BIGINT AS r FROM (SELECT *, {KEYS.format(s=VOXEL)} FROM points) GROUP BY kx, ky, kz)",
+)
+def cloud_files(spark, sf_dir):
+    """Voxel means, a grid of bounded size, written as PLY, NPZ and NPY files and read again."""
+    folder, grid = fx.scratch(spark), points.voxel_downsample(fx.points(spark, sf_dir), VOXEL)
+    clouds.write_ply(grid, f"{folder}/grid_ply.ply", ("kx", "ky", "kz"))
+    rows = grid.orderBy("kx", "ky", "kz").toPandas()
+    np.savez(f"{folder}/grid_npz.npz", points=rows[["x", "y", "z"]].to_numpy(), colors=rows[["r", "g", "b"]].to_numpy())
+    np.save(f"{folder}/grid_npy.npy", rows[["x", "y", "z"]].to_numpy())
+    read = clouds.read_clouds(spark, [f"{folder}/grid_{kind}.{kind}" for kind in ("ply", "npz", "npy")])
+    return longs(read, "r").select("cloud_id", "point_id", *(rounded(c).alias(c) for c in "xyz"), "r")
+
+
+@query(f"SELECT view_idx::BIGINT AS view_idx, u, v, {r('depth::FLOAT::DOUBLE', 6)} AS depth, label FROM pixels WHERE depth > 0")
+def scene_files(spark, sf_dir):
+    """A scene's pixels written as npy files beside cameras.json and read again."""
+    folder, black = fx.scratch(spark), {c: F.lit(0).cast("smallint") for c in "rgb"}
+    scenes.write_scene(fx.pixels(spark, sf_dir).withColumns(black), fx.cameras(spark), folder)
+    pixels, _ = scenes.read_scene(spark, folder)
+    return longs(pixels.where("depth > 0"), "view_idx", "u", "v", "label").select("view_idx", "u", "v", rounded(F.col("depth").cast("double"), 6).alias("depth"), "label")
 
 
 INVERSE = ", ".join(f"r0{k} * (x - tx) + r1{k} * (y - ty) + r2{k} * (z - tz) AS {c}" for k, c in enumerate(("xc", "yc", "zc")))
@@ -534,5 +582,7 @@ def argmin_capture(spark, sf_dir):
 @query("SELECT doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 = 0 END AS verified, md5(text) AS actual_md5 FROM documents")
 def checksum_verify(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    sums = docs.where(F.col("path").cast("bigint") % 2 == 0).select(F.concat_ws("  ", "path", F.when(F.col("path").cast("bigint") % 4 == 0, F.md5("content")).otherwise("0")).alias("value"))
-    return files.verify_files(docs, files.parse_checksums(sums)).select(F.col("path").cast("bigint").alias("path"), "verified", "actual_md5")
+    half = docs.where(F.col("path").cast("bigint") % 2 == 0)
+    lines = half.select("path", F.posexplode(F.array(F.lit("an earlier line"), F.when(F.col("path").cast("bigint") % 4 == 0, F.md5("content")).otherwise("0"))).alias("n", "sum"))
+    sums = lines.select("n", F.concat_ws("  ", "path", F.regexp_replace("sum", " ", "-")).alias("value"))
+    return files.verify_files(docs, files.parse_checksums(sums, order="n")).select(F.col("path").cast("bigint").alias("path"), "verified", "actual_md5")

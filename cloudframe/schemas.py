@@ -36,7 +36,8 @@ HANDS = fields(
 HANDS_META = fields(("K", _MATRIX), ("baseline_m", DOUBLE), ("hand_angle_names_20dof joint_names", T.ArrayType(STRING)), ("anchor_confidence_source scale_meta_json", STRING))
 LABELS = {"background": 0, "hand": 1, "object": 2}
 
-# Names of joints and angles, in the order of the file format.
+# Fixed values, down to the end of this file: the file format's names of joints and angles in their order, the bones
+# between joints, the sizes of array fields and the fields that a file must have.
 FINGERS = ("index", "middle", "ring", "pinky")
 JOINT_NAMES = ["wrist", "thumb_cmc", "thumb_mcp", "thumb_ip", "thumb_tip"] + [f"{f}_{j}" for f in FINGERS for j in ("mcp", "pip", "dip", "tip")]
 ANGLE_NAMES = ["thumb_cmc_flexion", "thumb_cmc_abduction", "thumb_mcp_flexion", "thumb_ip_flexion"] + [
