@@ -13,6 +13,8 @@ from cloudframe.operators.points import validate_points, voxel_downsample
 
 #: Up to so many views are broadcast to the pixels (about 200 bytes each); beyond, the join shuffles.
 BROADCAST_VIEWS = 100_000
+#: Views that every point meets; of more, those that reach its cell. Cells a side of that grid.
+FEW_VIEWS, CELLS = 64, 32
 NEAR = 0.05
 
 
@@ -85,13 +87,16 @@ def baseline(cameras: DataFrame) -> DataFrame:
 def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
     """Pixel u, v and depth zc of every world point in every view that sees it.
 
-    Points nearer than 0.05 or outside the image don't count. Each point meets each view:
-    views are a table of checked size, so this is a map over the points.
+    Points that aren't finite, nearer than 0.05 or outside the image don't count. Each point meets each of a few
+    views; of more, only those that see a part of the point's cell of a coarse grid. Views are
+    a table of checked size.
     """
     views = cameras.select("view_idx", "width", "height", "fx", "fy", "cx", "cy", *NAMES)
-    if views.limit(BROADCAST_VIEWS + 1).count() > BROADCAST_VIEWS:
+    n = views.limit(BROADCAST_VIEWS + 1).count()
+    if n > BROADCAST_VIEWS:
         raise ValueError(f"more than {BROADCAST_VIEWS} views; project a scene at a time")
-    seen = points.crossJoin(F.broadcast(views))
+    points = validate_points(points)
+    seen = points.crossJoin(F.broadcast(views)) if n <= FEW_VIEWS else _in_reach(points, views)
     x, y, z = applied_inverse([F.col(n) for n in NAMES], F.col("x"), F.col("y"), F.col("z"))
     seen = seen.withColumns({"xc": x, "yc": y, "zc": z}).where(F.col("zc") > NEAR)
     u = F.rint(F.col("fx") * F.col("xc") / F.col("zc") + F.col("cx")).cast("bigint")
@@ -100,6 +105,32 @@ def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
     return placed.select("view_idx", "u", "v", "zc", *points.columns, "width", "height")
 
 
+def _in_reach(points: DataFrame, views: DataFrame) -> DataFrame:
+    """points with each view that may see them: whose cell's sphere reaches into the view's pyramid.
+
+    The grid has at most CELLS cells a side, so cells x views stays small beside points x views.
+    """
+    low, high = ([f(c) for c in "xyz"] for f in (F.min, F.max))
+    box = points.agg(*low, *high).first()
+    if box[0] is None:
+        return points.crossJoin(F.broadcast(views))
+    width = max(max(b - a for a, b in zip(box[:3], box[3:], strict=True)) / CELLS, 1e-9)
+    keys = ("_cx", "_cy", "_cz")
+    celled = points.withColumns({k: F.floor(F.col(c) / width) for k, c in zip(keys, "xyz", strict=True)})
+    middles = [(F.col(k) + 0.5) * width for k in keys]
+    reach = width * (3**0.5 / 2 + 1e-6)
+    x, y, z = applied_inverse([F.col(n) for n in NAMES], *middles)
+
+    def inside(focal: str, edge: Column, place: Column) -> Column:
+        """Whether the sphere reaches the inner side of the plane through the eye and an edge of the image."""
+        return (F.col(focal) * place + edge * F.col("_z")) >= -reach * F.sqrt(F.col(focal) * F.col(focal) + edge * edge)
+
+    met = celled.select(*keys).distinct().crossJoin(F.broadcast(views)).withColumns({"_x": x, "_y": y, "_z": z}).where(F.col("_z") > NEAR - reach)
+    for focal, centre, size, place in (("fx", "cx", "width", "_x"), ("fy", "cy", "height", "_y")):
+        met = met.where(inside(focal, F.col(centre) + 0.5, F.col(place)) & inside(focal, F.col(size) - 0.5 - F.col(centre), -F.col(place)))
+    return celled.join(met.drop("_x", "_y", "_z"), list(keys)).drop(*keys)
+
+
 def render(points: DataFrame, cameras: DataFrame, exact: bool = False, splat: int = 1) -> DataFrame:
     """Depth, label and colour of each pixel that points reach: the nearest of those splatted on it.
 

@@ -33,6 +33,19 @@ def test_projecting_a_backprojected_pixel_gives_it_back(spark, cameras):
     assert seen.count() == 60 and seen.where("u <> u0 or v <> v0").count() == 0
 
 
+def test_many_views_are_looked_up_by_cell(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    cams = synth.ring_cameras(spark, 9, width=40, height=30, focal=60.0)
+    rows = [(k, *map(float, p)) for k, p in enumerate(rng.normal(0, 0.4, (1500, 3)) + [0.1, 0, 0.4])] + [(-1, float("nan"), 0.0, 0.0)]
+    pts = spark.createDataFrame(rows, "point_id bigint, x double, y double, z double")
+    want = sorted(map(tuple, depth.project(pts, cams).collect()))
+    monkeypatch.setattr(depth, "FEW_VIEWS", 3)
+    views = cams.select("view_idx", "width", "height", "fx", "fy", "cx", "cy", *depth.NAMES)
+    assert sorted(map(tuple, depth.project(pts, cams).collect())) == want and len(want) > 300
+    assert depth._in_reach(pts.where("point_id >= 0"), views).count() < 0.6 * 1500 * 9
+    assert depth.project(pts.limit(0), cams).count() == 0
+
+
 def test_baseline_needs_two_views(spark, cameras):
     assert depth.baseline(cameras.limit(0)).first().baseline_m == 0.0
     assert depth.baseline(cameras.where("view_idx = 0")).first().baseline_m == 0.0
