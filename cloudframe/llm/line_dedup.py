@@ -22,6 +22,9 @@ space dropped or added turns one into the other; the shorter one may have a word
 5. Of lines that are equal without spaces, each with one space dropped is joined with the one
    that is so by itself; the later of the two goes.
 
+A template line with one free word is a hot key: groups are combined before they are shuffled,
+and the joins of their members with them are inner joins that adaptive execution splits.
+
 A line goes if an equal or near line stands earlier, by doc_id and then by place in the text.
 """
 
