@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudframe.llm import ann, langid, line_dedup, mixing, near_dups, packing, pii, quality, sharding, token_counts
+from cloudframe.llm import ann, fim, hard_negatives, langid, line_dedup, mixing, near_dups, packing, pii, quality, records, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id 100 divides, among all vectors."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op12_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token ids of every document to record files, and digest what is read back from them."""
+    files = records.write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    found = records.read_records(files, records.in_order(files, records.with_start(files.index(spark))), digest=True)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document reordered for filling in its middle, and restored."""
+    output, form = F.col("fim.output"), F.col("fim.form")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    done = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(output).alias("output_sha256"), digest(fim.restored(output, form)).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -87,8 +108,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_squares_packing": op8_squares_packing,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_record_files": op12_record_files,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lookup_sharding": sharding.oracle([f"shard-{k:03d}" for k in range(64)]), "op3_source_mixing": mixing.oracle()}
+    return {"op2_lookup_sharding": sharding.oracle([f"shard-{k:03d}" for k in range(64)]), "op3_source_mixing": mixing.oracle(), "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
