@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from cloudframe.llm.shared import bound_arrow_batches, own_columns, unused
 
+#: Bytes of text that the kernel works on at once.
+RUN_BYTES = 2 << 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Whether a byte is white space.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -43,13 +45,22 @@ def token_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts[1:] &= ~space[:-1]
     filled = offsets[:-1][offsets[1:] > offsets[:-1]]
     starts[filled] = True
-    upto = np.zeros(len(data) + 1, np.int64)
+    upto = np.zeros(len(data) + 1, np.int32)
     np.cumsum(starts, out=upto[1:])
-    return upto, upto[offsets[1:]] - upto[offsets[:-1]]
+    return upto, (upto[offsets[1:]] - upto[offsets[:-1]]).astype(np.int64)
 
 
-def cut_batch(texts: pa.Array, first: np.ndarray, second: np.ndarray, forms: pa.Array) -> pa.StructArray:
-    """The result column of a batch: texts without nulls, two draws of each row, and its form."""
+def runs(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first row, rows) of runs of texts of some RUN_BYTES together, or of one longer text: the kernel takes about ten bytes for each of theirs."""
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // RUN_BYTES)) + 1
+    starts = np.concatenate([[0], cuts])
+    return list(zip(starts.tolist(), np.diff(np.append(starts, len(sizes))).tolist(), strict=True))
+
+
+def cut_batch(texts: pa.Array, first: pa.Array, second: pa.Array, forms: pa.Array) -> pa.StructArray:
+    """The result column of some rows: texts without nulls, two draws of each row, and its form."""
+    first, second = first.to_numpy(), second.to_numpy()
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     base, end = int(offsets[0]), int(offsets[-1])
     body = texts.buffers()[2]
@@ -60,12 +71,10 @@ def cut_batch(texts: pa.Array, first: np.ndarray, second: np.ndarray, forms: pa.
 
     def place(k: np.ndarray) -> np.ndarray:
         """Where the token number k of each row starts; the text's end if it has no more."""
-        at = np.searchsorted(upto[1:], upto[offsets[:-1]] + k + 1)
+        at = np.searchsorted(upto[1:], (upto[offsets[:-1]] + k + 1).astype(np.int32))
         return np.where(k < n, at, offsets[1:])
 
     a, b = place(low), place(high)
-    chars = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
     # One array of 3 x rows strings over the same bytes: prefix, middle and suffix of each row in turn.
     cuts = np.append(np.stack([offsets[:-1], a, b], axis=1).ravel(), offsets[-1]).astype(np.int32)
     parts = pa.StringArray.from_buffers(3 * len(texts), pa.py_buffer(cuts), pa.py_buffer(data))
@@ -73,15 +82,16 @@ def cut_batch(texts: pa.Array, first: np.ndarray, second: np.ndarray, forms: pa.
     plain, spm = pc.equal(forms, "plain"), pc.equal(forms, "spm")
     join = lambda *p: pc.binary_join_element_wise(*p, "")
     output = pc.if_else(plain, texts, pc.if_else(spm, join(SUFFIX, suffix, PREFIX, prefix, MIDDLE, middle), join(PREFIX, prefix, SUFFIX, suffix, MIDDLE, middle)))
-    counted = [pc.if_else(plain, pa.scalar(None, pa.int64()), pa.array(x)) for x in (chars[a] - chars[offsets[:-1]], chars[b] - chars[a])]
+    counted = [pc.if_else(plain, pa.scalar(None, pa.int64()), pc.utf8_length(x).cast(pa.int64())) for x in (prefix, middle)]
     return pa.StructArray.from_arrays([pa.array(n), *counted, output], ["n", "prefix_chars", "middle_chars", "output"])
 
 
 def _cut(*columns: Column) -> Column:
     @F.arrow_udf(RESULT)
     def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, first, second, forms in batches:
-            yield cut_batch(texts, first.to_numpy(), second.to_numpy(), forms)
+        for texts, *rest in batches:
+            parts = [cut_batch(*(c.slice(at, n) for c in (texts, *rest))) for at, n in runs(texts)]
+            yield pa.concat_arrays(parts) if len(parts) != 1 else parts[0]
 
     return cut(*columns)
 

@@ -47,6 +47,14 @@ def slow_fim(doc_id, text):
     return n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
 
 
+def test_runs_of_texts(monkeypatch):
+    monkeypatch.setattr(fim, "RUN_BYTES", 10)
+    for sizes in ([], [0, 0], [3, 3, 3, 3, 3, 40, 1, 0, 2, 30], [100]):
+        found = fim.runs(pa.array(["x" * n for n in sizes], pa.string()))
+        assert [k for at, n in found for k in range(at, at + n)] == list(range(len(sizes)))
+        assert all(sum(sizes[at : at + n - 1]) <= 10 for at, n in found)
+
+
 def test_fill_in_middle_of_odd_texts(spark, odd):
     docs = odd.unionByName(odd.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "fim", "n")).unionByName(odd.select((F.col("doc_id") * 77 + 5).alias("doc_id"), "text", "fim", "n"))
     done = fim.fill_in_middle(docs)
@@ -75,7 +83,7 @@ def test_fill_in_middle_query(spark):
 def test_cuts_of_a_batch(texts, first, second, skip):
     sliced = pa.array(["skipped"] * skip + texts, pa.string()).slice(skip)
     forms = pa.array([("spm", "psm", "plain")[k % 3] for k in range(len(texts))], pa.string())
-    got = fim.cut_batch(sliced, np.full(len(texts), first), np.full(len(texts), second), forms).to_pylist()
+    got = fim.cut_batch(sliced, pa.array([first] * len(texts), pa.int64()), pa.array([second] * len(texts), pa.int64()), forms).to_pylist()
     for text, form, row in zip(texts, forms.to_pylist(), got, strict=True):
         tokens = re.findall("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+", text)
         n = len(tokens)
