@@ -58,44 +58,43 @@ def joint_errors(matched: DataFrame) -> DataFrame:
 
 
 def reference_metrics(prediction: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row of all metrics against the reference, in one pass over the matches; without a match only matched_rows is not null.
+    """One row of all metrics against the reference; without a match only matched_rows is not null.
 
-    Joint errors count joints valid on both sides; roots and angles count all matched rows.
+    Joint errors count joints valid on both sides; roots and angles count all matched rows. The
+    matches' figures are one aggregate, the joints' another; each joins the two sides once.
     """
-    found = _metrics(match_rows(prediction, reference))
-    return found.select("matched_rows", *(F.when(F.col("matched_rows") > 0, F.col(c)).alias(c) for c in found.columns if c != "matched_rows"))
+    matched = match_rows(prediction, reference)
+    angles = [_angle_mae()] if all("hand_angles_20dof_deg" in matched.schema[side].dataType.names for side in "pr") else []
+    found = matched.agg(F.count("*").alias("matched_rows"), _root_rmse(), *angles).crossJoin(joint_report(matched))  # one row each
+    names = ["root_translation_rmse_m", "mpjpe_m", "mpjpe_mm", "joint_error_p95_m"] + ["hand_angle_mae_deg"] * len(angles)
+    return found.select("matched_rows", *(F.when(F.col("matched_rows") > 0, F.col(c)).alias(c) for c in names))
 
 
-def _metrics(matched: DataFrame) -> DataFrame:
-    angles = all("hand_angles_20dof_deg" in matched.schema[side].dataType.names for side in "pr")
-    root = array_distance(F.col("p.root_translation_m"), F.col("r.root_translation_m"))
-    off = F.zip_with("p.hand_angles_20dof_deg", "r.hand_angles_20dof_deg", lambda a, b: F.abs(a - b)) if angles else F.array().cast("array<double>")
-    errors = F.transform(F.filter(_joints(matched), lambda j: j["m"] & j["n"]), lambda j: array_distance(j["a"], j["b"]))
-    rows = matched.select(root.alias("root"), off.alias("off"), F.posexplode_outer(errors).alias("at", "error"))
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0  # one of a match's rows speaks for the match
-    offs = F.aggregate("off", F.lit(0.0), lambda total, x: total + x)
+def joint_report(matched: DataFrame) -> DataFrame:
+    """mpjpe_m, mpjpe_mm and joint_error_p95_m over the joints valid on both sides."""
     mean = or_zero(F.avg("error"))
-    aggregates = [F.count_if(first).alias("matched_rows"), or_zero(F.sqrt(F.avg(F.when(first, F.col("root") * F.col("root"))))).alias("root_translation_rmse_m"), mean.alias("mpjpe_m"), (mean * 1000.0).alias("mpjpe_mm")]
-    if angles:
-        aggregates.append(or_zero(F.try_divide(F.sum(F.when(first, offs)), F.sum(F.when(first, F.size("off"))))).alias("hand_angle_mae_deg"))
-    found = summary(rows, aggregates, {"joint_error_p95_m": ("error", 0.95)})
-    names = ["matched_rows", "root_translation_rmse_m", "mpjpe_m", "mpjpe_mm", "joint_error_p95_m"] + ["hand_angle_mae_deg"] * angles
-    return found.select(*(or_zero(F.col(c)).alias(c) if c.endswith("p95_m") else F.col(c) for c in names))
+    found = summary(joint_errors(matched).select("error"), [mean.alias("mpjpe_m"), (mean * 1000.0).alias("mpjpe_mm")], {"joint_error_p95_m": ("error", 0.95)})
+    return found.withColumn("joint_error_p95_m", or_zero(F.col("joint_error_p95_m")))
 
 
-def joint_report(matched: DataFrame) -> DataFrame:
-    """mpjpe_m, mpjpe_mm and joint_error_p95_m over the joints valid on both sides."""
-    return _metrics(matched).select("mpjpe_m", "mpjpe_mm", "joint_error_p95_m")
+def _root_rmse() -> Column:
+    root = array_distance(F.col("p.root_translation_m"), F.col("r.root_translation_m"))
+    return or_zero(F.sqrt(F.avg(root * root))).alias("root_translation_rmse_m")
+
+
+def _angle_mae() -> Column:
+    off = F.zip_with("p.hand_angles_20dof_deg", "r.hand_angles_20dof_deg", lambda a, b: F.abs(a - b))
+    return or_zero(F.try_divide(F.sum(F.aggregate(off, F.lit(0.0), lambda total, x: total + x)), F.sum(F.size(off)))).alias("hand_angle_mae_deg")
 
 
 def root_rmse(matched: DataFrame) -> DataFrame:
     """matched_rows and root_translation_rmse_m over all matched rows."""
-    return _metrics(matched).select("matched_rows", "root_translation_rmse_m")
+    return matched.agg(F.count("*").alias("matched_rows"), _root_rmse())
 
 
 def angle_mae(matched: DataFrame) -> DataFrame:
     """hand_angle_mae_deg over all angles of all matched rows."""
-    return _metrics(matched).select("hand_angle_mae_deg")
+    return matched.agg(_angle_mae())
 
 
 def _bones() -> Column:

@@ -93,13 +93,13 @@ def sample_points(points: DataFrame, k: int, seed: int = 20260702, by: tuple[str
 def working_points(points: DataFrame, size: float | None, k: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Voxel means, then at most k of them; point_id is the voxel's place on the grid.
 
-    The three keys go into one number side by side, 21 bits each, so ids are distinct for
-    clouds of up to two million voxels a side.
+    The three keys go into one number side by side, 21 bits each; a voxel farther than a million
+    from the origin's is an error, never another one's id.
     """
     if size is not None and size > 0:
         points = voxel_downsample(points, size, by)
-        part = (1 << 21) - 1
-        places = [F.col(k).bitwiseAND(F.lit(part)) for k in ("kx", "ky", "kz")]
+        half = 1 << 20
+        places = [F.when(F.col(k).between(-half, half - 1), F.col(k) + half).otherwise(F.raise_error(F.lit("more than two million voxels a side; take a larger voxel"))).cast("bigint") for k in ("kx", "ky", "kz")]
         points = points.withColumn("point_id", F.shiftleft(places[0], 42) + F.shiftleft(places[1], 21) + places[2])
     return sample_points(points, k, seed, by)
 

@@ -46,6 +46,13 @@ def cloud(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return points(spark, sf_dir).where(F.col("cloud") == k)
 
 
+def broken_cloud(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """A cloud of which every 23rd point or so isn't finite."""
+    odd = {c: F.when(F.col("point_id") % 23 == 4, F.when(F.col("point_id") % 2 == 0, v).otherwise(F.col(c))).otherwise(F.col(c)) for c, v in (("x", F.lit(float("nan"))), ("y", F.lit(float("-inf"))))}
+    odd["z"] = F.when((F.col("point_id") % 23 == 4) & (F.col("point_id") % 2 == 1), F.lit(None)).otherwise(F.col("z"))
+    return cloud(spark, sf_dir, k).withColumns(odd)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """view_idx, u, v, depth, label: the cheapest order line of each pixel; some depths are made invalid."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -66,13 +73,13 @@ def _hands(rows: DataFrame, scale: Column) -> DataFrame:
     mask = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.abs(e[j * 3].cast("double")) < 0.3)
     degrees = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: e[k].cast("double") * scale * 90.0)
     return rows.select(
-        "row_id", F.col("vec_id").alias("frame_index"), (F.col("label") % 2).cast("bigint").alias("hand_side"), joints.alias("joints_3d_left_m"), joints[0].alias("root_translation_m"), mask.alias("valid_joint_mask"),
+        "row_id", F.col("vec_id").alias("frame_index"), F.when(F.col("vec_id") % 17 != 5, F.col("label") % 2).cast("bigint").alias("hand_side"), joints.alias("joints_3d_left_m"), joints[0].alias("root_translation_m"), mask.alias("valid_joint_mask"),
         degrees.alias("hand_angles_20dof_deg"), F.abs(e[63].cast("double")).alias("frame_confidence"), F.when(F.col("vec_id") % 20 == 0, "invalid").otherwise("ok").alias("frame_status"),
     )
 
 
 def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted rows: 21 joints from 63 components."""
+    """Predicted rows: 21 joints from 63 components; every 17th has no side."""
     return _hands(table(spark, sf_dir, "embeddings").withColumn("row_id", F.col("vec_id")), F.lit(1.0))
 
 
@@ -91,7 +98,7 @@ cameras AS (SELECT view_idx, rx AS r00, -fz * ry AS r01, fx AS r02, ry AS r10, f
 
 def sql_views() -> str:
     """The same tables as common table expressions for DuckDB."""
-    hand = """SELECT {row_id} AS row_id, vec_id AS frame_index, (label % 2)::BIGINT AS hand_side, {scale}::DOUBLE AS scale, embedding AS e,
+    hand = """SELECT {row_id} AS row_id, vec_id AS frame_index, CASE WHEN vec_id % 17 <> 5 THEN (label % 2)::BIGINT END AS hand_side, {scale}::DOUBLE AS scale, embedding AS e,
   CASE WHEN vec_id % 20 = 0 THEN 'invalid' ELSE 'ok' END AS status FROM embeddings"""
     return f"""WITH points AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, (label % 3)::BIGINT AS label,
   vec_id * 37 % 256 AS r, vec_id * 59 % 256 AS g, vec_id * 83 % 256 AS b, (label % 2)::BIGINT AS cloud FROM embeddings),
@@ -116,4 +123,4 @@ steps AS (SELECT hand_side, frame_index, sqrt((x - lag(x) OVER w) ** 2 + (y - la
 source AS (SELECT * FROM points WHERE cloud = 0),
 target AS (SELECT * FROM points WHERE cloud = 1),
 pairs AS (SELECT s.point_id, s.x, s.y, s.z, t.point_id AS target_id, t.x AS tx, t.y AS ty, t.z AS tz, sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) AS distance
-  FROM source s, target t QUALIFY row_number() OVER (PARTITION BY s.point_id ORDER BY distance, t.point_id) = 1)"""
+  FROM source s, target t WHERE s.point_id % 23 <> 4 AND t.point_id % 23 <> 4 QUALIFY row_number() OVER (PARTITION BY s.point_id ORDER BY distance, t.point_id) = 1)"""

@@ -209,13 +209,13 @@ def prepare_working_points(spark, sf_dir):
 
 @query(f"SELECT point_id, target_id, {r('distance')} AS distance FROM pairs")
 def nn_bruteforce(spark, sf_dir):
-    found = neighbours.nearest_by_kernel(fx.cloud(spark, sf_dir, 0), neighbours.send_target(fx.cloud(spark, sf_dir, 1)))
+    found = neighbours.nearest_any(fx.broken_cloud(spark, sf_dir, 0), fx.broken_cloud(spark, sf_dir, 1))
     return found.select("point_id", "target_id", rounded("distance").alias("distance"))
 
 
 @query(f"SELECT point_id, target_id, {r('distance')} AS distance FROM pairs WHERE distance <= {NEAR}")
 def nn_within_threshold(spark, sf_dir):
-    found = neighbours.nearest_within(fx.cloud(spark, sf_dir, 0), fx.cloud(spark, sf_dir, 1), NEAR)
+    found = neighbours.nearest_within(fx.broken_cloud(spark, sf_dir, 0), fx.broken_cloud(spark, sf_dir, 1), NEAR)
     return found.select("point_id", "target_id", rounded("distance").alias("distance"))
 
 
@@ -224,7 +224,7 @@ trimmed AS (SELECT * FROM kept WHERE distance <= (SELECT max(distance) FROM kept
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    found = neighbours.nearest_any(fx.cloud(spark, sf_dir, 0), fx.cloud(spark, sf_dir, 1)).withColumn("source_id", F.lit(0))
+    found = neighbours.nearest_any(fx.broken_cloud(spark, sf_dir, 0), fx.broken_cloud(spark, sf_dir, 1)).withColumn("source_id", F.lit(0))
     return registration.trim_pairs(found, TRIM, MIN_PAIRS)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.transforms import NAMES, applied
-from cloudframe.operators.depth import valid_depth
+from cloudframe.operators.depth import small, valid_depth
 from cloudframe.operators.points import voxel_downsample
 
 
@@ -17,7 +17,7 @@ def fuse_stream(pixels: DataFrame, cameras: DataFrame, voxel_size: float, time_c
     With it there is a grid for each window, which closes once the watermark has passed
     (append), so the state stays bounded.
     """
-    joined = pixels.where(valid_depth()).join(F.broadcast(cameras.select("view_idx", "fx", "fy", "cx", "cy", *NAMES)), "view_idx")
+    joined = pixels.where(valid_depth()).join(small(cameras.select("view_idx", "fx", "fy", "cx", "cy", *NAMES)), "view_idx")
     z = F.col("depth").cast("double")
     x, y, z = applied([F.col(n) for n in NAMES], (F.col("u") - F.col("cx")) * z / F.col("fx"), (F.col("v") - F.col("cy")) * z / F.col("fy"), z)
     points = joined.select(*([time_col] if time_col else []), x.alias("x"), y.alias("y"), z.alias("z"))

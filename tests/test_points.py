@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudframe.functions.transforms import angle_of, euler_matrix, inverse_rigid, look_at, make_transform
-from cloudframe.operators import neighbours, points, registration
+from cloudframe.functions.transforms import NAMES, angle_of, euler_matrix, inverse_rigid, look_at, make_transform, numbers
+from cloudframe.operators import neighbours, points, registration, spatial
 
 
 def cloud(spark, rows, extra=""):
@@ -127,6 +127,37 @@ def test_registration_recovers_a_motion(spark):
         registration.register(sources.limit(5), target)
 
 
+def test_registration_of_many_sources_on_the_executors(spark, monkeypatch):
+    """The same transforms, statuses and histories as by the driver's loop."""
+    rng = np.random.default_rng(6)
+    base = rng.uniform(-0.1, 0.1, (300, 3))
+    target = cloud(spark, [(k, *map(float, p)) for k, p in enumerate(base)])
+    rows = []
+    for s in range(7):
+        m = euler_matrix(*rng.uniform(-0.1, 0.1, 3))
+        some = base[rng.permutation(300)[: 60 + 20 * s]]
+        rows += [(s, k, *map(float, p)) for k, p in enumerate(some @ m.T + rng.uniform(-0.01, 0.01, 3) + rng.normal(0, 2e-4, some.shape))]
+    rows += [(7, k, 50.0 + k, 0.0, 0.0) for k in range(60)] + [(5, 999, float("nan"), 0.0, 0.0)]  # far from all targets; not finite
+    schema = "source_id int, point_id bigint, x double, y double, z double"
+    sources, few = spark.createDataFrame(rows, schema), spark.createDataFrame([(8, 0, 0.0, 0.0, 0.0)], schema)
+    init = {k: make_transform(euler_matrix(0.01 * k, 0, 0), np.zeros(3)) for k in (1, 2)}
+    table = spark.createDataFrame([(k, *numbers(m)) for k, m in init.items()], "source_id int, " + ", ".join(f"{n} double" for n in NAMES))
+    for most, rounds in ((10**6, 4), (50, 1)):
+        monkeypatch.setattr(registration, "TASK_ROWS", 10**6)
+        want = registration.register(sources, target, init, max_iterations=rounds, threshold=0.05, trim=0.8)
+        monkeypatch.setattr(registration, "TASK_ROWS", most)
+        got = {r.source_id: r for r in registration.register_many(sources.union(few), target, table, max_iterations=rounds, threshold=0.05, trim=0.8).collect()}
+        assert sorted(got) == list(range(9)) and (got[8].status, got[8].iterations, got[8].mean_error) == ("too_few_points", 0, None)
+        for w in want:
+            g = got[w.source_id]
+            assert (g.status, g.iterations, g.pair_count, g.fitness) == (w.status, w.iterations, w.pair_count, pytest.approx(w.fitness))
+            assert np.allclose([g[n] for n in NAMES], numbers(w.transform), atol=1e-9)
+            assert (g.mean_error, g.rmse) == (pytest.approx(w.mean_error), pytest.approx(w.rmse)) if w.pair_count else g.mean_error is None
+            assert [(h.iteration, h.pair_count) for h in g.history] == [(h["iteration"], h["pair_count"]) for h in w.history]
+    with pytest.raises(ValueError):
+        registration.register_many(sources, target.limit(3))
+
+
 def test_poses():
     m = look_at(np.array([0.6, 0.1, 0.5]), np.zeros(3))
     assert np.allclose(m[:3, :3] @ m[:3, :3].T, np.eye(3)) and np.allclose(m[:3, 2], -np.array([0.6, 0.1, 0.5]) / np.linalg.norm([0.6, 0.1, 0.5]))
@@ -135,33 +166,59 @@ def test_poses():
     assert np.allclose(euler_matrix(0.1, 0.2, 0.3), rz @ ry @ rx)
 
 
-def test_neighbours_within_a_threshold_by_the_kernel(spark):
-    """The grid of the kernel against brute force, with points outside the targets' box and equal targets."""
-    rng = np.random.default_rng(2)
-    for scale in (0.05, 0.3, 3.0):
-        targets, asked = rng.uniform(-1, 1, (400, 3)), rng.uniform(-1.3, 1.3, (300, 3))
-        targets[9] = targets[4]
-        index, distance = brute(asked, targets)
-        want = [i if d <= scale else -1 for i, d in zip(index, distance, strict=True)]
-        assert neighbours.Grid(targets, scale).nearest(asked).tolist() == want
-        assert neighbours.nearest_by_grids(asked, targets, neighbours.grids_of(targets, scale), scale).tolist() == want
-        assert neighbours.nearest_by_grids(asked, targets, neighbours.grids_of(targets, None), None).tolist() == index.tolist()
-    source, target = (cloud(spark, [(k, *map(float, p)) for k, p in enumerate(x)]) for x in (asked, targets))
-    near = {r.point_id: r.target_id for r in neighbours.nearest_by_kernel(source, neighbours.send_target(target), 0.2).collect()}
-    assert near == {k: i for k, (i, d) in enumerate(zip(index.tolist(), distance, strict=True)) if d <= 0.2}
-
-
-def test_targets_too_large_to_be_sent(spark, two, monkeypatch):
-    """Grids that grow, and the few points left, far from all targets."""
-    a, b, source, target = two
-    far = np.vstack([a, [[40.0, 0, 0], [0, -90.0, 3]]])
-    source = cloud(spark, [(k, *map(float, p)) for k, p in enumerate(far)])
-    index, distance = brute(far, b)
+def squares(points, targets):
+    gap = points[:, None] - targets[None]
+    return gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1] + gap[..., 2] * gap[..., 2]
+
+
+SHAPES = {
+    "even": lambda r: (r.uniform(-1, 1, (400, 3)), r.uniform(-1.3, 1.3, (300, 3))),
+    "lattice": lambda r: (r.integers(0, 5, (600, 3)).astype(float), r.integers(-2, 14, (300, 3)) / 2),
+    "one place": lambda r: (np.ones((500, 3)), r.uniform(-1, 1, (40, 3))),
+    "two dense clouds": lambda r: (np.vstack([r.uniform(0, 1e-9, (300, 3)), r.uniform(1000, 1000.1, (300, 3))]), np.vstack([r.uniform(0, 1e-9, (150, 3)), r.uniform(-500, 2000, (150, 3))])),
+    "a plane": lambda r: (r.uniform(0, 1, (500, 3)) * [1, 1, 0], r.uniform(0, 1, (200, 3))),
+    "few": lambda r: (r.uniform(0, 1, (3, 3)), r.uniform(0, 1, (20, 3))),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_tree_agrees_with_brute_force(shape, monkeypatch):
+    targets, asked = SHAPES[shape](np.random.default_rng(2))
+    all_squares = squares(asked, targets)
+    index, least = all_squares.argmin(axis=1), all_squares.min(axis=1)
+    for leaf, pairs, asking in ((16, 1 << 20, 1 << 13), (2, 64, 50)):
+        monkeypatch.setattr(spatial, "LEAF", leaf)
+        monkeypatch.setattr(spatial, "PAIRS", pairs)
+        monkeypatch.setattr(spatial, "ASKING", asking)
+        row, square = spatial.Tree(targets).nearest(asked)
+        assert row.tolist() == index.tolist() and square.tolist() == least.tolist()
+        row, _ = spatial.Tree(targets).nearest(asked, np.full(len(asked), 0.04))
+        assert row.tolist() == np.where(least <= 0.04, index, -1).tolist()
+
+
+@pytest.mark.parametrize("shape", ["lattice", "one place", "two dense clouds"])
+def test_targets_in_ranges(spark, shape, monkeypatch):
+    """Far beyond the bound for sending the target: a few dozen ranges, asked by many."""
+    targets, asked = SHAPES[shape](np.random.default_rng(3))
+    odd = [[np.nan, 0, 0], [np.inf, 1, 1], [0, -np.inf, 0]]
+    n, m = len(targets), len(asked)
+    source, target = (cloud(spark, [(k, *map(float, p)) for k, p in enumerate([*x, *odd])]).repartition(3) for x in (asked, targets))
+    all_squares = squares(asked, targets)
+    index, least = all_squares.argmin(axis=1), all_squares.min(axis=1)
+    for most, size in ((10_000, 10_000), (1, 20)):
+        monkeypatch.setattr(neighbours, "BROADCAST_TARGET", most)
+        monkeypatch.setattr(neighbours, "RANGE", size)
+        got = {r.point_id: (r.target_id, r.distance, r.tx) for r in neighbours.nearest_any(source.withColumn("more", F.lit(1)), target).collect()}
+        assert got == {k: (int(i), float(np.sqrt(d)), float(targets[i, 0])) for k, (i, d) in enumerate(zip(index, least, strict=True))}
+        got = {r.point_id: r.target_id for r in neighbours.nearest_within(source, target, 0.2).collect()}
+        assert got == {k: int(i) for k, (i, d) in enumerate(zip(index, least, strict=True)) if np.sqrt(d) <= 0.2}
+        assert neighbours.nearest_any(source.where(f"point_id >= {m}"), target).count() == 0
+        assert neighbours.nearest_any(source, target.where(f"point_id >= {n}")).count() == 0
+
+
+def test_targets_too_large_to_be_sent(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BROADCAST_TARGET", 100)
-    for few in (10, 5_000):
-        monkeypatch.setattr(neighbours, "FEW", few)
-        got = {r.point_id: (r.target_id, r.distance) for r in neighbours.nearest_any(source, target).collect()}
-        assert [got[k][0] for k in range(len(far))] == index.tolist() and np.allclose([got[k][1] for k in range(len(far))], distance)
+    monkeypatch.setattr(neighbours, "RANGE", 60)
     rng = np.random.default_rng(3)
     base = rng.uniform(-0.1, 0.1, (400, 3))
     target = cloud(spark, [(k, *map(float, p)) for k, p in enumerate(base)])
@@ -171,7 +228,8 @@ def test_targets_too_large_to_be_sent(spark, two, monkeypatch):
         assert got.transform[0, 3] == pytest.approx(-0.002, abs=2e-4)
 
 
-def test_trimming_by_steps_is_that_by_sorting(spark):
+def test_trimming_by_selection_is_that_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(registration, "TASK_ROWS", 100)
     rng = np.random.default_rng(4)
     rows = [(int(s), float(d)) for s, d in zip(rng.integers(0, 3, 900), np.round(rng.exponential(1, 900), 2), strict=True)]
     df = spark.createDataFrame(rows, "source_id int, distance double")
@@ -194,8 +252,40 @@ def test_exact_percentiles_and_ranges_of_any_size(spark, monkeypatch):
     want = {"m": np.percentile(x, 50), "p": np.percentile(x, 95), "q": np.percentile(y, 5), "top": y.max()}
     for most in (10**6, 100):
         monkeypatch.setattr(order, "TASK_ROWS", most)
+        monkeypatch.setattr(order, "DIGIT", 16 if most > 100 else 32)
         got = order.summary(df, [F.count("*").alias("n")], {"m": ("x", 0.5), "p": ("x", 0.95), "q": ("y", 0.05), "top": ("y", 1.0)}).first()
         assert got.n == 700 and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
         seen = order.with_previous(df, "x", "before", "side", "k").collect()
         assert {r.k: r.before for r in seen} == {k: x[k - 2] if k > 1 else None for k in range(700)}
         assert order.summary(df.limit(0), [F.count("*").alias("n")], {"m": ("x", 0.5)}).first().m is None
+
+
+def test_selection_by_bits(spark):
+    """Any doubles, mostly equal ones, groups of which one has no name."""
+    from cloudframe.operators import order
+
+    odd = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 0.1, 0.5, 0.49999999999999994, 2.0, 1.9999999999999998, 8.0, 7.999999999999999, 1e-300, 3.0]
+    rows = [(None if k % 3 == 0 else str(k % 3), v) for k, v in enumerate(odd * 3 + [0.25] * 200)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(3)
+    bits = df.select("value", order.ordered_bits(F.col("value")).alias("b")).distinct().orderBy("b", "value").collect()
+    assert [r.value for r in bits] == sorted(r.value for r in bits)
+    distinct = {r.value: r.b for r in bits}
+    assert len(set(distinct.values())) == len(distinct)
+    groups = {g: sorted(v for h, v in rows if h == g) for g in (None, "1", "2")}
+    ranks = [(g, f"t{k}", k) for g, values in groups.items() for k in range(0, len(values), 7)]
+    got = order.select_ranks(df, spark.createDataFrame(ranks, "g string, tag string, rank bigint"), ["g"]).collect()
+    assert {(r.g, r.tag): r.value for r in got} == {(g, t): groups[g][k] for g, t, k in ranks}
+
+
+def test_previous_rows_of_null_groups(spark, monkeypatch):
+    from cloudframe.operators import order
+
+    rows = [(k, None if k % 5 == 0 else k % 2, float(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "k bigint, side int, x double").repartition(3)
+    for most in (10**6, 40):
+        monkeypatch.setattr(order, "TASK_ROWS", most)
+        got = {r.k: r.before for r in order.with_previous(df, "x", "before", "side", "k").collect()}
+        last, want = {}, {}
+        for k, side, x in rows:
+            want[k], last[side] = last.get(side), x
+        assert got == want
