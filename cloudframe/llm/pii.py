@@ -1,10 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
-Regular expressions find seed entities: e-mail and IP addresses, card and phone numbers. The
-words beside an entity are lexical patterns. Patterns and the identifiers seen in them form a
-graph whose scores are worked out in rounds: a pattern is as sure as the identifiers in it, an
-identifier as the patterns it is in. Tokens that look like identifiers and stand in patterns of
-high confidence are reported as kind "id", beside the seeds. All of it is DataFrame operations.
+Regular expressions find seed entities: e-mail and IP addresses, card and phone numbers, and long
+hexadecimal secrets. One or two words beside an entity are lexical patterns. Patterns and the
+identifiers seen in them form a graph whose scores are worked out in rounds, until no further
+pattern is sure: a pattern is as sure as the identifiers in it, in proportion to how often its words
+stand in the corpus at all, so that words which are merely frequent never are; an identifier is as
+sure as the patterns it is in. Tokens that look like identifiers and stand in sure patterns are
+reported as kind "id", beside the base kinds; secrets too are reported only there. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -28,11 +31,16 @@ KINDS = {
 }
 #: What looks like an identifier: a run of at least eight such characters with a digit.
 TOKEN = r"(?<![A-Za-z0-9_.@+/-])(?=[A-Za-z_.@+/-]*[0-9])[A-Za-z0-9_.@+/-]{8,}+"
+#: A token that is a seed, though no base kind: hexadecimal digits, as of a key or a digest.
+SECRET = r"^(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}$"
+#: A word of a pattern. Words are letters, so that none holds an identifier's number.
+WORD = r"[\p{L}_]+"
 CONTEXT = 64
-ROUNDS = 3
+#: Rounds at most; scores only grow, and they end with the first round that adds no sure pattern.
+ROUNDS = 10
 #: A pattern counts from this confidence on, and from so many identifiers in it.
 CONFIDENCE, SUPPORT = 0.7, 3
-#: Up to so many patterns, each a word and two numbers, are broadcast; beyond, the join shuffles.
+#: Up to so many patterns, each a few words and two numbers, are broadcast; beyond, the join shuffles.
 BROADCAST_PATTERNS = 100_000
 
 
@@ -100,11 +108,24 @@ def placed_matches(rows: DataFrame) -> DataFrame:
     return places.withColumn("reach", reach).where(seed | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).select("row", "kind", "start", "end", "value", "before", "after")
 
 
-def _words(context: Column, side: str) -> Column:
-    """The letters nearest to the match, as a pattern; null if there are none."""
-    expression = r"([\p{L}_]+)[^\p{L}_]*$" if side == "L" else r"^[^\p{L}_]*([\p{L}_]+)"
-    word = F.lower(F.regexp_extract(context, expression, 1))
-    return F.when(word != "", F.concat(F.lit(f"{side}:"), word))
+def _beside(context: Column, side: str, n: int) -> Column:
+    """The n words nearest to the match, as a pattern; null if there are fewer."""
+    words = r"[^\p{L}_]+".join(["([\\p{L}_]+)"] * n)
+    expression = rf"{words}[^\p{{L}}_]*$" if side == "L" else rf"^[^\p{{L}}_]*{words}"
+    found = [F.lower(F.regexp_extract(context, expression, k + 1)) for k in range(n)]
+    return F.when(found[0] != "", F.concat(F.lit(f"{side}:"), F.concat_ws(" ", *found)))
+
+
+def word_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(words, seen): how often each of the wanted, a word or two words in a row, stands in all texts.
+
+    A few wanted ones are broadcast, and other words are dropped before they are counted.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    listed = texts.select(words.alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit("\n"))))
+    each = listed.select(F.explode(F.concat("w", pairs)).alias("words"))
+    return each.join(broadcast_if_small(wanted, BROADCAST_PATTERNS), "words", "left_semi").groupBy("words").agg(F.count("*").alias("seen"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
@@ -113,27 +134,36 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence, support) from edges (pattern, instance) and seeds (instance).
+    """(pattern, confidence, support) from edges (pattern, instance, n, seen) and seeds (instance).
 
-    confidence: the sum of the instances' scores over their number plus one. An instance's
-    score is 1 for a seed, else 1 - product of (1 - 0.9 x confidence) over its patterns.
+    n: how often the instance stands in the pattern; seen: how often the pattern's words stand
+    anywhere. confidence: the sum of n x score over seen, or over the sum of n where that is
+    more; support: the instances. An instance's score is 1 for a seed, else 1 - product of
+    (1 - 0.9 x confidence) over its patterns.
     """
-    edges = materialize(edges.distinct())
+    edges = materialize(edges)
     seeds = materialize(seeds.distinct().withColumn("seed", F.lit(1.0)))
-    scores, old = seeds, []
+    scores, old, sure = seeds, [], -1
     for n in range(rounds):
         scored = edges.join(scores.select("instance", F.col("seed").alias("score")), "instance", "left")
-        patterns = materialize(scored.groupBy("pattern").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("confidence"), F.count("*").alias("support")))
+        sums = F.coalesce(F.sum(F.col("n") * F.col("score")), F.lit(0.0)) / F.greatest(F.max("seen"), F.sum("n"))
+        patterns = materialize(scored.groupBy("pattern").agg(sums.alias("confidence"), F.count("*").alias("support")))
         discard(*old)
-        if n + 1 < rounds:
-            known = broadcast_if_small(patterns.where("confidence > 0"), BROADCAST_PATTERNS)
-            reached = edges.join(known, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-0.9 * F.col("confidence"))))).alias("reached"))
-            scores = materialize(reached.join(seeds, "instance", "left").select("instance", F.coalesce("seed", "reached").alias("seed")))
-            old = [scores, patterns]
+        before, sure = sure, patterns.where(is_sure()).count()
+        if sure == before or n + 1 == rounds:
+            break
+        known = broadcast_if_small(patterns.where("confidence > 0"), BROADCAST_PATTERNS)
+        reached = edges.join(known, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-0.9 * F.col("confidence"))))).alias("reached"))
+        scores = materialize(reached.join(seeds, "instance", "left").select("instance", F.coalesce("seed", "reached").alias("seed")))
+        old = [scores, patterns]
     discard(edges, seeds)
     return patterns
 
 
+def is_sure() -> Column:
+    return (F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, base (array of kind, start, end) and found (likewise, kind "id").
 
@@ -149,11 +179,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = F.concat(*(F.when(guard, matches(F.col("text"), rule, check, k)).otherwise(none) for k, (guard, rule, check) in enumerate(rules)))
     rows = materialize(texts.select("doc_id", seen.alias("seen")).withColumn("row", F.monotonically_increasing_id()))
 
-    sides = F.array_compact(F.array(_words(F.col("before"), "L"), _words(F.col("after"), "R")))
+    sides = F.array_compact(F.array(*(_beside(F.col(column), side, n) for column, side in (("before", "L"), ("after", "R")) for n in (1, 2))))
     placed = materialize(placed_matches(rows).select("row", "kind", "start", "end", F.lower("value").alias("instance"), sides.alias("patterns")))
     seed = F.col("kind") < len(KINDS)
-    patterns = score_patterns(placed.select("instance", F.explode("patterns").alias("pattern")), placed.where(seed).select("instance"))
-    sure = broadcast_if_small(patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern"), BROADCAST_PATTERNS)
+    known = placed.where(seed | F.col("instance").rlike(SECRET)).select("instance")
+    edges = materialize(placed.select("instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n")))
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).select("pattern", F.substr("pattern", F.lit(3)).alias("words"))
+    enough = materialize(enough)
+    counted = enough.join(word_counts(texts, enough.select("words").distinct()), "words").select("pattern", "seen")
+    patterns = score_patterns(edges.join(broadcast_if_small(materialize(counted), BROADCAST_PATTERNS), "pattern"), known)
+    sure = broadcast_if_small(patterns.where(is_sure()).select("pattern"), BROADCAST_PATTERNS)
 
     found = placed.where(~seed).select("row", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern").select("row", "kind", "start", "end").distinct()
     names = F.array(*map(F.lit, (*KINDS, "id")))

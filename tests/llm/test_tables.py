@@ -216,10 +216,35 @@ def test_identifiers_of_a_table_are_found_by_context(spark):
 
 
 def test_pattern_scores_are_those_of_the_formula(spark):
-    edges = [("p", "s1"), ("p", "s2"), ("p", "u"), ("q", "u"), ("q", "v"), ("p", "s1")]
-    got = {r.pattern: (r.confidence, r.support) for r in pii.score_patterns(spark.createDataFrame(edges, "pattern string, instance string"), spark.createDataFrame([("s1",), ("s2",)], "instance string"), 2).collect()}
-    u = 0.9 * (2 / 4)
-    assert got["p"] == pytest.approx(((2 + u) / 4, 3)) and got["q"] == pytest.approx((u / 3, 2))
+    edges = [("p", "s1", 2, 10), ("p", "s2", 1, 10), ("p", "u", 1, 10), ("q", "u", 3, 1), ("q", "v", 1, 1)]
+    frame = spark.createDataFrame(edges, "pattern string, instance string, n int, seen int")
+    got = {r.pattern: (r.confidence, r.support) for r in pii.score_patterns(frame, spark.createDataFrame([("s1",), ("s2",)], "instance string"), 2).collect()}
+    u = 0.9 * 3 / 10
+    assert got["p"] == pytest.approx(((3 + u) / 10, 3)) and got["q"] == pytest.approx((3 * u / 4, 2))
+    assert pii.score_patterns(frame, spark.createDataFrame([], "instance string")).agg(F.max("confidence")).first()[0] == 0
+    frame = spark.createDataFrame([*edges, ("r", "s1", 1, 3), ("r", "s2", 1, 3), ("r", "u", 1, 3)], "pattern string, instance string, n int, seen int")
+    old, pii.CONFIDENCE = pii.CONFIDENCE, 0.6
+    try:
+        got = {r.pattern: (r.confidence, r.support) for r in pii.score_patterns(frame, spark.createDataFrame([("s1",), ("s2",)], "instance string"), 2).collect()}
+    finally:
+        pii.CONFIDENCE = old
+    u = 1 - (1 - 0.9 * 3 / 10) * (1 - 0.9 * 2 / 3)
+    assert got["p"] == pytest.approx(((3 + u) / 10, 3)) and got["r"] == pytest.approx(((2 + u) / 3, 3)) and got["q"] == pytest.approx((3 * u / 4, 2))
+
+
+def test_words_are_counted_in_whole_texts(spark):
+    texts = spark.createDataFrame([("The the, THE end_of the",), (None,), ("",), ("the the " * 5000,), ("1 2",)], "text string")
+    wanted = spark.createDataFrame([("the",), ("the the",), ("end_of the",), ("no such",)], "words string")
+    assert {tuple(r) for r in pii.word_counts(texts, wanted).collect()} == {("the", 10_004), ("the the", 10_001), ("end_of the", 1)}
+
+
+def test_planted_secrets_are_found_by_context(spark):
+    """The documents as they are: secrets stand after the word token. Recall and precision over the whole table; no frequent word is a pattern."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {(k, m.start(1), m.end(1)) for k, t in texts.items() for m in re.finditer(r'(?i)token\W+"([0-9a-f]{20,})"', t)}
+    found = {(r.doc_id, s.start, s.end) for r in pii.find_personal_data(docs).where(F.size("found") > 0).collect() for s in r.found}
+    assert len(planted) > 100 and len(found & planted) >= 0.8 * len(planted) and len(found & planted) >= 0.9 * len(found)
 
 
 def exact(ids, x, query, k):
