@@ -16,7 +16,7 @@ from cloudframe.operators import accuracy, depth, files, hands, neighbours, poin
 from cloudframe.plans import fixtures as fx
 from cloudframe.plans.reconstruct import reconstruct
 from cloudframe.plans.registration import register_clouds, selftest
-from cloudframe.sources import clouds, scenes
+from cloudframe.sources import scenes, store
 from cloudframe.sources.hands import read_hands, write_hands
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -503,14 +503,14 @@ def hand_file(spark, sf_dir):
     f"v AS (SELECT kx, ky, kz, avg(x) AS x, avg(y) AS y, avg(z) AS z, trunc(avg(r))::BIGINT AS r FROM (SELECT *, {KEYS.format(s=VOXEL)} FROM points) GROUP BY kx, ky, kz)",
 )
 def cloud_files(spark, sf_dir):
-    """Voxel means, a grid of bounded size, written as PLY, NPZ and NPY files and read again."""
+    """Voxel means written as PLY, NPZ and NPY files by the tasks and read again in parts."""
     folder, grid = fx.scratch(spark), points.voxel_downsample(fx.points(spark, sf_dir), VOXEL)
-    clouds.write_ply(grid, f"{folder}/grid_ply.ply", ("kx", "ky", "kz"))
-    rows = grid.orderBy("kx", "ky", "kz").toPandas()
-    np.savez(f"{folder}/grid_npz.npz", points=rows[["x", "y", "z"]].to_numpy(), colors=rows[["r", "g", "b"]].to_numpy())
-    np.save(f"{folder}/grid_npy.npy", rows[["x", "y", "z"]].to_numpy())
-    read = clouds.read_clouds(spark, [f"{folder}/grid_{kind}.{kind}" for kind in ("ply", "npz", "npy")])
-    return longs(read, "r").select("cloud_id", "point_id", *(rounded(c).alias(c) for c in "xyz"), "r")
+    read = []
+    for kind in ("ply", "npz", "npy"):
+        store.write_cloud_files(grid.withColumn("cloud_id", F.lit(f"grid_{kind}")), f"{folder}/{kind}", kind, order=("kx", "ky", "kz"))
+        read.append(store.read_cloud_files(spark, f"{folder}/{kind}", part="4096"))
+    rows = read[0].unionByName(read[1]).unionByName(read[2])
+    return longs(rows, "r").select("cloud_id", "point_id", *(rounded(c).alias(c) for c in "xyz"), "r")
 
 
 @query(f"SELECT view_idx::BIGINT AS view_idx, u, v, {r('depth::FLOAT::DOUBLE', 6)} AS depth, label FROM pixels WHERE depth > 0")

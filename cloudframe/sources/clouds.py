@@ -29,16 +29,11 @@ COLOR_KEYS = ("colors", "voxel_colors", "raw_colors", "tsdf_colors", "observed_c
 Cloud = tuple[np.ndarray, np.ndarray | None]
 
 
-def parse_ply(content: bytes) -> Cloud:
-    """Points and colours of an ascii or binary little-endian PLY file.
-
-    Elements after the vertices are ignored. Big-endian files, list properties of vertices
-    and a number of rows other than the header's are errors.
-    """
-    head, mark, body = content.partition(b"end_header")
+def ply_head(content: bytes) -> tuple[str, int, list[tuple[str, str]], int]:
+    """Format, number of vertices, their fields (name, type) and the first byte after the header of a PLY file."""
+    head, mark, _ = content.partition(b"end_header")
     if not head.startswith(b"ply") or not mark:
         raise ValueError("not a PLY file")
-    body = body[body.index(b"\n") + 1 :]
     kind, count, fields, element = "", None, [], ""
     for line in head.decode("ascii", "replace").splitlines():
         words = line.split()
@@ -54,9 +49,19 @@ def parse_ply(content: bytes) -> Cloud:
             if words[1] == "list":
                 raise ValueError("list properties of vertices aren't supported")
             fields.append((words[2], "<" + PLY_TYPES[words[1]]))
-    names = [name for name, _ in fields]
-    if count is None or not {"x", "y", "z"} <= set(names):
+    if count is None or not {"x", "y", "z"} <= {name for name, _ in fields}:
         raise ValueError("vertices need x, y and z")
+    return kind, count, fields, content.index(b"\n", len(head)) + 1
+
+
+def parse_ply(content: bytes) -> Cloud:
+    """Points and colours of an ascii or binary little-endian PLY file.
+
+    Elements after the vertices are ignored. Big-endian files, list properties of vertices
+    and a number of rows other than the header's are errors.
+    """
+    kind, count, fields, begin = ply_head(content)
+    body, names = content[begin:], [name for name, _ in fields]
     if kind == "ascii":
         lines = [line.split() for line in body.decode("ascii").splitlines() if line.strip()][:count]
         if len(lines) != count:
@@ -104,7 +109,7 @@ def _reader(points_key: str | None) -> dict[str, Callable[[bytes], Cloud]]:
 
 
 def read_clouds(spark: SparkSession, paths: str | list[str], points_key: str | None = None) -> DataFrame:
-    """SCHEMA rows of all files; the format goes by the suffix, another suffix is an error.
+    """SCHEMA rows of all files, each read whole (larger ones: store.read_cloud_files); the format goes by the suffix, another suffix is an error.
 
     cloud_id is the file's name without its suffix. Rows with a coordinate that isn't finite
     are dropped with their colours; point_id counts the file's rows.

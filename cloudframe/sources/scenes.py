@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudframe.schemas import CAMERAS, LABELS
+from cloudframe.sources.store import write_contents
 
 METADATA = (
     "scene_id string, coordinate_frame string, depth_unit string, mask_labels map<string,int>, views array<struct<camera_id: string, width: int, height: int, timestamp: string, "
@@ -90,16 +91,12 @@ def view_files(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
 def write_scene(pixels: DataFrame, cameras: DataFrame, scene_dir: str, overwrite: bool = False) -> None:
     """Write a scene's files; a scene that is there stays unless overwrite.
 
-    The files' bytes come from view_files(), a partition at a time; the driver only stores them.
+    The tasks make and store the views' files; the driver writes cameras.json, a few hundred bytes a view.
     """
     target = os.path.join(scene_dir, "cameras.json")
     if os.path.exists(target) and not overwrite:
         return
-    for row in view_files(pixels, cameras).toLocalIterator():
-        path = os.path.join(scene_dir, row["path"])
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(row["content"])
+    write_contents(view_files(pixels, cameras), scene_dir)
     views = []
     rows = cameras.select(*CAMERAS.fieldNames()).orderBy("view_idx").collect()
     for cam in rows:
