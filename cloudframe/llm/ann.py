@@ -7,24 +7,28 @@ projection in each array; a vector collides where it lies within. The windows gr
 (virtual rehashing: nothing is hashed anew), until enough vectors collide in at least a share
 of the arrays. Those are verified by exact inner products on the original vectors.
 
-Vectors and queries are dealt out to groups of bounded bytes. Every group of vectors meets
-every group of queries by an equi-join on the two groups' numbers, in a task that indexes its
-vectors a block at a time and returns the best k for each query. Nothing passes the driver.
+Vectors are shuffled once, to groups of bounded bytes. The queries are a table in the shared
+folder; the task of a group indexes its vectors a block at a time and reads the queries' files in
+turn, some at a time, returning the best k for each. Nothing passes the driver.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudframe.llm.shared import bound_arrow_batches
+from cloudframe.llm.shared import bound_arrow_batches, materialize
 
-#: Vectors indexed together, and bytes of the vectors, or of the queries, that one task gets.
-BLOCK, GROUP_BYTES = 8_192, 64 << 20
+#: Vectors indexed together, bytes of the vectors that one task gets, and queries that it reads at once.
+BLOCK, GROUP_BYTES, QUERIES = 8_192, 32 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -34,13 +38,13 @@ class Collisions:
     A query's windows stop growing when `verify` of a block's vectors, and at least `least`,
     have collided often enough; if `rounds` windows don't suffice, all vectors are verified."""
 
-    directions: int = 128
+    directions: int = 256
     share: float = 0.85
     start: float = 0.8
     growth: float = 1.06
     rounds: int = 32
-    verify: float = 0.2
-    least: int = 512
+    verify: float = 0.09
+    least: int = 128
     seed: int = 5
 
 
@@ -54,8 +58,8 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, lines: np.ndarray, settings: Collisions) -> None:
         self.ids, self.vectors, self.settings, self.longest = ids, vectors, settings, longest
         rest = np.sqrt(np.maximum(0.0, longest**2 - (vectors**2).sum(axis=1)))
-        projected = (vectors @ lines[:-1] + rest[:, None] * lines[-1]).T
-        self.order = np.argsort(projected, axis=1)
+        projected = (vectors @ lines[:-1] + rest[:, None] * lines[-1]).T.astype(np.float32)
+        self.order = np.argsort(projected, axis=1).astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
         self.round = settings.rounds // 2
@@ -134,7 +138,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Collisi
     Queries are the rows for which is_query holds, candidates all rows but those of the
     query's id; score is the inner product in double precision, ties go to the smaller id.
     Rows of a null id, and vectors that are null, zero, of another length than most or with
-    null or non-finite components, take no part. Of repeated query ids the least vector asks.
+    null or non-finite components, take no part. An id is one query and never its own answer,
+    however many rows have it: of repeated query ids the least vector asks, and all of them
+    are left out of its candidates.
     """
     bound_arrow_batches(vectors.sparkSession)
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -142,36 +148,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Collisi
     dim = sizes["dim"] if sizes else 0
     rows = rows.where(usable(F.col("v"), dim))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, n_queries, longest = rows.agg(F.count("*"), F.coalesce(F.count_if("asks"), F.lit(0)), F.coalesce(F.sqrt(F.max(square)), F.lit(0.0))).first()
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.sqrt(F.max(square)), F.lit(0.0))).first()
     most = max(BLOCK, GROUP_BYTES // (8 * max(1, dim)))
     each = min(most, max(BLOCK, n // (2 * vectors.sparkSession.sparkContext.defaultParallelism)))
-    groups, query_groups = (F.sequence(F.lit(0), F.lit(max(1, -(-count // size)) - 1)) for count, size in ((n, each), (n_queries, most)))
-    placed = rows.select("id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.size(groups)).cast("int").alias("vector_group"), F.explode(query_groups).alias("query_group"))
-    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    asking = asking.select("id", "v", F.explode(groups).alias("vector_group"), F.pmod(F.xxhash64("id"), F.size(query_groups)).cast("int").alias("query_group"))
-    keys = ("vector_group", "query_group")
-    found = placed.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_search(directions(dim, settings), longest, settings, dim, k), "query_id bigint, vec_id bigint, score double")
+    placed = rows.select("id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-n // each)))).cast("int").alias("vector_group"))
+    asking = materialize(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")))
+    found = placed.groupBy("vector_group").applyInArrow(_search(directions(dim, settings), longest, settings, dim, k, asking._shared_path), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(lines: np.ndarray, longest: float, settings: Collisions, dim: int, k: int):
-    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return table["id"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-
-    def search(placed: pa.Table, asking: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if placed.num_rows and asking.num_rows:
-            (ids, vectors), (query_ids, queries) = arrays(placed), arrays(asking)
-            at = queries @ lines[:-1]
-            starts = range(0, len(ids), BLOCK)
-            blocks = [Block(ids[s : s + BLOCK], vectors[s : s + BLOCK], longest, lines, settings) for s in starts]
-            for low in range(0, len(query_ids), 128):
-                windows = [block.windows(at[low : low + 128]) for block in blocks]
-                for row in range(low, min(low + 128, len(query_ids))):
-                    found = np.concatenate([s + block.candidates(begin[row - low], end[row - low]) for s, block, (begin, end) in zip(starts, blocks, windows, strict=True)])
-                    near, scores = best(ids, vectors, query_ids[row], queries[row], found, k, longest)
-                    out.append((np.full(len(near), query_ids[row]), near, scores))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+def arrays(table: pa.Table | pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    vectors = table.column("v")
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return table.column("id").to_numpy(), vectors.flatten().to_numpy().reshape(-1, dim)
+
+
+def queries_of(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries in the table at path, QUERIES at a time."""
+    store, folder = fs.FileSystem.from_uri(re.sub(r"^(file:)?/+", "file:///", path))
+    for file in sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")):
+        with store.open_input_file(file) as f:
+            for batch in pq.ParquetFile(f).iter_batches(QUERIES, columns=["id", "v"]):
+                if batch.num_rows:
+                    yield arrays(batch, dim)
+
+
+def _search(lines: np.ndarray, longest: float, settings: Collisions, dim: int, k: int, asking: str):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = arrays(pa.Table.from_batches(batches), dim)
+        starts = range(0, len(ids), BLOCK)
+        blocks = [Block(ids[s : s + BLOCK], vectors[s : s + BLOCK], longest, lines, settings) for s in starts]
+        for query_ids, queries in queries_of(asking, dim):
+            windows = [block.windows(queries @ lines[:-1]) for block in blocks]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for row, query_id in enumerate(query_ids):
+                found = np.concatenate([s + block.candidates(begin[row], end[row]) for s, block, (begin, end) in zip(starts, blocks, windows, strict=True)])
+                near, scores = best(ids, vectors, query_id, queries[row], found, k, longest)
+                out.append((np.full(len(near), query_id), near, scores))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return search
