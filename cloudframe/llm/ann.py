@@ -38,12 +38,12 @@ class Collisions:
     A query's windows stop growing when `verify` of a block's vectors, and at least `least`,
     have collided often enough; if `rounds` windows don't suffice, all vectors are verified."""
 
-    directions: int = 256
+    directions: int = 192
     share: float = 0.85
     start: float = 0.8
     growth: float = 1.06
     rounds: int = 32
-    verify: float = 0.09
+    verify: float = 0.11
     least: int = 128
     seed: int = 5
 
@@ -67,7 +67,8 @@ class Block:
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places where the windows begin and end, each queries x rounds x directions, for queries projected to `at`."""
         s = self.settings
-        halves = self.longest * s.start * s.growth ** np.arange(s.rounds)
+        halves = (self.longest * s.start * s.growth ** np.arange(s.rounds)).astype(np.float32)
+        at = at.astype(np.float32)
         begin, end = (np.stack([row.searchsorted(x[:, None] + sign * halves, side) for row, x in zip(self.sorted, at.T, strict=True)], axis=2) for sign, side in ((-1, "left"), (1, "right")))
         return begin, end
 
