@@ -29,6 +29,21 @@ def pose(points: DataFrame, label_name: str, item_id: str) -> DataFrame:
     )
 
 
+def pose_struct(box: Column, label_name: str, item_id: str) -> Column:
+    """As pose(), from a struct of point_count, low, high and centre; a null one is an empty cloud's."""
+    n = F.coalesce(box["point_count"], F.lit(0))
+    identity = F.array(*(F.array(*(F.lit(1.0 if i == j else 0.0) for j in range(3))) for i in range(3)))
+
+    def place(name: str) -> Column:
+        return F.coalesce(F.transform(box[name], lambda x: rounded(x)), F.array(*[F.lit(0.0)] * 3))
+
+    return F.struct(
+        F.lit(item_id).alias("id"), F.lit(label_name).alias("label"), F.lit("mock_bbox_centroid").alias("pose_type"), F.when(n > 0, "ok").otherwise("no_points").alias("status"),
+        place("centre").alias("translation_m"), identity.alias("rotation_matrix"), F.struct(place("low").alias("min"), place("high").alias("max")).alias("bbox_3d_m"),
+        n.alias("point_count"), rounded(pose_confidence(n), 6).alias("confidence"),
+    )
+
+
 def pose_output(hand: DataFrame, other: DataFrame, scene_id: str = "", frame: str = "world", timestamp: str = "") -> DataFrame:
     """One row with both poses; ok only if both are."""
     h = pose(hand, "hand", "hand_0").select(F.struct("*").alias("hand"))
@@ -59,6 +74,11 @@ def quality(stats: DataFrame, fused: DataFrame, raw_count: int | Column, hand: D
     counts = hand.agg(F.count("*").alias("n_hand")).crossJoin(other.agg(F.count("*").alias("n_object")))
     sure = pose_confidences(output).agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("sure"))
     joined = views.crossJoin(box).crossJoin(counts).crossJoin(sure).withColumn("n_raw", raw_count if isinstance(raw_count, Column) else F.lit(raw_count))
+    return quality_columns(joined, F.lit(scene_id), min_ratio, min_points)
+
+
+def quality_columns(joined: DataFrame, scene_id: Column, min_ratio: float = 0.01, min_points: int = 100) -> DataFrame:
+    """The report of each row of view_count, good, mean_ratio, per_view, extent, n_fused, n_raw, n_hand, n_object and sure."""
     rules = [("one_or_more_views_have_low_valid_depth_ratio", F.col("good") < F.col("view_count")), ("fused_point_count_below_threshold", F.col("n_fused") < min_points), ("no_hand_points", F.col("n_hand") == 0), ("no_object_points", F.col("n_object") == 0)]
     warnings = F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules)))
     joined = joined.withColumn("warnings", warnings).withColumn("passed", F.size("warnings") == 0)
@@ -68,4 +88,4 @@ def quality(stats: DataFrame, fused: DataFrame, raw_count: int | Column, hand: D
         F.col("extent").alias("bbox_extent_m"), rounded(F.col("good") / F.greatest(F.lit(1), F.col("view_count")), 6).alias("coverage_score"), rounded("sure", 6).alias("pose_confidence_mean"),
     )
     thresholds = F.struct(F.lit(float(min_ratio)).alias("min_valid_depth_ratio"), F.lit(min_points).alias("min_fused_points"))
-    return joined.select(F.when(F.col("passed"), "ok").otherwise("failed").alias("status"), F.lit(scene_id).alias("scene_id"), "view_count", metrics.alias("metrics"), thresholds.alias("thresholds"), "passed", "warnings")
+    return joined.select(F.when(F.col("passed"), "ok").otherwise("failed").alias("status"), scene_id.alias("scene_id"), "view_count", metrics.alias("metrics"), thresholds.alias("thresholds"), "passed", "warnings")

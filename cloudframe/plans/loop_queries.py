@@ -1,4 +1,4 @@
-"""Queries of the closed loop: reprojection, depth residuals, distances between clouds, volumes and surfaces."""
+"""Queries of the closed loop (reprojection, depth residuals, distances between clouds, volumes and surfaces) and of many scenes."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from cloudframe.functions.vectors import rounded
 from cloudframe.operators import closed_loop, tsdf
 from cloudframe.operators.neighbours import nearest_any
 from cloudframe.plans import fixtures as fx
-from cloudframe.plans.queries import VOXEL, longs, query, r
+from cloudframe.plans import scenes
+from cloudframe.plans.queries import KEYS, VOXEL, longs, query, r
 
 #: The stereo pair's baseline, and the voxels and truncation of the volume.
 BASELINE, CELL, BAND = 0.06, 0.02, 0.05
@@ -137,3 +138,53 @@ def tsdf_surface(spark, sf_dir):
     """The volume's surface: a row a triangle."""
     found = tsdf.surface(tsdf.integrate(*walls(spark, sf_dir), CELL, BAND), CELL)
     return found.select(*tsdf.KEYS, *(rounded(F.col("triangle")[k][j], 6).alias(f"{c}{k}") for k in range(3) for j, c in enumerate("xyz")))
+
+
+def several_scenes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Four scenes of the order lines by their suppliers, one of them without an object, and a fifth of cameras alone."""
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 4).cast("string").alias("scene_id"), (F.col("l_linenumber") - 1).cast("int").alias("view_idx"), (F.col("l_partkey") % fx.WIDTH).cast("int").alias("u"), (F.col("l_orderkey") % fx.HEIGHT).cast("int").alias("v"),
+        (F.col("l_extendedprice") / 100000.0).alias("d"), F.when(F.col("l_returnflag") == "R", 0).when((F.col("l_returnflag") == "A") | (F.col("l_suppkey") % 4 == 3), 1).otherwise(2).alias("lab"),
+    )
+    nearest = lines.groupBy("scene_id", "view_idx", "u", "v").agg(F.min(F.struct("d", "lab")).alias("m"))
+    pixels = nearest.select("scene_id", "view_idx", "u", "v", F.col("m.d").cast("float").alias("depth"), F.col("m.lab").cast("smallint").alias("label"), *(F.lit(0).cast("smallint").alias(c) for c in "rgb"))
+    ids = F.explode(F.array(*(F.lit(str(k)) for k in range(5))))
+    return pixels, fx.cameras(spark).drop("scene_id").withColumn("scene_id", ids)
+
+
+SCENES = f"""scene_lines AS (SELECT l_suppkey % 4 AS scene, (l_linenumber - 1)::BIGINT AS view_idx, (l_partkey % 128)::BIGINT AS u, (l_orderkey % 96)::BIGINT AS v, l_extendedprice / 100000.0 AS d,
+  CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' OR l_suppkey % 4 = 3 THEN 1 ELSE 2 END AS lab FROM lineitem),
+scene_pixels AS (SELECT scene, view_idx, u, v, min(d)::FLOAT::DOUBLE AS depth, min_by(lab, struct_pack(d := d, lab := lab)) AS label FROM scene_lines GROUP BY scene, view_idx, u, v),
+scene_ends AS (SELECT scene, view_idx, label, (u - 63.5) * depth / 118.0 AS xc, (v - 47.5) * depth / 118.0 AS yc, depth AS zc FROM scene_pixels WHERE depth > 0),
+scene_points AS (SELECT scene, label, r00 * xc + r01 * yc + r02 * zc + tx AS x, r10 * xc + r11 * yc + r12 * zc + ty AS y, r20 * xc + r21 * yc + r22 * zc + tz AS z FROM scene_ends JOIN cameras USING (view_idx)),
+scene_voxels AS (SELECT scene, label, grouping(label) AS everything, kx, ky, kz, avg(x) AS x, count(*) AS n FROM (SELECT *, {KEYS.format(s=CELL)} FROM scene_points) GROUP BY GROUPING SETS ((scene, kx, ky, kz), (scene, kx, ky, kz, label))),
+scene_views AS (SELECT scene, view_idx, count(*) FILTER (WHERE depth > 0) / 12288.0 AS ratio FROM scene_pixels GROUP BY scene, view_idx),
+scene_counts AS (SELECT scene, count(*) FILTER (WHERE everything = 1) AS n_fused, count(*) FILTER (WHERE label = 1) AS n_hand, count(*) FILTER (WHERE label = 2) AS n_object,
+  coalesce(sum(n) FILTER (WHERE everything = 1), 0)::BIGINT AS n_raw, max(x) FILTER (WHERE everything = 1) - min(x) FILTER (WHERE everything = 1) AS extent FROM scene_voxels GROUP BY scene)"""
+
+
+@query(
+    f"""SELECT s.id::VARCHAR AS scene_id, 7::BIGINT AS view_count, coalesce(n_raw, 0) AS raw_point_count, coalesce(n_fused, 0) AS fused_point_count, coalesce(n_hand, 0) AS hand_point_count, coalesce(n_object, 0) AS object_point_count,
+  coalesce(good, 0) AS views_with_valid_depth, {r('coalesce(extent, 0)')} AS extent_x, {r('coalesce(total, 0) / 7', 6)} AS depth_valid_ratio_mean,
+  coalesce(good, 0) = 7 AND coalesce(n_fused, 0) >= 100 AND coalesce(n_hand, 0) > 0 AND coalesce(n_object, 0) > 0 AS passed,
+  {r("(CASE WHEN coalesce(n_hand, 0) = 0 THEN 0 ELSE least(0.95, greatest(0.05, n_hand / 900.0)) END).round(6) / 2 + (CASE WHEN coalesce(n_object, 0) = 0 THEN 0 ELSE least(0.95, greatest(0.05, n_object / 900.0)) END).round(6) / 2", 6)} AS pose_confidence_mean
+  FROM range(5) AS s(id) LEFT JOIN scene_counts c ON c.scene = s.id LEFT JOIN (SELECT scene, count(*) FILTER (WHERE ratio >= 0.01) AS good, sum(ratio) AS total FROM scene_views GROUP BY scene) w ON w.scene = s.id""",
+    SCENES,
+)
+def scene_reports(spark, sf_dir):
+    """The quality reports of several scenes from one job."""
+    q = scenes.reconstruct_scenes(*several_scenes(spark, sf_dir), CELL).quality
+    names = ("raw_point_count", "fused_point_count", "hand_point_count", "object_point_count", "views_with_valid_depth", "depth_valid_ratio_mean", "pose_confidence_mean")
+    return q.select("scene_id", "view_count", "passed", *(f"metrics.{n}" for n in names), F.expr("metrics.bbox_extent_m[0]").alias("extent_x"))
+
+
+@query(f"SELECT scene::VARCHAR AS scene_id, view_idx, u, v, {r('CASE WHEN scene = 2 THEN depth / 2 ELSE depth END', 6)} AS depth FROM scene_pixels WHERE scene IN (1, 2)", SCENES)
+def scene_tables(spark, sf_dir):
+    """Scenes stored as tables; one of them replaced in place, two read again."""
+    folder, (pixels, cameras) = fx.scratch(spark), several_scenes(spark, sf_dir)
+    scenes.write_scene_tables(pixels, cameras, folder)
+    nearer = pixels.where("scene_id = '2'").withColumn("depth", (F.col("depth").cast("double") / 2).cast("float"))
+    scenes.write_scene_tables(nearer, cameras.where("scene_id = '2'"), folder, "replace")
+    read, _ = scenes.read_scene_tables(spark, folder)
+    kept = read.where("scene_id IN ('1', '2')")
+    return longs(kept, "view_idx", "u", "v").select("scene_id", "view_idx", "u", "v", rounded(F.col("depth").cast("double"), 6).alias("depth"))
