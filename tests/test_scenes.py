@@ -20,9 +20,9 @@ def several(spark):
 
 
 def plain(value):
-    """A row as dicts and lists; the last bits of a sum may differ."""
+    """A row as dicts and lists; the last bits of a sum may differ, and acos near 1 makes them more."""
     if isinstance(value, float):
-        return round(value, 9)
+        return round(value, 5) + 0.0
     if isinstance(value, dict):
         return {k: plain(v) for k, v in value.items()}
     if isinstance(value, str) and value.startswith("{"):
