@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.vectors import rounded
-from cloudframe.operators import closed_loop, tsdf
+from cloudframe.operators import closed_loop, tracking, tsdf
 from cloudframe.operators.neighbours import nearest_any
 from cloudframe.plans import fixtures as fx
 from cloudframe.plans import scenes
@@ -188,3 +188,30 @@ def scene_tables(spark, sf_dir):
     read, _ = scenes.read_scene_tables(spark, folder)
     kept = read.where("scene_id IN ('1', '2')")
     return longs(kept, "view_idx", "u", "v").select("scene_id", "view_idx", "u", "v", rounded(F.col("depth").cast("double"), 6).alias("depth"))
+
+
+#: How far a hand may move between frames, and the filter's share of what is new.
+GATE, ALPHA = 0.6, 0.4
+
+
+def clips(spark, sf_dir) -> DataFrame:
+    """The hand rows as two clips of two hands a frame."""
+    rows = fx.hands(spark, sf_dir).drop("frame_index", "hand_side")
+    return rows.withColumns({"clip": F.col("row_id") % 2, "frame_index": F.expr("row_id div 8"), "hand_side": F.expr("row_id div 2 % 2")})
+
+
+CLIPS = f"""clip_rows AS (SELECT row_id, row_id % 2 AS clip, row_id // 8 AS frame, row_id // 2 % 2 AS side, status, e[1]::DOUBLE AS x, e[2]::DOUBLE AS y, e[3]::DOUBLE AS z FROM hands),
+near AS (SELECT p.row_id AS before, n.row_id AS after, sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) + (p.z - n.z) * (p.z - n.z)) AS d
+  FROM clip_rows p JOIN clip_rows n ON n.clip = p.clip AND n.side = p.side AND n.frame = p.frame + 1 WHERE p.status = 'ok' AND n.status = 'ok'),
+links AS (SELECT before, after FROM near WHERE d <= {GATE} QUALIFY row_number() OVER (PARTITION BY before ORDER BY d, after) = 1 AND row_number() OVER (PARTITION BY after ORDER BY d, before) = 1),
+walk AS (SELECT row_id, row_id AS track_id, 0::BIGINT AS track_at, CASE WHEN status = 'ok' THEN x END AS sx, CASE WHEN status = 'ok' THEN y END AS sy, CASE WHEN status = 'ok' THEN z END AS sz FROM clip_rows WHERE row_id NOT IN (SELECT after FROM links)
+  UNION ALL SELECT n.row_id, w.track_id, w.track_at + 1, {ALPHA}::DOUBLE * n.x + (1 - {ALPHA}::DOUBLE) * w.sx, {ALPHA}::DOUBLE * n.y + (1 - {ALPHA}::DOUBLE) * w.sy, {ALPHA}::DOUBLE * n.z + (1 - {ALPHA}::DOUBLE) * w.sz
+  FROM walk w JOIN links l ON l.before = w.row_id JOIN clip_rows n ON n.row_id = l.after)"""
+
+
+@query(f"SELECT row_id, track_id, track_at, {r('sx')} AS x, {r('sy')} AS y, {r('sz')} AS z FROM walk", CLIPS)
+def smooth_tracks(spark, sf_dir):
+    """Tracks of hands, and their joints smoothed along them: the root joint of each row."""
+    tracked = tracking.with_tracks(clips(spark, sf_dir), GATE)
+    joints = tracking.smooth(tracked, ALPHA, ("joints_3d_left_m", "hand_angles_20dof_deg"))
+    return joints.select("row_id", "track_id", "track_at", *(rounded(F.col("joints_3d_left_m_smooth")[0][k]).alias(c) for k, c in enumerate("xyz")))
