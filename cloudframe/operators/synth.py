@@ -43,30 +43,39 @@ def steps(index: Column, n: int, low: float, high: float) -> Column:
     return F.lit(float(low)) + index * F.lit((high - low) / max(1, n - 1))
 
 
-def ellipsoid(spark: SparkSession, center: tuple, radii: tuple, around: int, along: int) -> DataFrame:
-    """around x along points of an ellipsoid without its poles; point_id counts around first."""
-    grid = spark.range(around * along).withColumnRenamed("id", "point_id")
+def number(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def shape_points(shapes: DataFrame, n: int) -> DataFrame:
+    """Each row of shapes n times, with point_id from 0: the grid of a shape a row, whose centre may then be the row's columns."""
+    return shapes.withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("point_id", F.col("point_id").cast("bigint"))
+
+
+def ellipsoid(spark: SparkSession, center: tuple, radii: tuple, around: int, along: int, shapes: DataFrame | None = None) -> DataFrame:
+    """around x along points of an ellipsoid without its poles; point_id counts around first. With shapes, one for each of their rows."""
+    grid = spark.range(around * along).withColumnRenamed("id", "point_id") if shapes is None else shape_points(shapes, around * along)
     u, v = (F.col("point_id") % around) * F.lit(TAU / around), steps(F.floor(F.col("point_id") / around), along, 0.08 * math.pi, 0.92 * math.pi)
     parts = {"x": F.cos(u) * F.sin(v), "y": F.sin(u) * F.sin(v), "z": F.cos(v)}
-    return grid.withColumns({c: part * F.lit(float(r)) + F.lit(float(o)) for (c, part), r, o in zip(parts.items(), radii, center, strict=True)})
+    return grid.withColumns({c: part * number(r) + number(o) for (c, part), r, o in zip(parts.items(), radii, center, strict=True)})
 
 
-def cylinder(spark: SparkSession, base: tuple, axis: tuple, radius: float, height_steps: int, angle_steps: int) -> DataFrame:
-    """Rings of a cylinder's shell; point_id counts along the axis first."""
+def cylinder(spark: SparkSession, base: tuple, axis: tuple, radius: float, height_steps: int, angle_steps: int, shapes: DataFrame | None = None) -> DataFrame:
+    """Rings of a cylinder's shell; point_id counts along the axis first. With shapes, one for each of their rows."""
     a = np.asarray(axis, float)
     direction = a / np.linalg.norm(a)
     helper = np.array([0.0, 1.0, 0.0] if abs(direction[2]) > 0.92 else [0.0, 0.0, 1.0])
     first = np.cross(direction, helper)
     first /= np.linalg.norm(first)
     second = np.cross(direction, first)
-    grid = spark.range(height_steps * angle_steps).withColumnRenamed("id", "point_id")
+    grid = spark.range(height_steps * angle_steps).withColumnRenamed("id", "point_id") if shapes is None else shape_points(shapes, height_steps * angle_steps)
     t, angle = steps(F.col("point_id") % height_steps, height_steps, 0, 1), F.floor(F.col("point_id") / height_steps) * F.lit(TAU / angle_steps)
-    return grid.withColumns({c: F.lit(float(base[k])) + t * F.lit(float(a[k])) + F.cos(angle) * F.lit(radius * float(first[k])) + F.sin(angle) * F.lit(radius * float(second[k])) for k, c in enumerate("xyz")})
+    return grid.withColumns({c: number(base[k]) + t * F.lit(float(a[k])) + F.cos(angle) * F.lit(radius * float(first[k])) + F.sin(angle) * F.lit(radius * float(second[k])) for k, c in enumerate("xyz")})
 
 
-def box(spark: SparkSession, center: tuple, size: tuple, n: int) -> DataFrame:
-    """n x n points on each of six faces, edges twice; faces in the order z, y, x, low before high."""
-    grid = spark.range(6 * n * n).withColumnRenamed("id", "point_id")
+def box(spark: SparkSession, center: tuple, size: tuple, n: int, shapes: DataFrame | None = None) -> DataFrame:
+    """n x n points on each of six faces, edges twice; faces in the order z, y, x, low before high. With shapes, one for each of their rows."""
+    grid = spark.range(6 * n * n).withColumnRenamed("id", "point_id") if shapes is None else shape_points(shapes, 6 * n * n)
     face, cell = F.floor(F.col("point_id") / (n * n)), F.col("point_id") % (n * n)
     fixed = F.lit(2) - F.floor(face / 2)
     row, column = F.floor(cell / n), cell % n
@@ -75,7 +84,7 @@ def box(spark: SparkSession, center: tuple, size: tuple, n: int) -> DataFrame:
         half = size[k] / 2
         side = F.when(face % 2 == 0, F.lit(-half)).otherwise(F.lit(half))
         free = column if k == 0 else row if k == 2 else F.when(fixed == 0, column).otherwise(row)
-        out[c] = F.when(fixed == k, side).otherwise(steps(free, n, -half, half)) + F.lit(float(center[k]))
+        out[c] = F.when(fixed == k, side).otherwise(steps(free, n, -half, half)) + number(center[k])
     return grid.withColumns(out)
 
 
@@ -112,10 +121,10 @@ def ring_cameras(spark: SparkSession, views: int, width: int = 128, height: int
     return local_table(spark, rows, CAMERAS)
 
 
-def mock_scene(spark: SparkSession, views: int = 4, **camera) -> tuple[DataFrame, DataFrame]:
-    """(pixels, cameras): the mock points rendered into every view, empty pixels with depth 0."""
+def mock_scene(spark: SparkSession, views: int = 4, points: DataFrame | None = None, **camera) -> tuple[DataFrame, DataFrame]:
+    """(pixels, cameras): the mock points, or those given, rendered into every view, empty pixels with depth 0."""
     cameras = ring_cameras(spark, views, **camera)
-    seen = render(mock_points(spark), cameras, exact=True)
+    seen = render(mock_points(spark) if points is None else points, cameras, exact=True)
     places = cameras.select("scene_id", "view_idx", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"), "width")
     places = places.select("scene_id", "view_idx", F.floor(F.col("k") / F.col("width")).cast("int").alias("v"), (F.col("k") % F.col("width")).cast("int").alias("u"))
     pixels = places.join(seen.withColumns({c: F.col(c).cast("int") for c in ("u", "v")}), ["view_idx", "u", "v"], "left")

@@ -15,7 +15,7 @@ from cloudframe.functions.vectors import angle_between, bend, at, euler_rotation
 from cloudframe.operators import accuracy, depth, files, hands, neighbours, points, registration, reports, synth
 from cloudframe.plans import fixtures as fx
 from cloudframe.plans.reconstruct import reconstruct
-from cloudframe.plans.registration import register_clouds, selftest
+from cloudframe.plans.registration import register_clouds
 from cloudframe.sources import scenes, store
 from cloudframe.sources.hands import read_hands, write_hands
 
@@ -151,15 +151,20 @@ def quality_report(spark, sf_dir):
     return q.select("status", "view_count", "passed", F.size("warnings").cast("bigint").alias("n_warnings"), *(f"metrics.{n}" for n in names), F.expr("metrics.bbox_extent_m[0]").alias("extent_x"))
 
 
-@query(f"SELECT {r('sqrt((b.tx - a.tx) ** 2 + (b.ty - a.ty) ** 2 + (b.tz - a.tz) ** 2)')} AS baseline_m FROM cameras a, cameras b WHERE a.view_idx = 0 AND b.view_idx = 1")
+@query(f"SELECT {r('sqrt((b.tx - a.tx) ** 2 + (b.ty - a.ty) ** 2 + (b.tz - a.tz) ** 2)')} AS baseline_m FROM cameras a, cameras b WHERE a.view_idx = 0 AND b.view_idx = 1 AND (SELECT count(DISTINCT view_idx) FROM pixels WHERE view_idx < 2) = 2")
 def baseline(spark, sf_dir):
-    return depth.baseline(fx.cameras(spark)).select(rounded("baseline_m").alias("baseline_m"))
+    """The distance of the first two views, of those that the table has pixels of."""
+    seen = fx.cameras(spark).join(fx.pixels(spark, sf_dir).select("view_idx").distinct(), "view_idx", "left_semi")
+    return depth.baseline(seen).select(rounded("baseline_m").alias("baseline_m"))
 
 
-@query("SELECT view_idx, 118.0 AS k00, 0.0 AS k01, 63.5 AS k02, 118.0 AS k11, 47.5 AS k12, 1.0 AS k22 FROM (SELECT view_idx::BIGINT AS view_idx FROM cameras)")
+@query("SELECT s_suppkey AS camera, 100.0 + s_suppkey % 50 AS k00, 0.0 AS k01, 60.0 + s_suppkey % 7 AS k02, 100.0 + s_suppkey % 40 AS k11, 45.0 + s_suppkey % 5 AS k12, 1.0 AS k22 FROM supplier")
 def intrinsics_matrix(spark, sf_dir):
+    """The matrix of each of many cameras, a supplier each."""
+    key = F.col("s_suppkey")
+    lenses = fx.table(spark, sf_dir, "supplier").select(key.alias("camera"), *((low + key % n).alias(c) for c, low, n in (("fx", 100.0, 50), ("fy", 100.0, 40), ("cx", 60.0, 7), ("cy", 45.0, 5))))
     k = hands.intrinsics()
-    return longs(fx.cameras(spark).select("view_idx", *(k[i][j].alias(f"k{i}{j}") for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))), "view_idx")
+    return lenses.select("camera", *(k[i][j].alias(f"k{i}{j}") for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))))
 
 
 @query(f"SELECT point_id, {r('x * 0.001::DOUBLE', 12)} AS x, {r('y * 0.001::DOUBLE', 12)} AS y, {r('z * 0.001::DOUBLE', 12)} AS z FROM points")
@@ -295,10 +300,18 @@ def icp_merge(spark, sf_dir):
     return register_clouds(target, sources, voxel_size=VOXEL, threshold=0.3)[2]
 
 
-@query("SELECT k::INT AS \"case\", true AS ok, true AS settled FROM range(3) AS t(k)")
+MOTIONS = [make_transform(euler_matrix(0.02 * (k - 1), 0.015, -0.01 * k), np.array([0.004, -0.003 * k, 0.002])) for k in range(3)]
+
+
+@query(f"SELECT k::INT AS \"case\", point_id, {xyz(4)} FROM points, range(3) AS t(k)")
 def icp_selftest(spark, sf_dir):
-    """Known motions must be undone; SQL says no more than that."""
-    return selftest(spark).select("case", "ok", F.col("status").isin("converged", "max_iterations").alias("settled"))
+    """Three known motions of a cloud, each undone by registration: the points come back to where they were."""
+    cloud = fx.points(spark, sf_dir).select("point_id", "x", "y", "z")
+    copies = cloud.withColumn("source_id", F.explode(F.array(*(F.lit(k) for k in range(len(MOTIONS))))))
+    moved = registration.with_transforms(copies, dict(enumerate(MOTIONS)))
+    found = registration.register(moved, cloud, max_iterations=80, tolerance=1e-12)
+    back = registration.with_transforms(moved, {r.source_id: r.transform for r in found})
+    return back.select(F.col("source_id").alias("case"), "point_id", *(rounded(c, 4).alias(c) for c in "xyz"))
 
 
 @query("SELECT row_id, frame_index, hand_side, round(scale * 100)::BIGINT AS percent FROM matched")
@@ -543,34 +556,56 @@ def zbuffer(spark, sf_dir):
 
 
 TAU = repr(2 * math.pi)
+#: Where the shape of a supplier lies.
+PLACES = {"x": (7, 0.1), "y": (5, 0.2), "z": (3, 0.3)}
+
+
+def _shapes(spark, sf_dir) -> tuple[DataFrame, tuple]:
+    """A shape for each supplier, and its centre."""
+    shapes = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("shape"))
+    return shapes, tuple(F.col("shape") % n * step for n, step in PLACES.values())
+
 
+def _placed(expression: str, c: str) -> str:
+    n, step = PLACES[c]
+    return f"{r(f'{expression} + s_suppkey % {n} * {step}::DOUBLE')} AS {c}"
 
-@query(f"SELECT k AS point_id, {r(f'0.038 * cos(u) * sin(v) + -0.055')} AS x, {r('0.022 * sin(u) * sin(v) + -0.015')} AS y, {r('0.052 * cos(v) + 0.405')} AS z FROM (SELECT k, (k % 42) * {TAU} / 42 AS u, {0.08 * math.pi!r} + (k // 42) * {0.84 * math.pi!r} / 21 AS v FROM range(924) AS t(k))")
+
+@query(f"SELECT s_suppkey AS shape, k AS point_id, {_placed('0.038 * cos(u) * sin(v)', 'x')}, {_placed('0.022 * sin(u) * sin(v)', 'y')}, {_placed('0.052 * cos(v)', 'z')} FROM supplier, (SELECT k, (k % 12) * {TAU} / 12 AS u, {0.08 * math.pi!r} + (k // 12) * {0.84 * math.pi!r} / 5 AS v FROM range(72) AS t(k))")
 def ellipsoid_surface(spark, sf_dir):
-    return rounded_xyz(synth.ellipsoid(spark, *synth.PALM), "point_id")
+    shapes, centre = _shapes(spark, sf_dir)
+    return rounded_xyz(synth.ellipsoid(spark, centre, (0.038, 0.022, 0.052), 12, 6, shapes), "shape", "point_id")
 
 
-@query(f"SELECT k AS point_id, {r('0.1 - 0.01 * cos(a)')} AS x, {r('0.2 - 0.01 * sin(a)')} AS y, {r('0.3 + t * 0.5')} AS z FROM (SELECT k, (k % 10) / 9.0 AS t, (k // 10) * {TAU} / 12 AS a FROM range(120) AS t(k))")
+@query(f"SELECT s_suppkey AS shape, k AS point_id, {_placed('-0.01 * cos(a)', 'x')}, {_placed('-0.01 * sin(a)', 'y')}, {_placed('t * 0.5', 'z')} FROM supplier, (SELECT k, (k % 5) / 4.0 AS t, (k // 5) * {TAU} / 12 AS a FROM range(60) AS t(k))")
 def cylinder_surface(spark, sf_dir):
-    """An upright cylinder, for which the second helper axis is taken."""
-    return rounded_xyz(synth.cylinder(spark, (0.1, 0.2, 0.3), (0.0, 0.0, 0.5), 0.01, 10, 12), "point_id")
+    """Upright cylinders, for which the second helper axis is taken."""
+    shapes, base = _shapes(spark, sf_dir)
+    return rounded_xyz(synth.cylinder(spark, base, (0.0, 0.0, 0.5), 0.01, 5, 12, shapes), "shape", "point_id")
 
 
-def _side(k: int, half: float, centre: float) -> str:
+def _side(k: int, half: float) -> str:
     free = ("c", "CASE WHEN f < 4 AND f >= 2 THEN 0 WHEN f < 2 THEN w ELSE c END", "w")[k]
     low = 4 - 2 * k
-    return r(f"CASE WHEN f = {low} THEN {-half} WHEN f = {low + 1} THEN {half} ELSE {-half} + {free} * {2 * half} / 4 END + {centre}")
+    return f"CASE WHEN f = {low} THEN {-half} WHEN f = {low + 1} THEN {half} ELSE {-half} + {free} * {2 * half} / 4 END"
 
 
-@query("SELECT k AS point_id, " + ", ".join(f"{_side(k, *v)} AS {c}" for k, (c, v) in enumerate({"x": (0.1, 0.1), "y": (0.2, 0.2), "z": (0.3, 0.3)}.items())) + " FROM (SELECT k, k // 25 AS f, k % 25 // 5 AS w, k % 5 AS c FROM range(150) AS t(k))")
+@query("SELECT s_suppkey AS shape, k AS point_id, " + ", ".join(_placed(_side(k, half), c) for k, (c, half) in enumerate({"x": 0.1, "y": 0.2, "z": 0.3}.items())) + " FROM supplier, (SELECT k, k // 25 AS f, k % 25 // 5 AS w, k % 5 AS c FROM range(150) AS t(k))")
 def box_surface(spark, sf_dir):
-    return rounded_xyz(synth.box(spark, (0.1, 0.2, 0.3), (0.2, 0.4, 0.6), 5), "point_id")
+    shapes, centre = _shapes(spark, sf_dir)
+    return rounded_xyz(synth.box(spark, centre, (0.2, 0.4, 0.6), 5, shapes), "shape", "point_id")
+
+
+def scene_points(spark, sf_dir) -> DataFrame:
+    """The points as hand and object before the ring of cameras."""
+    p = fx.points(spark, sf_dir)
+    return p.withColumns({"x": F.col("x") * 0.3, "y": F.col("y") * 0.3, "z": F.col("z") * 0.3 + 0.43, "label": F.col("label").cast("smallint")}).drop("cloud")
 
 
 @query()
 def mock_scene_pixels(spark, sf_dir):
-    """The rendered mock scene's pixels."""
-    return synth.mock_scene(spark)[0]
+    """The points rendered as a mock scene is, every pixel of every view."""
+    return synth.mock_scene(spark, points=scene_points(spark, sf_dir))[0]
 
 
 @query("SELECT o_custkey AS capture, count(*) AS frame_count FROM orders GROUP BY o_custkey ORDER BY frame_count, capture LIMIT 1")

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from conftest import DATA
-from cloudframe.operators import synth
 from cloudframe.plans import fixtures as fx
 from cloudframe.plans import queries
 
@@ -93,7 +92,7 @@ def test_icp_merge(spark):
 
 def test_mock_scene_pixels(spark):
     """A painter who draws points nearest first, one after the other, on depths kept as float."""
-    points = synth.mock_points(spark).orderBy("point_id").collect()
+    points = queries.scene_points(spark, DATA).orderBy("point_id").collect()
     world = np.array([[p.x, p.y, p.z] for p in points])
     got = {}
     for r in queries.mock_scene_pixels(spark, DATA).collect():
@@ -161,3 +160,10 @@ def test_hand_payload_in_full(spark):
     empty = none.hands.first()
     assert empty.frame_status == "invalid" and empty.joints_3d_left_m == [[0, 0, 0]] * 21 and not any(empty.valid_joint_mask) and empty.hand_angles_20dof_rad == [0] * 20
     none.release()
+
+
+def test_selftest_of_the_synthetic_hand(spark):
+    from cloudframe.plans.registration import selftest
+
+    (row,) = selftest(spark, cases=1).collect()
+    assert row.ok and row.status in ("converged", "max_iterations")
