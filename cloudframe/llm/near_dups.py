@@ -1,8 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-The similarity is one throughout: the probability Jaccard of the five-word shingles, each of
-weight 1, which is the Jaccard similarity of their sets. Weights by a shingle's count would
-part a text from its copy that repeats a passage.
+Candidates are found by the probability Jaccard of weighted five-word shingles. A shingle's weight
+is its length in letters: it depends on the shingle alone, so two texts agree on the weight of
+what they share, and a text isn't parted from its copy that repeats a passage, as weights by
+count would part it. Pairs are verified by the Jaccard similarity of the shingles' sets; the
+weighted one differs from it by as much as shared shingles are longer or shorter than others.
 
 1. One pass over the texts gives each row a fingerprint of its words and the band hashes of
    its ProbMinHash signature. Rows of equal fingerprint are exact copies: they share a node.
@@ -63,13 +65,24 @@ def shingles(text: str, n_words: int) -> np.ndarray:
 
     A text of fewer words is one shingle; an empty text has none.
     """
+    return np.unique(_each_shingle(text.split(" ") if text else [], n_words))
+
+
+def weighted_shingles(text: str, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles(), and each one's weight: the letters of its words, at least 1."""
     words = text.split(" ") if text else []
+    hashes, first = np.unique(_each_shingle(words, n_words), return_index=True)
+    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    return hashes, np.maximum(1.0, upto[np.minimum(first + n_words, len(words))] - upto[first])
+
+
+def _each_shingle(words: list[str], n_words: int) -> np.ndarray:
     h = word_hashes(words)
     size = max(1, len(h) - n_words + 1) if len(h) else 0
     total = np.full(size, np.uint64(len(words) if len(words) < n_words else n_words))
     for k in range(min(n_words, len(h))):
         total = mixed(total + GOLDEN) + h[k : k + size]
-    return np.unique(mixed(total))
+    return mixed(total)
 
 
 def prob_min_hash(hashes: list[np.ndarray], weights: list[np.ndarray], m: int) -> np.ndarray:
@@ -131,11 +144,11 @@ def bands_of(words: Column, sketch: Sketch) -> Column:
             parts = []
             texts = texts.to_pylist()
             for at in range(0, len(texts), 256):
-                sets = [shingles(t, sketch.shingle_words) for t in texts[at : at + 256]]
-                full = [h for h in sets if len(h)]
-                signed = band_hashes(prob_min_hash(full, [np.ones(len(h)) for h in full], sketch.bands * sketch.rows), sketch)
+                sets = [weighted_shingles(t, sketch.shingle_words) for t in texts[at : at + 256]]
+                full = [(h, w) for h, w in sets if len(h)]
+                signed = band_hashes(prob_min_hash([h for h, _ in full], [w for _, w in full], sketch.bands * sketch.rows), sketch)
                 found = iter(signed)
-                parts.extend(next(found) if len(h) else [] for h in sets)
+                parts.extend(next(found) if len(h) else [] for h, _ in sets)
             yield pa.array(parts, pa.list_(pa.int64()))
 
     return bands(words)

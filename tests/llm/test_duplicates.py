@@ -402,5 +402,31 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
 
 def test_every_query_is_registered():
     names = list(entry.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_shingles_weigh_as_many_letters_as_they_have():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 5, 6, 40, 400):
+        words = ["".join(rng.choice(list("abcdé"), int(rng.integers(1, 9)))) for _ in range(n)]
+        words += words[: n // 2]
+        hashes, weights = near_dups.weighted_shingles(" ".join(words), 5)
+        assert hashes.tolist() == near_dups.shingles(" ".join(words), 5).tolist()
+        want = {}
+        for k in range(max(1, len(words) - 4) if words else 0):
+            want[near_dups.shingles(" ".join(words[k : k + 5]), 5)[0]] = len("".join(words[k : k + 5]))
+        assert dict(zip(hashes.tolist(), weights.tolist(), strict=True)) == {int(k): float(v) for k, v in want.items()}
+
+
+def test_signatures_of_texts_estimate_weighted_similarity():
+    """Two texts that share 80 of 100 shingles, the shared ones the longer: by letters they are more alike."""
+    sketch = near_dups.Sketch()
+    m = 4000
+    both = " ".join(f"sharedword{k}number" for k in range(84))
+    sets = [near_dups.weighted_shingles(f"{both} {tail}", 5) for tail in (" ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20)))]
+    a, b = (dict(zip(h.tolist(), w.tolist(), strict=True)) for h, w in sets)
+    true = sum(a[k] for k in a.keys() & b.keys()) / sum((a | b).values())
+    signed = near_dups.prob_min_hash([h for h, _ in sets], [w for _, w in sets], m)
+    assert true > len(a.keys() & b.keys()) / len(a.keys() | b.keys()) + 0.05
+    assert abs(float((signed[0] == signed[1]).mean()) - true) < 4 * (true * (1 - true) / m) ** 0.5 + 0.01 and sketch.rows * sketch.bands == 360
