@@ -172,6 +172,42 @@ def test_predictions_are_those_of_the_formula(spark):
         assert r.lang_pred == best and r.score == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-4) and (r._guess, r.guess) == ("x", 1.0)
 
 
+def slow_bucket(gram):
+    """The bucket of an n-gram, a character at a time."""
+    rolled, mask = 0, 2**32 - 1
+    for n, char in enumerate(gram, 1):
+        rolled = (rolled * 0x01000193 & mask) ^ (ord(char) + n & mask)
+    mixed = rolled * 0x9E3779B1 & mask
+    mixed = (mixed ^ mixed >> 15) * 0x85EBCA6B & mask
+    return mixed >> 32 - langid.BITS
+
+
+def test_language_query_row_by_row(spark):
+    """Every row of the query, from n-grams counted in dictionaries."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+
+    def grams(text):
+        text = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+        return Counter(slow_bucket(text[k : k + n]) for n in (1, 2, 3) for k in range(len(text) - n + 1) if text[k : k + n] != " ")
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+    own = {r.doc_id: grams(r.text or "") for r in docs}
+    train = [r for r in docs if not held[r.doc_id] and r.text is not None and r.lang is not None]
+    langs = sorted({r.lang for r in train})
+    counts = {x: sum((own[r.doc_id] for r in train if r.lang == x), Counter()) for x in langs}
+    totals = {x: counts[x].total() + 0.5 * 2**langid.BITS for x in langs}
+    rows = {r.doc_id: r for r in entry.op1_language_id(spark, DATA).collect()}
+    assert rows.keys() == held.keys()
+    for r in docs:
+        got = rows[r.doc_id]
+        assert got.held_out == held[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        logs = [np.log(sum(t.lang == x for t in train) / len(train)) + sum(n * np.log((counts[x][b] + 0.5) / totals[x]) for b, n in own[r.doc_id].items()) for x in langs]
+        assert got.lang_pred == langs[int(np.argmax(logs))] and got.score == pytest.approx(1 / np.exp(np.array(logs) - max(logs)).sum(), abs=2e-3)
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "le chat", None), (5, "", "de")]
     train = spark.createDataFrame(rows, "doc_id int, text string, lang string")
