@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudframe.functions.vectors import rounded
-from cloudframe.operators import closed_loop, tracking, tsdf
+from cloudframe.operators import closed_loop, tiles, tracking, tsdf
 from cloudframe.operators.neighbours import nearest_any
 from cloudframe.plans import fixtures as fx
 from cloudframe.plans import scenes
@@ -215,3 +215,18 @@ def smooth_tracks(spark, sf_dir):
     tracked = tracking.with_tracks(clips(spark, sf_dir), GATE)
     joints = tracking.smooth(tracked, ALPHA, ("joints_3d_left_m", "hand_angles_20dof_deg"))
     return joints.select("row_id", "track_id", "track_at", *(rounded(F.col("joints_3d_left_m_smooth")[0][k]).alias(c) for k, c in enumerate("xyz")))
+
+
+#: The cube of the tiles, and the points of one.
+CUBE, TILE = 4.0, 20
+TILES = f"""cells AS (SELECT point_id % 5 AS frame, point_id, {", ".join(f"least(greatest(floor(({c} + 2.0) / {CUBE}::DOUBLE * 4096), 0), 4095)::BIGINT AS i{c}" for c in "xyz")} FROM points),
+levels AS (SELECT frame, point_id, level::INT AS level, ix >> (12 - level)::INT AS kx, iy >> (12 - level)::INT AS ky, iz >> (12 - level)::INT AS kz FROM cells, range(13) AS t(level)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY frame, level, kx, ky, kz) AS n FROM levels),
+leaves AS (SELECT * FROM sized WHERE n <= {TILE} OR level = 12 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY level) = 1)"""
+
+
+@query("SELECT frame, level, kx, ky, kz, count(*) AS points, min(point_id) AS first_point FROM leaves GROUP BY ALL", TILES)
+def frame_tiles(spark, sf_dir):
+    """The leaves of five frames' octrees."""
+    tiled = tiles.tile_points(fx.points(spark, sf_dir).withColumn("frame", F.col("point_id") % 5), (-CUBE / 2,) * 3, CUBE, TILE)
+    return tiled.where("is_leaf").groupBy("frame", "level", *tiles.PLACE).agg(F.count("*").alias("points"), F.min("point_id").alias("first_point"))

@@ -85,3 +85,33 @@ def test_job(spark, several, tmp_path):
     failed = scenes.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), SIZE)
     assert failed == spark.read.parquet(str(tmp_path / "out/quality")).where("NOT passed").count() > 0
     assert spark.read.parquet(str(tmp_path / "out/hands")).count() == 5
+
+
+def test_tiles_hold_every_point_once(spark, tmp_path):
+    import numpy as np
+
+    from cloudframe.operators import tiles
+
+    rng = np.random.default_rng(5)
+    places = np.vstack([rng.normal(0, 0.05, (3000, 3)), rng.uniform(-1, 1, (500, 3)), np.full((70, 3), 0.3), [[9.0, -9.0, 0.0]]])
+    rows = [(k % 2, k, *map(float, p)) for k, p in enumerate(places)] + [(0, 10**6, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "frame int, point_id bigint, x double, y double, z double").repartition(4)
+    tiled = tiles.tile_points(df, (-1.0, -1.0, -1.0), 2.0, 30).persist()
+    leaves = tiled.where("is_leaf")
+    assert sorted(r.point_id for r in leaves.collect()) == list(range(len(places)))
+    sizes = tiled.groupBy("frame", "level", *tiles.PLACE, "is_leaf").count().collect()
+    assert all(r["count"] <= 30 or r.is_leaf and r.level == tiles.DEPTH for r in sizes) and max(r.level for r in sizes) > 3
+    inner = [r for r in sizes if not r.is_leaf]
+    assert sum(r["count"] == 30 for r in inner) > 0.9 * len(inner)  # a cut by the hash hardly ever leaves fewer
+    for r in leaves.where(f"level < {tiles.DEPTH}").limit(200).collect():
+        for c, k in zip("xyz", tiles.PLACE, strict=True):
+            place = min(max(int(np.floor((r[c] + 1) / 2 * 4096)), 0), 4095)
+            assert r[k] == place >> (tiles.DEPTH - r.level)
+    by_level = {}
+    for r in tiled.collect():
+        by_level.setdefault((r.frame, r.point_id), set()).add(r.level)
+    # Once seen, a point stays: it is in every node on the way down to its leaf.
+    assert all(found == set(range(min(found), max(found) + 1)) for found in by_level.values())
+    tiles.write_tiles(tiled, str(tmp_path / "tiles"))
+    read = spark.read.parquet(str(tmp_path / "tiles"))
+    assert read.where("frame = 1 AND level <= 1").count() == tiled.where("frame = 1 AND level <= 1").count() and read.count() == tiled.count()
