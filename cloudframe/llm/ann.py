@@ -38,12 +38,12 @@ class Collisions:
     A query's windows stop growing when `verify` of a block's vectors, and at least `least`,
     have collided often enough; if `rounds` windows don't suffice, all vectors are verified."""
 
-    directions: int = 176
+    directions: int = 192
     share: float = 0.85
     start: float = 0.8
     growth: float = 1.1
     rounds: int = 20
-    verify: float = 0.09
+    verify: float = 0.08
     least: int = 128
     seed: int = 5
 
