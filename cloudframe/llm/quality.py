@@ -21,8 +21,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Learned limits hold from one of these lengths in bytes to the next, a fourth of an octave on.
 STEPS = (0, *(int(np.ceil(2 ** (k / 4))) for k in range(16, 97)))
-#: The step of full chunks; labels looked at; pieces that a limit needs; the share of clean pieces left out on each side.
-FULL, SAMPLE, PIECES, TAIL = -1, 20_000, 100, 0.005
+#: The step of full chunks; pieces that a limit needs; the share of clean pieces left out on each side.
+FULL, PIECES, TAIL = -1, 100, 0.005
 
 
 @dataclass(frozen=True)
@@ -84,35 +84,37 @@ def in_bands(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) ->
 def learned_bands(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> Bands:
     """Bands whose limits are the quantiles TAIL and 1 - TAIL of the ratios of clean labelled documents.
 
-    Clean are documents labelled quality 1 that don't fail the base rules; of more than
-    SAMPLE such labels those least by a hash of the id are taken. Whole texts and rests after
-    full chunks set the limits of their step of length, full chunks those of `chunk`. A step
-    of few pieces borrows those of the next one or two on each side; if it has hardly any
-    itself, the limits of `bands` stay. The driver gets counts by step and ratio, not texts.
+    Clean are all documents labelled quality 1 that don't fail the base rules. Whole texts and
+    rests after full chunks set the limits of their step of length, full chunks those of
+    `chunk`. A step of few pieces borrows those of the next one or two on each side; if it has
+    hardly any itself, the limits of `bands` stay. Pieces are measured before labels are
+    joined to them, so no text is shuffled, however many labels there are. The driver gets
+    counts by step and ratio, not texts.
     """
     bound_arrow_batches(docs.sparkSession)
-    label, quality = unused(docs.columns, "label_id", "quality")
-    clean = labels.groupBy(F.col("doc_id").alias(label)).agg(F.min("quality").alias(quality)).where((F.col(quality) == 1) & F.col(label).isNotNull()).select(label)
-    ids = clean.orderBy(F.xxhash64(label), label).limit(SAMPLE)
+    clean = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality")).where((F.col("quality") == 1) & F.col("label_id").isNotNull()).select("label_id")
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             pieces = []
-            for text in batch.column(0).to_pylist():
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 n_words, _, _, _, repeated = base_counts(text)
                 if n_words < 50 or 100 * repeated > 50 * n_words:
                     continue
                 data = text.encode()
                 found = [(len(data), len(compressor.compress(data)) / len(data), False)]
                 found += [(n, r, n == bands.chunk_bytes) for n, r in chunk_ratios(data, bands.chunk_bytes, compressor)]
-                pieces += [(FULL if full else bisect_right(STEPS, n) - 1, int(r * 10_000)) for n, r, full in found]
-            columns = list(zip(*pieces, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["step", "ratio"])
-
-    texts = docs.join(F.broadcast(ids), F.col(id_col) == F.col(label)).where(F.col(text_col).isNotNull()).select(text_col)
+                pieces += [(row, FULL if full else bisect_right(STEPS, n) - 1, int(r * 10_000)) for n, r, full in found]
+            rows, *columns = list(zip(*pieces, strict=True)) or [[], [], []]
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in columns)], ["id", "step", "ratio"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    measured = texts.mapInArrow(ratios, f"id {texts.schema['id'].dataType.simpleString()}, step int, ratio int")
+    counts = measured.join(clean, F.col("id") == F.col("label_id")).groupBy("step", "ratio").count()
     found: dict[int, list[tuple[int, int]]] = {}
-    for step, ratio, n in texts.mapInArrow(ratios, "step int, ratio int").groupBy("step", "ratio").count().collect():
+    for step, ratio, n in counts.collect():
         found.setdefault(step, []).append((ratio, n))
 
     def limits(steps: list[int], default: tuple[float, float]) -> tuple[float, float] | None:

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cloudframe.llm import entry, langid, packing, quality, token_counts
@@ -357,6 +358,26 @@ def test_learned_bands_reject_texts_unlike_the_clean_ones(spark):
     assert quality.learned_bands(docs, labels.limit(0)).chunk == quality.Bands().chunk
 
 
+def many_clean_texts(spark):
+    """22,000 texts: the last 2,000 by a hash of the id are less even than the others."""
+    rng = np.random.default_rng(4)
+    ids = [r.id for r in spark.range(22_000).orderBy(F.xxhash64("id"), "id").collect()]
+    even, uneven = (["".join(rng.choice(list(letters), 5)) for _ in range(1000)] for letters in ("abcd", "abcdefghijklmnopqrstuvwxyz"))
+    return [(k, " ".join(rng.choice(even if at < 20_000 else uneven, 60))) for at, k in enumerate(ids)], set(ids[20_000:])
+
+
+def test_learned_bands_count_every_clean_label(spark):
+    rows, _ = many_clean_texts(spark)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    bands = quality.learned_bands(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    sizes = {len(text) for _, text in rows}
+    assert len(sizes) == 1
+    compressor = quality.zstandard.ZstdCompressor(level=3)
+    rates = sorted(int(len(compressor.compress(text.encode())) / len(text) * 10_000) for _, text in rows)
+    band = next(b[1:] for b in reversed(bands.whole) if b[0] <= max(sizes))
+    assert band == tuple(rates[int(q * (len(rates) - 1))] / 10_000 + more for q, more in ((0.005, 0), (0.995, 1e-4)))
+
+
 def test_the_rest_after_full_chunks_is_judged():
     rng = np.random.default_rng(3)
     good = "".join(rng.choice(list("abcdefghijklmnopqrst "), 4096))
