@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from cloudframe.llm import entry, langid, packing, quality, token_counts
 
 DATA = "/root/testdata/sf0.001"
@@ -378,6 +379,15 @@ def test_learned_bands_count_every_clean_label(spark):
     assert band == tuple(rates[int(q * (len(rates) - 1))] / 10_000 + more for q, more in ((0.005, 0), (0.995, 1e-4)))
 
 
+def test_pipeline_keeps_texts_like_any_of_the_clean_ones(spark, tmp_path):
+    """The pipeline's quality stage: clean texts beyond 20,000 labels are no outliers."""
+    rows, last = many_clean_texts(spark)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert len(kept & last) > 0.9 * len(last) and len(kept) > 0.98 * len(rows)
+
+
 def test_the_rest_after_full_chunks_is_judged():
     rng = np.random.default_rng(3)
     good = "".join(rng.choice(list("abcdefghijklmnopqrst "), 4096))
