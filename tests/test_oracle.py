@@ -42,3 +42,18 @@ def test_rows_only(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_quality_report_of_few_voxels(spark, tmp_path):
+    """Order lines that are all cheap give fewer than 100 voxels: the report warns, and what its SQL computes is the same."""
+    place = f"{tmp_path}/lineitem.parquet"
+    line = "(id % 7 + 1)::INT AS l_linenumber, id // 7 % 128 AS l_partkey, id // 896 AS l_orderkey, 900.0 + id % 13 AS l_extendedprice, CASE id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS l_returnflag"
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT {line} FROM range({7 * 128 * 96}) AS t(id)) TO '{place}'")
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{place}'")
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    ours = entry.queries()["quality_report"](spark, str(tmp_path)).toPandas()
+    theirs = duck.execute(entry.oracle_sql()["quality_report"]).df()
+    constant = ["status", "passed", "n_warnings"]
+    assert 0 < theirs.fused_point_count[0] < 100 and ours[constant].values.tolist() == [["failed", False, 1]]
+    assert rows(ours.drop(columns=constant)) == rows(theirs.drop(columns=constant))
